@@ -66,7 +66,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn("_filled", F.when(F.size(m) < BINS, F.transform(m, lambda x: F.shiftleft(_bin(x), LOW_BITS) + low(x))).otherwise(none))
 
     def borrowed(i: Column) -> Column:
-        factor = F.pmod(i * F.lit(1103515245) + F.lit(12345), F.lit(1 << 15)) * F.lit(2) + F.lit(1)
+        factor = (F.pmod(i.cast("long") * F.lit(1103515245) + F.lit(12345), F.lit(1 << 15)) * F.lit(2) + F.lit(1)).cast("int")
         offset = F.pmod(i * F.lit(69069) + F.lit(7), F.lit(BINS))
         low_mask, bin_mask = F.lit((1 << LOW_BITS) - 1), F.lit((BINS - 1) << LOW_BITS)
 
