@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hilbert, minhash, secrets
+from . import bpe, hilbert, minhash, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +21,16 @@ def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_with_next(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op4_hilbert_shards, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_secret_scan, op4_hilbert_shards, op6_byte_level_bpe, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
