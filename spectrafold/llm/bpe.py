@@ -31,6 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .pieces import Pieces
+from .shared import schema_with
 
 _BITS = 20
 
@@ -172,7 +173,7 @@ def encode(docs: DataFrame, text: str = "text", ranks_path: str | None = None, p
             ids = pa.array(list(own.encode(batch.column(place).to_pylist())), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(run, docs.schema.add(out, "binary"))
+    return docs.mapInArrow(run, schema_with(docs, **{out: "binary"}))
 
 
 def decode(rows: DataFrame, ids: str = "ids", ranks_path: str | None = None, pattern: str | None = None, out: str = "decoded") -> DataFrame:
@@ -187,7 +188,7 @@ def decode(rows: DataFrame, ids: str = "ids", ranks_path: str | None = None, pat
             raw = pa.array([None if x is None else own.decode(x) for x in batch.column(place).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, raw], names=[*batch.schema.names, out])
 
-    return rows.mapInArrow(run, rows.schema.add(out, "binary"))
+    return rows.mapInArrow(run, schema_with(rows, **{out: "binary"}))
 
 
 def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -33,3 +34,11 @@ def forget(*kept: DataFrame) -> None:
         for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def schema_with(df: DataFrame, **kinds: str) -> StructType:
+    """The schema of df with further columns behind its own."""
+    out = StructType(list(df.schema.fields))
+    for name, kind in kinds.items():
+        out = out.add(name, kind)
+    return out
