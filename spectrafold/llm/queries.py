@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hilbert, langid, minhash, quality, secrets, tokenids
+from . import bpe, hilbert, jaccard, langid, minhash, quality, secrets, tokenids
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,12 +37,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_with_next(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_token_ids, op4_hilbert_shards, op5_language_id, op6_byte_level_bpe, op8_quality, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_token_ids, op4_hilbert_shards, op5_language_id, op6_byte_level_bpe, op8_quality, op9_jaccard_join, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
