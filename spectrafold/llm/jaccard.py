@@ -312,7 +312,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, class, n_shingles and component_id of every document."""
+    """doc_id, text_hash, class, n_shingles, label of the component and component_id of every document; class and label are null without a set."""
     summaries = _summaries(docs)
     frequent, counts = _frequent(summaries)
     own = summaries.where(F.col("tokens").isNull()).select("doc_id", "text_hash", "class", F.col("n").cast("bigint").alias("n_shingles"))
@@ -326,12 +326,25 @@ def join(docs: DataFrame) -> DataFrame:
     labels = components(first.unionAll(second))
     group = classes.join(labels, classes["class"] == labels["node"], "left").select("class", "least", F.coalesce("label", "class").alias("label"))
     least = group.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = keep(group.join(least, "label").select("class", "component_id"), "named")
+    named = keep(group.join(least, "label").select("class", "label", "component_id"), "named")
     return own.join(named, "class", "left").select(
-        "doc_id", "text_hash", "class", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+        "doc_id", "text_hash", "class", "n_shingles", "label", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of docs for each component, the least id that is not null and then the least text hash; rows without a set all stay."""
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    kept = join(docs).where(F.col("label").isNotNull()).groupBy("label").agg(F.min(rank).alias("k"))
+    kept = keep(kept.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"), F.lit(True).alias("_kept")), "kept")
+    # Repeated rows share id and text hash; rows without a set are told apart by a number.
+    rows = docs.withColumn("_own", F.xxhash64("text"))
+    met = rows.join(kept, (F.col("_own") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    met = met.where(F.col("_kept") | blank).withColumn("_row", F.when(blank, F.monotonically_increasing_id()))
+    return met.dropDuplicates(["_own", "doc_id", "_row"]).select(*docs.columns)
+
+
 def link_documents(docs: DataFrame) -> DataFrame:
     """Digest of operator 9: doc_id, n_shingles, component_id."""
     return join(docs).select("doc_id", "n_shingles", "component_id")

@@ -199,6 +199,19 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs that are not rejected, with their own columns."""
+    place = docs.columns.index(text)
+    model = docs.sparkSession.sparkContext.broadcast(model)  # as in identify()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = model.value
+        for batch in batches:
+            yield batch.filter(pa.array([not own.predict(t)[2] for t in batch.column(place).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict_documents(docs: DataFrame) -> DataFrame:
     """Digest of operator 5: doc_id, held_out, lang_pred, score, rejected."""
     model = fit(docs)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hilbert, jaccard, langid, minhash, quality, secrets, tokenids
+from . import bpe, decontam, hilbert, jaccard, langid, lines, minhash, quality, secrets, tokenids
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.encode_and_read_back(_table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,10 @@ def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -46,7 +54,19 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_token_ids, op4_hilbert_shards, op5_language_id, op6_byte_level_bpe, op8_quality, op9_jaccard_join, op10_fingerprints)}
+    named = (
+        op1_secret_scan,
+        op2_token_ids,
+        op3_decontamination,
+        op4_hilbert_shards,
+        op5_language_id,
+        op6_byte_level_bpe,
+        op7_line_dedup,
+        op8_quality,
+        op9_jaccard_join,
+        op10_fingerprints,
+    )
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
