@@ -161,9 +161,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         centres = _cluster(vectors)
         cosine = (vectors @ centres.T).max(1)
         length = np.array([_length(n) for n in group.letters])
-        # A longer text lies nearer: the least cosine at this length or a greater one.
-        radius = [float(LENIENCE * cosine[length >= k].min()) if (length >= k).any() else 0.0 for k in range(_LENGTHS)]
-        radius = np.minimum.accumulate(np.array(radius)[::-1])[::-1]
+        # Longer texts lie nearer: the least cosine among texts of about this length; lengths without a text take that of a shorter one.
+        radius = np.zeros(_LENGTHS)
+        for k in range(_LENGTHS):
+            near = cosine[np.abs(length - k) <= 1]
+            radius[k] = LENIENCE * near.min() if len(near) else radius[max(k - 1, 0)]
         return pd.DataFrame({"lang": group.lang.iloc[0], "centroid": [c.astype("<f4").tobytes() for c in centres], "radius": [radius.astype("<f8").tobytes()] * len(centres)})
 
     found = (
