@@ -42,6 +42,8 @@ SAMPLE = 1000
 ROUNDS = 8
 #: A text is too far where its cosine is below this share of the least in training at its length.
 LENIENCE = 0.5
+#: With fewer training texts of about a length than ENOUGH, only a cosine below FEW is too far.
+ENOUGH, FEW = 20, 0.1
 _LENGTHS = 24
 
 
@@ -166,6 +168,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         for k in range(_LENGTHS):
             near = cosine[np.abs(length - k) <= 1]
             radius[k] = LENIENCE * near.min() if len(near) else radius[max(k - 1, 0)]
+            if len(near) < ENOUGH:
+                radius[k] = min(radius[k], FEW)
         return pd.DataFrame({"lang": group.lang.iloc[0], "centroid": [c.astype("<f4").tobytes() for c in centres], "radius": [radius.astype("<f8").tobytes()] * len(centres)})
 
     found = (
