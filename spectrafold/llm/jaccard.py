@@ -45,7 +45,7 @@ WIDTH = 5
 NUM, DEN = 3, 4
 MOST_MATCHES = 8
 #: Tokens of a block whose counts are taken together, and the least count that a block reports.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 LEAST_IN_BLOCK = 3
 #: Frequent tokens that are known to all tasks, most frequent first. Others count as rare.
 FREQUENT = 200_000
