@@ -4,7 +4,7 @@ A document's set holds its distinct five-word shingles. Equal sets form a class
 and go on as one. Tokens have one global order, rare ones first. By the prefix
 lemma, two sets of n tokens that link share at least l tokens among the first
 n - ceil(0.75 n) + l of each, for any l up to the needed overlap. Every class
-picks its own l from 1 to MOST_MATCHES: a longer prefix costs postings but asks
+picks its own l, from 1 to a quarter of its tokens: a longer prefix costs postings but asks
 for more shared tokens, which pays where the tokens of the prefix are frequent;
 the cost is estimated from token counts over all documents. A pair must share
 the lesser l of the two. Candidates are then verified on whole sets.
@@ -43,7 +43,8 @@ from .shared import keep
 WIDTH = 5
 #: Two sets link when NUM * union <= DEN * intersection.
 NUM, DEN = 3, 4
-MOST_MATCHES = 8
+#: Other classes that a token which does not count as frequent is reckoned to have: such tokens stand in a few shared passages.
+PARTNERS = 0.02
 #: Tokens of a block whose counts are taken together, and the least count that a block reports.
 BLOCK_TOKENS = 1_000_000
 LEAST_IN_BLOCK = 3
@@ -133,7 +134,7 @@ def prefix(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tupl
     often = frequent[at] == tokens if len(frequent) else np.zeros(n, bool)
     seen = np.where(often, counts[at], 1) if len(frequent) else np.ones(n, np.int64)
     base = n - needed(n)
-    most = min(MOST_MATCHES, needed(n))
+    most = min(max(1, n // 4), needed(n))
     take = min(n, base + most)
     # Rare tokens stand before frequent ones; each kind by count, then by value, as they come.
     rare = np.flatnonzero(~often)[:take]
@@ -141,7 +142,7 @@ def prefix(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tupl
     if len(rare) < take:
         busy = np.flatnonzero(often)
         order = np.concatenate((rare, busy[np.argsort(seen[busy], kind="stable")][: take - len(rare)]))
-    partners = np.cumsum(seen[order] - 1)
+    partners = np.cumsum(seen[order] - 1 + PARTNERS)
     matches = np.arange(1, most + 1)
     cost = base + matches + n * partners[base + matches - 1] / matches
     chosen = int(np.argmin(cost)) + 1
@@ -199,11 +200,11 @@ def _shared_postings(postings: DataFrame) -> DataFrame:
 
 def _pivot_pairs(postings: DataFrame) -> DataFrame:
     """x, y: each class with the pivot with which it shares most tokens."""
-    rank = F.struct("share", "n", "class")
-    pivots = keep(postings.groupBy("token").agg(F.max(rank).alias("p")).select("token", F.col("p.class").alias("y"), F.col("p.n").alias("yn")), "pivots")
+    pivots = postings.groupBy("token").agg(F.max(F.struct("share", "n", "class", "matches")).alias("p"))
+    pivots = keep(pivots.select("token", F.col("p.class").alias("y"), F.col("p.n").alias("yn"), F.col("p.matches").alias("ym")), "pivots")
     met = postings.join(pivots, "token").where((F.col("class") != F.col("y")) & _sizes_fit(F.col("n"), F.col("yn")))
-    votes = met.groupBy(F.col("class").alias("x"), "y").agg(F.count("*").alias("votes"))
-    return votes.groupBy("x").agg(F.max(F.struct("votes", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
+    votes = met.groupBy(F.col("class").alias("x"), "y").agg(F.count("*").alias("votes"), F.min(F.least("matches", "ym")).alias("demand"))
+    return votes.where(F.col("votes") >= F.col("demand")).groupBy("x").agg(F.max(F.struct("votes", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
 
 
 def _open_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
