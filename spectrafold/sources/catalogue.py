@@ -62,12 +62,25 @@ DERIVED: dict[str, tuple[str, str]] = {
 _JSON = {"spark": "get_json_object(props, '$.k')", "check": "json_extract_string(props, '$.k')"}
 
 
+def derive(spark: SparkSession, name: str, source: DataFrame) -> DataFrame:
+    """A logical table from its source, which may be a stream."""
+    origin, text = DERIVED[name]
+    return spark.sql(text.replace("{k}", _JSON["spark"]).replace(f"from {origin}", "from {source}"), source=source)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A logical table (g_...) or a Parquet table of the folder."""
     if name not in DERIVED:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    source, text = DERIVED[name]
-    return spark.sql(text.replace("{k}", _JSON["spark"]).replace(f" from {source}", " from {source}").replace(f"\n        from {source}", " from {source}"), source=table(spark, sf_dir, source))
+    return derive(spark, name, table(spark, sf_dir, DERIVED[name][0]))
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A logical table as a stream over the files of its source."""
+    # Braces make the path a pattern: a file source takes a pattern or a folder, not one file.
+    origin = DERIVED[name][0]
+    schema = spark.read.parquet(f"{sf_dir}/{origin}.parquet").schema
+    return derive(spark, name, spark.readStream.schema(schema).parquet(f"{sf_dir}/{{{origin}}}.parquet"))
 
 
 def with_tables(*names: str) -> str:

@@ -80,6 +80,27 @@ def accepted_stream(messages: DataFrame) -> DataFrame:
     return messages.groupBy("pictureId").transformWithStateInPandas(EditLock(), ACCEPTED, "append", "None")
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_stream(messages: DataFrame, path: str) -> DataFrame:
+    """Run the stream to the end of what its source has now; accepted messages go below path, which all executors share."""
+    spark = messages.sparkSession
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        rows = messages.select("pictureId", "seq", "userId", "type", "editAction").where(F.col("type").isin(*TYPES, "DISCONNECT") & F.col("pictureId").isNotNull())
+        writer = accepted_stream(rows).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+        writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, before)
+    return spark.read.schema(ACCEPTED).parquet(f"{path}/out")
+
+
 def sessions(messages: DataFrame) -> DataFrame:
     """seq, pictureId and the number of open sessions after each ENTER_EDIT (joins) or EXIT_EDIT (leaves)."""
     change = F.when(F.col("type") == "ENTER_EDIT", 1).when(F.col("type") == "EXIT_EDIT", -1)
