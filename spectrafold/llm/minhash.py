@@ -3,9 +3,9 @@
 One-permutation MinHash. Each 5-word shingle of a text (words split at white
 space, lower case; fewer words make one shingle) is hashed once; the top 7 bits
 name one of 128 bins and each bin keeps its smallest hash. An empty bin borrows
-from the filled bin that comes first in that bin's own universal-hash order of
-all bins (optimal densification: the choice depends only on which bins are
-filled, so equal sets agree). Of each bin the low 8 bits are stored; likeness
+from the first filled bin in its own sequence of hashed bins (optimal
+densification: the choice depends only on which bins are filled, so equal sets
+agree). Of each bin the low 8 bits are stored; likeness
 is the share of equal bins, corrected for the 1/256 chance of equal low bits.
 
 Null and empty texts (and texts of white space) have no shingle: their
@@ -21,6 +21,8 @@ come last. Extra columns are dropped; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,10 @@ _SHIFT = 57
 RANGES_PER_PARTITION = 4
 
 
+#: For each of a few tries, the bin that an empty bin looks at: hashes of bin and try.
+_TRIES = [", ".join(str(zlib.crc32(f"{t}:{b}".encode()) % BINS) for b in range(BINS)) for t in range(12)]
+
+
 def _bin(x: Column) -> Column:
     """0 to 127, rising with the signed hash."""
     return F.shiftright(x, _SHIFT).cast("int") + F.lit(BINS // 2)
@@ -42,13 +48,20 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[ \\t-\\r]+"), lambda w: w != "")
     df = df.withColumn("_h", F.transform(words, lambda w: F.xxhash64(w)))
     h, n = F.col("_h"), F.size("_h")
-    runs = F.transform(
-        F.slice(h, F.lit(1), F.greatest(n - F.lit(WIDTH - 1), F.lit(0))),
-        lambda x, i: F.xxhash64(x, *[F.get(h, i + F.lit(k)) for k in range(1, WIDTH)]),
-    )
-    shingles = F.when(n >= WIDTH, runs).when(n > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn("_s", F.sort_array(shingles)).drop("_h")
-    df = df.withColumn("_m", F.filter(F.col("_s"), lambda x, i: (i == 0) | (_bin(x) != _bin(F.get(F.col("_s"), i - F.lit(1)))))).drop("_s")
+
+    def joined(x: Column, y: Column, apart: int, size: Column) -> Column:
+        """Hash of x[i] and y[i + apart], for `size` places."""
+        return F.zip_with(F.slice(x, F.lit(1), size), F.slice(y, F.lit(1 + apart), size), lambda a, b: F.xxhash64(a, b))
+
+    # Words i and i + 1, then the pairs at i and i + 2, then word i + 4: five words.
+    df = df.withColumn("_p", F.when(n >= WIDTH, joined(h, h, 1, n - F.lit(1))))
+    runs = joined(joined(F.col("_p"), F.col("_p"), 2, n - F.lit(3)), h, WIDTH - 1, n - F.lit(WIDTH - 1))
+    none = F.array().cast("array<bigint>")
+    df = df.withColumn("_s", F.when(n >= WIDTH, F.sort_array(runs)).when(n > 0, F.array(F.xxhash64(h))).otherwise(none)).drop("_h", "_p")
+    s = F.col("_s")
+    # The first of each bin: the top bits differ from those of the hash before.
+    first = F.filter(s, lambda x, i: F.shiftrightunsigned(x.bitwiseXOR(F.get(s, i - F.lit(1))), _SHIFT) != 0)
+    df = df.withColumn("_m", F.concat(F.slice(s, 1, 1), first)).drop("_s")
     m = F.col("_m")
     none = F.array().cast("array<int>")
 
@@ -66,6 +79,9 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn("_filled", F.when(F.size(m) < BINS, F.transform(m, lambda x: F.shiftleft(_bin(x), LOW_BITS) + low(x))).otherwise(none))
 
     def borrowed(i: Column) -> Column:
+        # The bin's own sequence of bins, up to the first filled one.
+        tries = [F.get(F.col("_slots"), F.get(F.expr(f"array({places})"), i)) for places in _TRIES]
+        # A bin that met none takes the filled bin that comes first in an order of all bins of its own.
         factor = (F.pmod(i.cast("long") * F.lit(1103515245) + F.lit(12345), F.lit(1 << 15)) * F.lit(2) + F.lit(1)).cast("int")
         offset = F.pmod(i * F.lit(69069) + F.lit(7), F.lit(BINS))
         low_mask, bin_mask = F.lit((1 << LOW_BITS) - 1), F.lit((BINS - 1) << LOW_BITS)
@@ -74,7 +90,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
             turn = (F.shiftright(y, LOW_BITS) * factor + offset) * F.lit(1 << LOW_BITS)
             return turn.bitwiseAND(bin_mask) + y.bitwiseAND(low_mask)
 
-        return F.array_min(F.transform(F.col("_filled"), order)).bitwiseAND(low_mask)
+        return F.coalesce(*tries, F.array_min(F.transform(F.col("_filled"), order)).bitwiseAND(low_mask))
 
     dense = F.transform(F.col("_slots"), lambda v, i: F.coalesce(v, borrowed(i)))
     dense = F.transform(dense, lambda v: (v - F.lit(128)).cast("tinyint"))
