@@ -27,7 +27,6 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from .pieces import Pieces
@@ -139,7 +138,7 @@ class Encoder:
 
     def __init__(self, ranks_path: str, pattern: str):
         self.ranks = Ranks(ranks_path)
-        self._pieces = Pieces(regex.compile(pattern), self._new)
+        self._pieces = Pieces(pattern, self._new)
 
     def _new(self, matches: list[str]) -> list[bytes]:
         words = [m.encode() for m in matches]

@@ -1,9 +1,8 @@
-"""Encoding of whole texts through a bounded cache of pieces, for byte-level BPE.
+"""Encoding of whole texts through a bounded cache of pattern matches, for byte-level BPE.
 
-A text may be cut before every single space that stands between two characters
-that are not white space: the splitting pattern of the tokenizer starts a new
-match there in any case, so pieces are encoded independently. Pieces repeat far
-more than texts, so each distinct one of a block is encoded once and kept.
+The splitting pattern cuts a text into matches that are encoded independently.
+They repeat far more than texts, so each distinct one of a block is encoded
+once and kept by the worker.
 """
 
 from __future__ import annotations
@@ -11,62 +10,45 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import regex
+
 from . import wordhash
 
-#: Pieces, and as many pattern matches, that a worker keeps; the cache starts anew beyond it.
-CACHE = 600_000
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Matches of a generation of the cache; two generations are kept, what is used again moves to the younger one.
+CACHE = 400_000
 
 #: Encodes distinct pattern matches: little-endian bytes of the ids of each.
 Encode = Callable[[list[str]], list[bytes]]
 
 
+def ascii_pattern(pattern: str) -> re.Pattern | None:
+    """The same pattern for texts of ASCII alone, where classes of letters and numbers are short; None if it has other classes."""
+    plain = pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
+    return None if r"\p" in plain else re.compile(plain, re.ASCII)
+
+
 class Pieces:
     """encode(texts): for each text the bytes of its ids."""
 
-    def __init__(self, pattern, encode: Encode, cache: int = CACHE):
-        """pattern: compiled splitting pattern; encode: see Encode."""
-        self._pattern, self._encode, self._limit = pattern, encode, cache
-        self._whole: dict[str, bytes] = {}
-        #: Of what stands behind a space; None where the space next to it is not a safe cut.
-        self._spaced: dict[str, bytes | None] = {}
-        self._matches: dict[str, bytes] = {}
-
-    def _learn(self, whole: set[str], spaced: set[str]) -> None:
-        # White space at either end: the space between is not a safe cut, None makes the text take the other way.
-        plain = [p for p in spaced if p and not p[0].isspace() and not p[-1].isspace()]
-        find = self._pattern.findall
-        parts = {p: find(p) for p in whole}
-        for p in plain:
-            parts[" " + p] = find(" " + p)
-        new: set[str] = set()
-        new.update(*parts.values())
-        new -= self._matches.keys()
-        names = list(new)
-        self._matches.update(zip(names, self._encode(names), strict=True))
-        get = self._matches.__getitem__
-        self._spaced.update(dict.fromkeys(spaced))
-        self._whole.update((p, b"".join(map(get, parts[p]))) for p in whole)
-        self._spaced.update((p, b"".join(map(get, parts[" " + p]))) for p in plain)
+    def __init__(self, pattern: str, encode: Encode, cache: int = CACHE):
+        self._find, self._encode, self._limit = regex.compile(pattern).findall, encode, cache
+        plain = ascii_pattern(pattern)
+        self._find_ascii = plain.findall if plain else self._find
+        self._known: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     def _block(self, texts: list[str]) -> list[bytes]:
-        if len(self._spaced) + len(self._whole) > self._limit or len(self._matches) > self._limit:
-            self._whole, self._spaced, self._matches = {}, {}, {}
-        cut = [t.split(" ") for t in texts]
-        first = {c[0] for c in cut}
-        rest: set[str] = set()
-        rest.update(*[c[1:] for c in cut])
-        self._learn(first - self._whole.keys(), rest - self._spaced.keys())
-        out: list[bytes] = []
-        for text, c in zip(texts, cut, strict=True):
-            ids = list(map(self._spaced.__getitem__, c[1:]))
-            if ids and (None in ids or not c[0] or c[0][-1].isspace()):
-                segments = _CUT.split(text)
-                self._learn(set(segments) - self._whole.keys(), set())
-                out.append(b"".join(map(self._whole.__getitem__, segments)))
-            else:
-                out.append(self._whole[c[0]] + b"".join(ids))
-        return out
+        if len(self._known) > self._limit:
+            self._old, self._known = self._known, {}
+        cut = [self._find_ascii(t) if t.isascii() else self._find(t) for t in texts]
+        missing = set().union(*cut)
+        missing -= self._known.keys()
+        for m in missing & self._old.keys():
+            self._known[m] = self._old[m]
+        new = list(missing - self._known.keys())
+        self._known.update(zip(new, self._encode(new), strict=True))
+        get = self._known.__getitem__
+        return [b"".join(map(get, c)) for c in cut]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Null texts are empty."""

@@ -28,6 +28,7 @@ are dropped.
 from __future__ import annotations
 
 import json
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,7 +36,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -69,13 +69,14 @@ class Tokens:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self._pieces = Pieces(regex.compile(pattern), self._new)
+        self._code = "H" if self.width == 2 else "I"
+        self._pieces = Pieces(pattern, self._new)
 
     def _new(self, matches: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(matches), 4096):
             for e in self._tokenizer.encode_batch(matches[at : at + 4096], add_special_tokens=False):
-                out.append(np.array(e.ids, f"<u{self.width}").tobytes())
+                out.append(struct.pack(f"<{len(e.ids)}{self._code}", *e.ids))
         return out
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
