@@ -151,7 +151,7 @@ def prefix(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tupl
 
 
 def _postings(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """token, salt (0: rare), class, n, place in the prefix, matches, share of frequent tokens."""
+    """token, salt (0: rare), class, n, place in the prefix, matches, share of frequent tokens, number of those in the prefix."""
     table = docs.sparkSession.sparkContext.broadcast((frequent, counts))  # at most FREQUENT of each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +167,7 @@ def _postings(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> Data
                 seen.add(own)
                 head, often, chosen, share = prefix(tokens, known, often_seen)
                 salt = np.where(often, 1 + own % SALTS, 0).astype(np.int32)
-                parts.append((head.view(np.int64), salt, own, len(tokens), chosen, share))
+                parts.append((head.view(np.int64), salt, own, len(tokens), chosen, share, int(often.sum())))
                 size += len(head)
                 if size >= 200_000:
                     yield packed(parts)
@@ -180,11 +180,11 @@ def _postings(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> Data
         wide = lambda k, kind: pa.array(np.repeat(np.array([p[k] for p in parts], kind), lengths))
         places = np.concatenate([np.arange(n) for n in lengths]).astype(np.int32)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([p[0] for p in parts])), pa.array(np.concatenate([p[1] for p in parts])), wide(2, np.int64), wide(3, np.int32), pa.array(places), wide(4, np.int32), wide(5, np.int32)],
-            names=["token", "salt", "class", "n", "place", "matches", "share"],
+            [pa.array(np.concatenate([p[0] for p in parts])), pa.array(np.concatenate([p[1] for p in parts])), wide(2, np.int64), wide(3, np.int32), pa.array(places), wide(4, np.int32), wide(5, np.int32), wide(6, np.int32)],
+            names=["token", "salt", "class", "n", "place", "matches", "share", "busy"],
         )
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "token bigint, salt int, class bigint, n int, place int, matches int, share int")
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "token bigint, salt int, class bigint, n int, place int, matches int, share int, busy int")
 
 
 def _sizes_fit(a: Column, b: Column) -> Column:
@@ -195,7 +195,7 @@ def _shared_postings(postings: DataFrame) -> DataFrame:
     """Postings of tokens that two classes have, or that are frequent."""
     of_token = Window.partitionBy("token", "salt")
     seen = postings.withColumn("_lo", F.min("class").over(of_token)).withColumn("_hi", F.max("class").over(of_token))
-    return seen.where((F.col("salt") > 0) | (F.col("_lo") != F.col("_hi"))).drop("_lo", "_hi", "salt").dropDuplicates(["token", "class"])
+    return seen.where((F.col("salt") > 0) | (F.col("_lo") != F.col("_hi"))).withColumn("often", F.col("salt") > 0).drop("_lo", "_hi", "salt").dropDuplicates(["token", "class"])
 
 
 def _pivot_pairs(postings: DataFrame) -> DataFrame:
@@ -208,26 +208,34 @@ def _pivot_pairs(postings: DataFrame) -> DataFrame:
 
 
 def _open_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """x, y: pairs of different components that share as many prefix tokens as the lesser of their two demands."""
+    """x, y: pairs of different components that share as many prefix tokens as the lesser of their two demands.
+
+    |x & y| >= NUM / DEN * |x | y| is the same as (NUM + DEN) * |x & y| >= NUM * (|x| + |y|). What stands before a shared
+    token in both sets and what stands from it on bounds |x & y|; from the first shared token on, what follows bounds it
+    alone. A frequent token is only met where it can be the first shared one of a link: a pair then needs no count, and
+    in other counts the frequent tokens of the prefixes are taken as shared.
+    """
     comp = F.coalesce("label", "class").alias("comp")
-    own = postings.join(labels, postings["class"] == labels["node"], "left").select("token", "class", "n", "place", "matches", comp)
+    own = postings.join(labels, postings["class"] == labels["node"], "left").select("token", "often", "class", "n", "place", "matches", "busy", comp)
     own = keep(own, "labelled")
     mixed = own.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     own = keep(own.join(mixed, "token", "left_semi"), "open")
     a, b = own.alias("a"), own.alias("b")
+    after = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+    both = F.when(F.col("a.often"), F.lit(0)).otherwise(F.least("a.place", "b.place"))
+    may_link = (NUM + DEN) * (both + after) >= NUM * (F.col("a.n") + F.col("b.n"))
     fits = _sizes_fit(F.col("a.n"), F.col("b.n"))
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & (F.col("a.class") < F.col("b.class")) & fits)
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & (F.col("a.class") < F.col("b.class")) & fits & may_link)
     pairs = met.groupBy(F.col("a.class").alias("x"), F.col("b.class").alias("y")).agg(
         F.count("*").alias("shared"),
+        F.max("a.often").alias("often"),
         F.min(F.least("a.matches", "b.matches")).alias("demand"),
-        # Tokens from the first shared one on are all that the two can share.
-        F.max(F.col("a.n") - F.col("a.place")).alias("left_a"),
-        F.max(F.col("b.n") - F.col("b.place")).alias("left_b"),
+        F.min(F.least("a.busy", "b.busy")).alias("busy"),
+        F.max(after).alias("after"),
         F.min(F.col("a.n") + F.col("b.n")).alias("sum_n"),
     )
-    # |x & y| >= NUM / DEN * |x | y| is the same as (NUM + DEN) * |x & y| >= NUM * (|x| + |y|).
-    reach = (NUM + DEN) * F.least("left_a", "left_b") >= NUM * F.col("sum_n")
-    return pairs.where((F.col("shared") >= F.col("demand")) & reach).select("x", "y")
+    reach = (NUM + DEN) * F.col("after") >= NUM * F.col("sum_n")
+    return pairs.where((F.col("often") | (F.col("shared") + F.col("busy") >= F.col("demand"))) & reach).select("x", "y")
 
 
 def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
