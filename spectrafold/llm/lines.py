@@ -12,7 +12,8 @@ joined again by line feeds.
 Scale: chunks are counted as narrow rows with partial sums, so a chunk that a
 third of all texts hold is one row a task. Only texts of repeated chunks leave
 their documents, once. Texts are joined twice with the decisions about them, by
-the document's key; a key's decisions are sets, bounded by its own lines.
+the document's key, by a merge join at every size, since the decisions grow with
+the corpus; a key's decisions are sets, bounded by its own lines.
 
 A null text stays null and an empty one empty. Rows that are equal in id and
 text are one document in several rows: they lose the same chunks. Null ids come
@@ -76,7 +77,7 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     again = keep(again, "repeated-chunks")
     met = every.join(again, "hash").select("_a", "_b", "start", "end", "hash", first.eqNullSafe(F.col("first")).alias("is_first"))
     asked = met.groupBy("_a", "_b").agg(F.collect_set(F.struct("hash", "start", "end", "is_first")).alias("asked"))
-    rows = _keyed(docs.select(F.col(key), F.col(text)), text, key).select("_a", "_b", "_lines").join(asked, ["_a", "_b"])
+    rows = _keyed(docs.select(F.col(key), F.col(text)), text, key).select("_a", "_b", "_lines").join(asked.hint("merge"), ["_a", "_b"])
     piece = lambda c: F.array_join(F.slice(F.col("_lines"), c["start"] + 1, c["end"] - c["start"]), "\n")
     cut = F.transform("asked", lambda c: F.struct(c["hash"].alias("hash"), c["start"].alias("start"), c["end"].alias("end"), c["is_first"].alias("is_first"), piece(c).alias("bytes")))
     cut = keep(rows.select("_a", "_b", F.explode(cut).alias("c")).select("_a", "_b", "c.*"), "chunk-bytes")
@@ -87,7 +88,7 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with later copies of chunks cut out of the text, and `_removed`, the cut ranges of lines (null where none)."""
     gone = repeats(docs, text, key).groupBy("_a", "_b").agg(F.collect_set(F.struct("start", "end")).alias("_removed"))
-    whole = docs.withColumn("_a", F.xxhash64(text)).withColumn("_b", F.xxhash64(key)).join(keep(gone, "removed"), ["_a", "_b"], "left").drop("_a", "_b")
+    whole = docs.withColumn("_a", F.xxhash64(text)).withColumn("_b", F.xxhash64(key)).join(keep(gone, "removed").hint("merge"), ["_a", "_b"], "left").drop("_a", "_b")
     left = F.filter(lines_of(F.col(text)), lambda _, i: ~F.exists(F.col("_removed"), lambda r: (i >= r["start"]) & (i < r["end"])))
     return whole.withColumn(text, F.when(F.col("_removed").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")))
 
