@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .pieces import Pieces
-from .shared import schema_with
+from .shared import parts, schema_with
 
 _BITS = 20
 
@@ -168,7 +168,7 @@ def encode(docs: DataFrame, text: str = "text", ranks_path: str | None = None, p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, split)
-        for batch in batches:
+        for batch in parts(batches):
             ids = pa.array(list(own.encode(batch.column(place).to_pylist())), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out])
 
@@ -183,7 +183,7 @@ def decode(rows: DataFrame, ids: str = "ids", ranks_path: str | None = None, pat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, split)
-        for batch in batches:
+        for batch in parts(batches):
             raw = pa.array([None if x is None else own.decode(x) for x in batch.column(place).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, raw], names=[*batch.schema.names, out])
 
@@ -197,7 +197,7 @@ def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, split)
-        for batch in batches:
+        for batch in parts(batches):
             counts, ids_hash, text_hash = [], [], []
             for ids in own.encode(batch.column(1).to_pylist()):
                 counts.append(len(ids) // 4)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .shared import schema_with
+from .shared import parts, schema_with
 
 WIDTH = 5
 SIMILARITY = 0.75
@@ -204,7 +204,7 @@ def _mark_block(docs: DataFrame, index: Index, text: str, out: str) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in parts(batches):
             texts, found = batch.column(batch.num_columns - 1).to_pylist(), batch.column(place).to_pylist()
             for first, last in wordhash.blocks(texts):
                 block = wordhash.Words(texts[first:last])

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .shared import keep
+from .shared import keep, parts
 
 WIDTH = 5
 #: Two sets link when NUM * union <= DEN * intersection.
@@ -86,7 +86,7 @@ def _summaries(docs: DataFrame) -> DataFrame:
                 [pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([token[often].view(np.int64)], pa.list_(pa.int64())), pa.array([count[often]], pa.list_(pa.int64()))], names=names
             )
 
-        for batch in batches:
+        for batch in parts(batches):
             kind, classes, sizes = batch.column(0).type, [], []
             for tokens in wordhash.shingle_sets(batch.column(2).to_pylist(), WIDTH):
                 own = class_of(tokens)
@@ -158,29 +158,29 @@ def _postings(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> Data
         known, often_seen = table.value
         for batch in batches:
             seen: set[int] = set()
-            parts: list[tuple] = []
+            heads: list[tuple] = []
             size = 0
-            for tokens in wordhash.shingle_sets(batch.column(0).to_pylist(), WIDTH):
+            for tokens in (t for part in parts([batch]) for t in wordhash.shingle_sets(part.column(0).to_pylist(), WIDTH)):
                 own = class_of(tokens)
                 if not len(tokens) or own in seen:
                     continue
                 seen.add(own)
                 head, often, chosen, share = prefix(tokens, known, often_seen)
                 salt = np.where(often, 1 + own % SALTS, 0).astype(np.int32)
-                parts.append((head.view(np.int64), salt, own, len(tokens), chosen, share, int(often.sum())))
+                heads.append((head.view(np.int64), salt, own, len(tokens), chosen, share, int(often.sum())))
                 size += len(head)
                 if size >= 200_000:
-                    yield packed(parts)
-                    parts, size = [], 0
-            if parts:
-                yield packed(parts)
-
-    def packed(parts: list[tuple]) -> pa.RecordBatch:
-        lengths = np.array([len(p[0]) for p in parts])
-        wide = lambda k, kind: pa.array(np.repeat(np.array([p[k] for p in parts], kind), lengths))
+                    yield packed(heads)
+                    heads, size = [], 0
+            if heads:
+                yield packed(heads)
+
+    def packed(heads: list[tuple]) -> pa.RecordBatch:
+        lengths = np.array([len(p[0]) for p in heads])
+        wide = lambda k, kind: pa.array(np.repeat(np.array([p[k] for p in heads], kind), lengths))
         places = np.concatenate([np.arange(n) for n in lengths]).astype(np.int32)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([p[0] for p in parts])), pa.array(np.concatenate([p[1] for p in parts])), wide(2, np.int64), wide(3, np.int32), pa.array(places), wide(4, np.int32), wide(5, np.int32), wide(6, np.int32)],
+            [pa.array(np.concatenate([p[0] for p in heads])), pa.array(np.concatenate([p[1] for p in heads])), wide(2, np.int64), wide(3, np.int32), pa.array(places), wide(4, np.int32), wide(5, np.int32), wide(6, np.int32)],
             names=["token", "salt", "class", "n", "place", "matches", "share", "busy"],
         )
 
@@ -258,7 +258,7 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
-        for batch in batches:
+        for batch in parts(batches):
             classes, tos, homes, texts = (batch.column(k).to_pylist() for k in range(4))
             rows: list[tuple] = []
             size = 0

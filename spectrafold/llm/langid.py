@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .shared import schema_with
+from .shared import parts, schema_with
 
 BITS = 13
 WIDTHS = (1, 2, 3)
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(1 << BITS, np.int64), 0
-        for batch in batches:
+        for batch in parts(batches):
             for text in batch.column(0).to_pylist():
                 bins, _, letters = counts(text)
                 df[bins] += 1
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     drawn = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale)) < share[F.col("lang")])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             got = [counts(text) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([b.astype("<u2").tobytes() for b, _, _ in got], pa.binary()), pa.array([c.astype("<f4").tobytes() for _, c, _ in got], pa.binary()), pa.array([n for _, _, n in got], pa.int64())],
@@ -197,7 +197,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
-        for batch in batches:
+        for batch in parts(batches):
             got = [own.predict(t) for t in batch.column(place).to_pylist()]
             added = [pa.array([g[i] for g in got], kind) for i, (_, _, kind) in enumerate(_PREDICTION)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=schema.names)
@@ -212,7 +212,7 @@ def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
-        for batch in batches:
+        for batch in parts(batches):
             yield batch.filter(pa.array([not own.predict(t)[2] for t in batch.column(place).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -15,7 +15,7 @@ import regex
 from . import wordhash
 
 #: Matches of a generation of the cache; two generations are kept, what is used again moves to the younger one.
-CACHE = 400_000
+CACHE = 120_000
 
 #: Encodes distinct pattern matches: little-endian bytes of the ids of each.
 Encode = Callable[[list[str]], list[bytes]]

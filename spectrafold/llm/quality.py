@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import ngrams
 from .langid import held_out
-from .shared import schema_with
+from .shared import parts, schema_with
 
 BITS = 16
 WIDTHS = (2, 3, 4)
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     picked = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             packed = [indicators(t).astype("<u2").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], names=["doc_id", "quality", "bins"])
 
@@ -171,7 +171,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
-        for batch in batches:
+        for batch in parts(batches):
             got = np.array([own.score(t) for t in batch.column(place).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got), pa.array((got >= 0.5).astype(np.int32))], names=schema.names)
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -42,3 +44,14 @@ def schema_with(df: DataFrame, **kinds: str) -> StructType:
     for name, kind in kinds.items():
         out = out.add(name, kind)
     return out
+
+
+#: Rows of an Arrow batch that a task turns into Python values at once.
+PART_ROWS = 1024
+
+
+def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of PART_ROWS rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART_ROWS):
+            yield batch.slice(at, PART_ROWS)

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .bpe import default_pattern
 from .pieces import Pieces
-from .shared import shared_path
+from .shared import parts, shared_path
 from .wordhash import mix
 
 END_ID = 0
@@ -231,7 +231,7 @@ def write_ids(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
             kinds = [pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 4]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
 
-        for batch in batches:
+        for batch in parts(batches):
             for k, x in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist()), strict=True):
                 if size and size + len(x) > shard_ids * own.width:
                     yield flush()
