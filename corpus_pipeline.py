@@ -24,8 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of multi-line chunks are cut out of the texts; n_chars follows. No document goes."""
-    out = lines.dedup(docs)
+    """Later copies of chunks and of whole shared runs of lines are cut out of the texts; n_chars follows. No document goes."""
+    out = lines.dedup(docs, runs=True)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

@@ -38,7 +38,7 @@ def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_documents(_table(spark, sf_dir, "documents"))
+    return lines.dedup_documents(_table(spark, sf_dir, "documents"), runs=True)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,6 +165,40 @@ def test_chunks_meet_again_after_an_inserted_line(spark):
     assert len(cut[0] & cut[1]) >= len(cut[0]) - 3 and len(cut[0]) > 8
 
 
+def test_line_runs_go_whole(spark):
+    rnd = random.Random(8)
+    number = iter(range(10**6))
+    line = lambda n: " ".join(f"u{next(number)}" for _ in range(n))
+    rows, planted, i = [], [], 0
+    for k in range(60):  # passages of 2 to 8 lines and 50 words or more, each time between other neighbours
+        passage = [line(rnd.randrange(26, 34) if k % 3 == 0 else 13) for _ in range(2 if k % 3 == 0 else rnd.randrange(4, 9))]
+        for copy in range(3):
+            before, after = [line(5) for _ in range(rnd.randrange(3))], [line(5) for _ in range(rnd.randrange(3))]
+            rows.append((i, "\n".join([*before, *passage, *after])))
+            planted.append((i, copy, "\n".join([*before, *after] if copy else [*before, *passage, *after])))
+            i += 1
+    alone, short, pair = line(50), line(49), [line(20), line(20)]
+    rows += [(900, alone), (901, f"{line(3)}\n{alone}\n{line(3)}"), (902, short), (903, f"{line(3)}\n{short}\n{line(3)}")]
+    parted = [line(20) for _ in range(4)]  # both pairs stand earlier, the step between them nowhere: 40 words twice
+    rows += [(904, "\n".join([line(3), *parted[:2]])), (905, "\n".join([line(3), *parted[2:]])), (906, "\n".join(parted)), (907, "\n".join([line(3), *pair, *pair, *pair]))]
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: r["text"] for r in lines.dedup(df, runs=True).collect()}
+    assert [got[n] for n, _, _ in planted] == [want for _, _, want in planted]
+    assert got[900] == alone and got[901].split("\n") == [rows[-7][1].split("\n")[0], rows[-7][1].split("\n")[2]]
+    assert got[902] == short and got[903] == rows[-5][1]
+    held = {x for text in got.values() for x in text.split("\n")}
+    assert held >= {x for _, text in rows for x in text.split("\n")}
+    by_chunks = {r["doc_id"]: r["text"] for r in lines.dedup(df).collect()}
+    assert sum(by_chunks[n] == want for n, copy, want in planted if copy) < sum(copy > 0 for _, copy, _ in planted) / 2
+
+
+def test_line_runs_on_odd_texts(docs, corpus, empty):
+    got = lines.dedup(docs, runs=True).collect()
+    assert len(got) == len(corpus) and lines.dedup_documents(empty, runs=True).count() == 0
+    assert {x for r in got for x in (r["text"] or "").split("\n")} >= {x for _, t in corpus for x in (t or "").split("\n")}
+    assert [r["text"] for r in got if r["doc_id"] == 900] == [None]
+
+
 @pytest.fixture(scope="module")
 def items(spark, corpus):
     w = words(corpus[0][1])
