@@ -28,6 +28,7 @@ are dropped.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -61,13 +62,21 @@ def default_tokenizer() -> str:
 
 
 class Tokens:
-    """encode(texts): bytes of the ids of each text by the tokenizers library, as little-endian unsigned integers of `width` bytes."""
+    """encode(texts): bytes of the ids of each text by the tokenizers library, as little-endian unsigned integers of `width` bytes.
 
-    def __init__(self, path: str, pattern: str):
+    With `added`, added tokens of the tokenizer's file are recognised, as the library does by default: a text that holds one
+    is encoded whole. All other texts go through the cache of pattern matches, to the same ids.
+    """
+
+    def __init__(self, path: str, pattern: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = not added
+        tokens = self._tokenizer.get_added_tokens_decoder().values() if added else ()
+        self._added = re.compile("|".join(re.escape(t.content) for t in tokens)) if tokens else None
+        # A normalizer can make an added token of other characters.
+        self._whole = added and self._tokenizer.normalizer is not None
         self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
         self._code = "H" if self.width == 2 else "I"
         self._pieces = Pieces(pattern, self._new)
@@ -80,12 +89,18 @@ class Tokens:
         return out
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        return self._pieces.encode(texts)
+        if self._added is None and not self._whole:
+            yield from self._pieces.encode(texts)
+            return
+        whole = [bool(t) and (self._whole or self._added.search(t) is not None) for t in texts]
+        rest = self._pieces.encode([None if w else t for t, w in zip(texts, whole, strict=True)])
+        for t, w, ids in zip(texts, whole, rest, strict=True):
+            yield self._new([t])[0] if w else ids
 
 
 @lru_cache(maxsize=2)
-def tokens(path: str, pattern: str) -> Tokens:
-    return Tokens(path, pattern)
+def tokens(path: str, pattern: str, added: bool = False) -> Tokens:
+    return Tokens(path, pattern, added)
 
 
 def key_hash(keys: np.ndarray) -> np.ndarray:
@@ -198,8 +213,8 @@ class Shard:
 _MANIFEST = "part int, piece int, file string, docs bigint, ids bigint, first_key bigint, last_key bigint"
 
 
-def write_ids(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, pattern: str | None = None, shard_ids: int = SHARD_IDS) -> DataFrame:
-    """Write the ids of docs below path; the manifest, one row a shard, is also kept there."""
+def write_ids(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, pattern: str | None = None, shard_ids: int = SHARD_IDS, added: bool = False) -> DataFrame:
+    """Write the ids of docs below path, with `added` with ids of the tokenizer's added tokens; the manifest, one row a shard, is also kept there."""
     from_file, split = tokenizer or default_tokenizer(), pattern or default_pattern()
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     order = [F.col("key").asc_nulls_first(), F.xxhash64("text")]
@@ -208,7 +223,7 @@ def write_ids(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        own, part = tokens(from_file, split), TaskContext.get().partitionId()
+        own, part = tokens(from_file, split, added), TaskContext.get().partitionId()
         end = END_ID.to_bytes(own.width, "little")
         where, root = fs.FileSystem.from_uri(path)
         keys: list[int | None] = []
@@ -304,6 +319,6 @@ def encode_and_read_back(docs: DataFrame) -> DataFrame:
     """Digest of operator 2: write all documents' ids to the shared folder, read the files, one row a document."""
     spark = docs.sparkSession
     path = shared_path(spark, "token-ids")
-    if write_ids(docs, path).isEmpty():
+    if write_ids(docs, path, added=True).isEmpty():
         return spark.createDataFrame([], "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
     return read_ids(spark, path).withColumnRenamed("key", "doc_id")

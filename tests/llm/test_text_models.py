@@ -121,6 +121,24 @@ def test_token_files(docs, empty, spark, tmp_path):
     assert tokenids.encode_and_read_back(empty).count() == 0
 
 
+def test_token_ids_as_the_library_at_its_defaults(spark):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(tokenids.default_tokenizer())
+    rnd = random.Random(6)
+    parts = ["<|endoftext|>", "<|endoftext|", "|>", " ", "\n", "word", "é漢", "1234", "<", "'s", "\x1c"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", *["".join(rnd.choices(parts, k=rnd.randrange(12))) for _ in range(300)]]
+    rows = [*ODD[:8], *[(100 + k, t) for k, t in enumerate(texts)]]
+    want, start = [], 0
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = own.encode(t or "", add_special_tokens=False).ids + [0]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = tokenids.encode_and_read_back(spark.createDataFrame(rows, DOCS)).orderBy("start").collect()
+    assert [tuple(r) for r in got] == want
+    assert own.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 1000, 20000):
