@@ -7,8 +7,9 @@ alnum or mixed; runs without a digit have none); a window of 20 characters
 slides over it and keeps its symbol counts and sum of c*log2(c) incrementally,
 one symbol entering and one leaving a step. Windows whose Shannon entropy
 reaches the class's threshold are merged from the first to the last into one
-span. An allow-list drops well-known harmless shapes, and spans that overlap a
-pattern match are not reported twice.
+span. Pattern matches and the harmless words and paths of an allow-list are cut
+out of a candidate first; what is left of it is examined in parts of 20 or more
+characters, each with its own class. A part that is a UUID is harmless.
 
 Positions are code points, end exclusive. The text is cut once by the pattern
 (split) and the matches are extracted; their lengths in turn give positions.
@@ -35,13 +36,16 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 20
 #: Bits a symbol from which a window of a class counts as random.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "mixed": 3.8}
-#: Candidates in which one of these is found are harmless.
-ALLOW = (
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUID
-    r"(?i)example|sample|dummy|placeholder|changeme|redacted",
-    r"0123456789|1234567890|(?i:abcdefghij|qwertyuiop)",
-    r"(.)\1{7}",
-    r"(?i)/(?:usr|home|var|etc|opt|static|assets|images)/",
+#: A candidate, or what is left of it, of this shape is harmless.
+ALLOW_WHOLE = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"  # UUID
+#: Harmless by themselves, not with what stands beside them; group 1 is the repeated character.
+ALLOW = "|".join(
+    (
+        r"(?i:example|sample|dummy|placeholder|changeme|redacted)",
+        r"0123456789|1234567890|(?i:abcdefghij|qwertyuiop)",
+        r"(.)\1{7,}",
+        r"(?i:/(?:usr|home|var|etc|opt|static|assets|images)/)",
+    )
 )
 KINDS = ("assign", "access", "hex", "entropy")
 _SCALE = 1 << 20
@@ -107,13 +111,20 @@ def window_span(candidate: Column) -> Column:
         )
 
     scanned = F.aggregate(symbols, state, step, lambda acc: F.struct(acc["lo"].alias("lo"), acc["hi"].alias("hi")))
-    allowed = F.lit(False)
-    for pattern in ALLOW:
-        allowed = allowed | candidate.rlike(pattern)
+    allowed = candidate.rlike(ALLOW_WHOLE)
     none = F.struct(F.lit(-1).alias("lo"), F.lit(0).alias("hi"))
     return F.when((kind_limit < 0) | allowed, none).otherwise(scanned)
 
 
+def _rest(run: Column, cuts: Column) -> Column:
+    """Parts of WINDOW characters or more that are left of a run; cuts: spans by start that touch it."""
+    part = lambda a, b: F.struct(a.alias("start"), run["rank"].alias("rank"), b.alias("end"), run["kind"].alias("kind"))
+    empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
+    added = lambda acc, b: F.when(b - acc["at"] >= WINDOW, F.array_append(acc["out"], part(acc["at"], b))).otherwise(acc["out"])
+    step = lambda acc, c: F.struct(F.greatest(acc["at"], c["end"]).alias("at"), added(acc, c["start"]).alias("out"))
+    return F.aggregate(cuts, F.struct(run["start"].alias("at"), empty.alias("out")), step, lambda acc: added(acc, run["end"]))
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `base_spans` and `all_spans`, arrays of struct<start, rank, end, kind> by start, then kind."""
     t = F.coalesce(F.col(text), F.lit(""))
@@ -128,7 +139,15 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         "base_spans",
         F.array_sort(F.concat(F.when(F.col("_assign"), assign).otherwise(none), F.when(F.col("_run"), F.concat(access, hexes)).otherwise(none))),
     )
-    runs = F.filter(runs, lambda r: ~F.exists(F.col("base_spans"), lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    runs = F.flatten(F.transform(runs, lambda r: _rest(r, F.filter("base_spans", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))))
+
+    def unharmed(r: Column) -> Column:
+        own = F.substring(t, r["start"] + 1, r["end"] - r["start"])
+        harmless = _spans("entropy", F.split(own, ALLOW, -1), _found(own, ALLOW))
+        shifted = F.transform(harmless, lambda h: F.struct((h["start"] + r["start"]).alias("start"), (h["end"] + r["start"]).alias("end")))
+        return F.when(own.rlike(ALLOW_WHOLE), none).otherwise(_rest(r, shifted))
+
+    runs = F.flatten(F.transform(runs, unharmed))
     out = out.withColumn("_runs", F.when(F.col("_run"), runs).otherwise(none))
 
     def judged(r: Column) -> Column:

@@ -68,6 +68,16 @@ def test_entropy_spans(spark):
     assert got == [f"entropy:4:{4 + len(random_run)}", "", "", ""]
 
 
+def test_entropy_beside_a_pattern_match_or_a_harmless_word(spark):
+    key, other, hexes = "q7Zr2LmX9vKpT4wYb8NcJ3hDs6Fg", "M5tB1xQe8RzU3kWj7VnPa2CyH9dLo4", "0a1b2c3d4e5f60718293" * 2
+    texts = [f"see {hexes}/{key} here", f"see /home/x/{key} here", f"{key}/example/{other}", f"{key}{'z' * 9}{other}", f"{hexes}-{key}-{hexes}-{other}", "/home/123e4567-e89b-12d3-a456-426614174000", f"see {hexes}/short here"]
+    wanted = [[key], [key], [key, other], [key, other], [key, other], [], []]
+    got = [r["spans"].split(",") for r in secrets.scan_documents(spark.createDataFrame(list(enumerate(texts)), DOCS)).orderBy("doc_id").collect()]
+    for text, spans, keys in zip(texts, got, wanted, strict=True):
+        found = [text[int(a) : int(b)] for kind, a, b in (s.split(":") for s in spans if s) if kind == "entropy"]
+        assert len(found) == len(keys) and all(k in f for k, f in zip(keys, found, strict=True)), (text, found)
+
+
 def test_secrets_odd(docs, empty):
     assert secrets.scan_documents(docs).count() == len(ODD)
     assert secrets.scan_documents(empty).count() == 0
