@@ -16,7 +16,7 @@ shares enough prefix tokens and is not joined yet. A group of m near copies so
 costs about m verifications, and no link between different components is lost.
 
 Scale: the texts are read by map passes and never shuffled unless the list of
-candidate documents outgrows BROADCAST_ROWS. Postings of one token are dealt by
+candidate documents outgrows BROADCAST_ROWS or BROADCAST_PARTNERS. Postings of one token are dealt by
 token; those of frequent tokens, which are known before, by token and a salt.
 Token counts are gathered in blocks, so a token in fewer than two documents of
 every block counts as rare: that changes cost, never results. Components are
@@ -54,6 +54,8 @@ FREQUENT = 200_000
 SALTS = 64
 #: Candidate documents up to this number are broadcast to the scan; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: And they hold at most so many partners together.
+BROADCAST_PARTNERS = 500_000
 #: A pivot with more partners is compared in SALTS tasks.
 HOT_PIVOT = 5_000
 
@@ -250,7 +252,9 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     to = way.groupBy(F.col("from").alias("class")).agg(F.collect_set(F.struct(F.col("to"), spread.alias("spread"))).alias("to"))
     home = way.groupBy(F.col("to").alias("class")).agg(F.max(spread).alias("home"))
     wanted = keep(to.join(home, "class", "full_outer").join(classes, "class"), "wanted")
-    small = wanted.count() <= BROADCAST_ROWS
+    # A row holds all its partners, whose total is the number of pairs.
+    size = wanted.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size(F.coalesce("to", F.array().cast(to.schema["to"].dataType)))), F.lit(0)).alias("partners")).first()
+    small = size["rows"] <= BROADCAST_ROWS and size["partners"] <= BROADCAST_PARTNERS
     wanted = wanted.select("class", "to", "home", F.col("text_hash").alias("_hash"), F.col("doc_id").alias("_id"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     same = (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))

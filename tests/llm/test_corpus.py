@@ -103,6 +103,19 @@ def test_jaccard_join_with_frequent_tokens(docs, corpus, monkeypatch):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_jaccard_join_broadcasts_few_partners_only(docs, corpus, monkeypatch):
+    sent, broadcast = [], jaccard.F.broadcast
+    monkeypatch.setattr(jaccard.F, "broadcast", lambda df: sent.append("to" in df.columns) or broadcast(df))
+    classes = docs.where("doc_id in (0, 1, 2, 905)").select(F.col("doc_id").alias("class"), "doc_id", F.xxhash64("text").alias("text_hash"))
+    pairs = docs.sparkSession.createDataFrame([(0, 1), (0, 2), (1, 2), (0, 905)], "x bigint, y bigint")
+    found = lambda: sorted(tuple(sorted(r)) for r in jaccard.verify(docs, classes, pairs).collect())
+    monkeypatch.setattr(jaccard, "BROADCAST_PARTNERS", 4)
+    want = found()
+    assert sent.count(True) == 1
+    monkeypatch.setattr(jaccard, "BROADCAST_PARTNERS", 3)
+    assert found() == want and sent.count(True) == 1
+
+
 def test_one_of_each_group_stays(docs, corpus):
     _, group = plain_components(corpus)
     kept = jaccard.keep_one(docs).collect()
