@@ -1,31 +1,39 @@
 """N-gram Jaccard join (operator 9): adaptive multi-match prefixes.
 
-A document's set holds its distinct five-word shingles. Equal sets form a class
-and go on as one. Tokens have one global order, rare ones first. By the prefix
-lemma, two sets of n tokens that link share at least l tokens among the first
-n - ceil(0.75 n) + l of each, for any l up to the needed overlap. Every class
-picks its own l, from 1 to a quarter of its tokens: a longer prefix costs postings but asks
-for more shared tokens, which pays where the tokens of the prefix are frequent;
-the cost is estimated from token counts over all documents. A pair must share
-the lesser l of the two. Candidates are then verified on whole sets.
+A document's set holds its distinct five-word shingles, as tokens. Equal sets
+form a class and go on as one. A class that links with another shares at least
+three quarters of its own tokens with it, so only classes of which so many
+tokens occur in other classes at all can link; the others end here.
+
+Tokens have one global order: by the number of classes that have them, counted
+over all documents, rare ones first. By the prefix lemma two sets that link
+share at least l tokens among the first n - ceil(0.75 n) + l of each, for any l
+up to the needed overlap. Every class picks its own l, from 1 to a quarter of
+its tokens, where the estimated cost is least: a longer prefix has more
+postings but asks for more shared tokens before verification. A pair must share
+the lesser l of the two, each at a place from which on the link is still
+possible. What meets is verified on whole sets.
 
 Dense groups: of each token's postings the class with the largest share of
-frequent tokens is the pivot. A first round verifies each class against its
-best pivot only and joins what links; the second round takes every pair that
-shares enough prefix tokens and is not joined yet. A group of m near copies so
-costs about m verifications, and no link between different components is lost.
-
-Scale: the texts are read by map passes and never shuffled unless the list of
-candidate documents outgrows BROADCAST_ROWS or BROADCAST_PARTNERS. Postings of one token are dealt by
-token; those of frequent tokens, which are known before, by token and a salt.
-Token counts are gathered in blocks, so a token in fewer than two documents of
-every block counts as rare: that changes cost, never results. Components are
-found by joins that pass least labels and double their reach.
+common tokens is the pivot. A first round verifies each class against its best
+pivot only and joins what links; the second round takes every pair that shares
+enough prefix tokens and is not joined yet. A group of m near copies so costs
+about m verifications, and no link between different components is lost.
+
+Scale: texts are read once by a map and never shuffled. Tokens that two classes
+of one block of texts have are known as common there; each distinct token of a
+block travels once, packed with the others of its bucket (about 10 bytes), to
+the task that sees it from all blocks. A token that every text has is one entry
+a block. All that follows are joins and sums of classes that can link. Tokens
+of many classes and classes of many pairs are dealt with a salt by their known
+numbers. Components are found by joins that pass least labels and double their
+reach. Nothing of the corpus reaches the driver.
 
 A null, empty or blank text has no set and links with nothing. Texts of fewer
 than five words have one shingle, the whole sequence. Repeated rows are copies;
 rows with a null id link as others do and take the least id of their component,
-null if it has none. Extra columns are dropped. An empty table gives no rows.
+null if it has none. Ids may be of any ordered type. Extra columns are dropped
+by `join` and kept by `keep_one`. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,26 +46,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .shared import keep, parts
+from .shared import forget, keep, parts, unused
 
 WIDTH = 5
 #: Two sets link when NUM * union <= DEN * intersection.
 NUM, DEN = 3, 4
-#: Other classes that a token which does not count as frequent is reckoned to have: such tokens stand in a few shared passages.
-PARTNERS = 0.02
-#: Tokens of a block whose counts are taken together, and the least count that a block reports.
+#: Tokens and classes of a block that are looked at together. Owners in a block are numbered in 16 bits.
 BLOCK_TOKENS = 1_000_000
-LEAST_IN_BLOCK = 3
-#: Frequent tokens that are known to all tasks, most frequent first. Others count as rare.
-FREQUENT = 200_000
-#: Postings of a frequent token are dealt by this many salts.
-SALTS = 64
-#: Candidate documents up to this number are broadcast to the scan; beyond it they are joined by shuffle.
-BROADCAST_ROWS = 500_000
-#: And they hold at most so many partners together.
-BROADCAST_PARTNERS = 500_000
-#: A pivot with more partners is compared in SALTS tasks.
-HOT_PIVOT = 5_000
+BLOCK_CLASSES = 60_000
+#: Postings of a token, or pairs of a class, for each salt.
+SALTED = 256
+#: A token keeps so many low bits beside the number of its bucket.
+LOW_BITS = 48
+_LOW = np.uint64((1 << LOW_BITS) - 1)
 
 
 def class_of(tokens: np.ndarray) -> int:
@@ -69,293 +70,347 @@ def class_of(tokens: np.ndarray) -> int:
     return int(wordhash.mix(b ^ both[2:]).view(np.int64)[0])
 
 
-def _summaries(docs: DataFrame) -> DataFrame:
-    """A row for each document (tokens null) and rows of counts of tokens that a block has several times."""
+def needed(n: int) -> int:
+    """Least overlap of a set of n tokens with any set that it links with."""
+    return -(-NUM * n // DEN)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: list[np.ndarray] = []
-        seen: set[int] = set()
-        size = 0
 
-        def counted() -> pa.RecordBatch:
-            nonlocal size
-            token, count = np.unique(np.concatenate(block), return_counts=True)
-            often = count >= LEAST_IN_BLOCK
-            block.clear()
-            seen.clear()
-            size = 0
-            return pa.RecordBatch.from_arrays(
-                [pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([token[often].view(np.int64)], pa.list_(pa.int64())), pa.array([count[often]], pa.list_(pa.int64()))], names=names
-            )
+def buckets_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    """0 to buckets - 1, rising with the token."""
+    return (tokens >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
+
+
+def _six(tokens: np.ndarray) -> bytes:
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _from_six(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel()
+
+
+class Block:
+    """Sets of some classes. entries(): (bucket, class, tokens, owners, classes), the rows that travel."""
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+        self.classes: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.seen: set[int] = set()
+        self.size = 0
+
+    def add(self, own: int, tokens: np.ndarray) -> None:
+        if own not in self.seen:
+            self.seen.add(own)
+            self.classes.append(own)
+            self.sets.append(tokens)
+            self.size += len(tokens)
+
+    @property
+    def full(self) -> bool:
+        return self.size >= BLOCK_TOKENS or len(self.classes) >= BLOCK_CLASSES
+
+    def entries(self) -> Iterator[tuple]:
+        if not self.sets:
+            return
+        tokens = np.concatenate(self.sets)
+        owners = np.repeat(np.arange(len(self.sets), dtype=np.uint16), [len(s) for s in self.sets])
+        classes = np.array(self.classes, np.int64)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owners = tokens[order], owners[order]
+        start = np.concatenate(([True], tokens[1:] != tokens[:-1]))
+        alone = start & np.concatenate((start[1:], [True]))
+        # Tokens of one class of the block: with their owners.
+        mine, whose = tokens[alone], owners[alone]
+        cuts = np.searchsorted(buckets_of(mine, self.buckets), np.arange(self.buckets + 1))
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            here = slice(cuts[b], cuts[b + 1])
+            used, place = np.unique(whose[here], return_inverse=True)
+            yield b, None, _six(mine[here]), place.astype("<u2").tobytes(), classes[used].tobytes()
+        # Tokens of two or more: once for the other blocks, and as known to be common for each of their classes.
+        common = tokens[start & ~alone]
+        cuts = np.searchsorted(buckets_of(common, self.buckets), np.arange(self.buckets + 1))
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            yield b, None, _six(common[cuts[b] : cuts[b + 1]]), None, None
+        short = buckets_of(tokens, self.buckets) << np.uint64(LOW_BITS) | tokens & _LOW
+        shared, whose = short[~alone], owners[~alone]
+        order = np.argsort(whose, kind="stable")
+        shared, whose = shared[order], whose[order]
+        for a, b in zip(edges := np.flatnonzero(np.diff(whose.astype(np.int32), prepend=-1)), [*edges[1:], len(whose)], strict=True):
+            own = self.classes[whose[a]]
+            yield own % self.buckets, own, shared[a:b].tobytes(), None, None
+
+
+_TRAVEL = "bucket int, {id}, text_hash bigint, class bigint, n int, tokens binary, owners binary, classes binary"
+_SCANNED = "{id}, text_hash bigint, class bigint, n int, tokens array<bigint>"
+
+
+def _scanned(docs: DataFrame) -> DataFrame:
+    """A row for each document (tokens null), and rows of a class (n null) with tokens of it that another class has too."""
+    buckets = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << 15)
+    doc_id = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    kinds = [pa.int32(), None, pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["bucket", "doc_id", "text_hash", "class", "n", "tokens", "owners", "classes"]
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = Block(buckets)
+
+        def packed(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+            nonlocal block
+            rows: list[tuple] = []
+            for bucket, own, tokens, owners, classes in block.entries():
+                rows.append((bucket, None, None, own, None, tokens, owners, classes))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k or kind) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            block = Block(buckets)
+
+        kind = None
         for batch in parts(batches):
             kind, classes, sizes = batch.column(0).type, [], []
             for tokens in wordhash.shingle_sets(batch.column(2).to_pylist(), WIDTH):
-                own = class_of(tokens)
-                classes.append(own if len(tokens) else None)
+                own = class_of(tokens) if len(tokens) else None
+                classes.append(own)
                 sizes.append(len(tokens))
-                if len(tokens) and own not in seen:
-                    seen.add(own)
-                    block.append(tokens)
-                    size += len(tokens)
-                if size >= BLOCK_TOKENS:
-                    yield counted()
+                if own is not None:
+                    block.add(own, tokens)
+                    if block.full:
+                        yield from packed(kind)
             n = batch.num_rows
+            where = pa.array([0 if c is None else c % buckets for c in classes], pa.int32())
+            yield pa.RecordBatch.from_arrays([where, batch.column(0), batch.column(1), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), *[pa.nulls(n, pa.binary())] * 3], names=names)
+        if kind is not None:
+            yield from packed(kind)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens: list[np.ndarray] = []
+        owners: list[np.ndarray] = []
+        known: list[np.ndarray] = []
+        kind = None
+        for batch in batches:
+            kind = batch.column(1).type
+            own, n, data = batch.column(3).to_pylist(), batch.column(4), batch.column(5)
+            passed = [None if c is None or x is None else np.frombuffer(x, np.int64) for c, x in zip(own, data.to_pylist(), strict=True)]
+            through = pa.array([x is not None for x in own]).to_numpy(False) | n.is_valid().to_numpy(False)
+            if through.any():
+                # Documents, those without a set too, and what is known already.
+                rows = pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), n, pa.array(passed, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "class", "n", "tokens"])
+                yield rows.filter(pa.array(through))
+            for bucket, c, size, x, o, names in zip(batch.column(0).to_pylist(), own, n.to_pylist(), data.to_pylist(), batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True):
+                if c is not None or size is not None:
+                    continue
+                short = _from_six(x) | np.uint64(bucket << LOW_BITS)
+                if o is None:
+                    known.append(short)
+                else:
+                    tokens.append(short)
+                    owners.append(np.frombuffer(names, np.int64)[np.frombuffer(o, "<u2")])
+        if not tokens:
+            return
+        token, owner = np.concatenate(tokens), np.concatenate(owners)
+        tokens.clear()
+        owners.clear()
+        order = np.argsort(token, kind="stable")
+        token, owner = token[order], owner[order]
+        start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        common = np.minimum.reduceat(owner, start) != np.maximum.reduceat(owner, start)
+        if known:
+            common |= np.isin(token[start], np.unique(np.concatenate(known)))
+        shared = np.repeat(common, np.diff(np.append(start, len(token))))
+        token, owner = token[shared], owner[shared]
+        order = np.argsort(owner, kind="stable")
+        token, owner = token[order], owner[order]
+        start = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, np.int64)
+        for at in range(0, len(start), 4096):
+            some = start[at : at + 4096]
+            ends = np.append(start, len(owner))[at : at + len(some) + 1]
+            lists = pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), pa.array(token[ends[0] : ends[-1]].view(np.int64)))
+            none = len(some)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))], names=names
+                [pa.nulls(none, kind), pa.nulls(none, pa.int64()), pa.array(owner[some]), pa.nulls(none, pa.int32()), lists], names=["doc_id", "text_hash", "class", "n", "tokens"]
             )
-        if block:
-            yield counted()
 
-    names = ["doc_id", "text_hash", "class", "n", "tokens", "counts"]
-    doc_id = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    return keep(rows.mapInArrow(run, f"doc_id {doc_id}, text_hash bigint, class bigint, n int, tokens array<bigint>, counts array<bigint>"), "summaries")
+    sent = rows.mapInArrow(send, _TRAVEL.format(id=doc_id)).repartitionById(buckets, F.col("bucket"))
+    return keep(sent.mapInArrow(meet, _SCANNED.format(id=doc_id)), "scanned")
 
 
-def _frequent(summaries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent tokens, ascending, and their counts: at most FREQUENT of them reach the driver."""
-    each = summaries.where(F.col("tokens").isNotNull()).select(F.explode(F.arrays_zip("tokens", "counts")).alias("x"))
-    total = each.groupBy(F.col("x.tokens").alias("token")).agg(F.sum("x.counts").alias("n"))
-    top = total.orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
-    token = top["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(token)
-    return token[order], top["n"].to_numpy(np.int64)[order]
+def _classes(scanned: DataFrame) -> DataFrame:
+    """class, n, least doc_id, and of how many of its tokens it is known that another class has them (copies count each)."""
+    hits = F.sum(F.coalesce(F.array_size("tokens"), F.lit(0)).cast("long")).alias("hits")
+    return scanned.where(F.col("class").isNotNull()).groupBy("class").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"), hits)
 
 
-def needed(n: int) -> int:
-    """Least overlap of a set of n tokens with any set that it links with."""
-    return -(-NUM * n // DEN)
+def _salt(of: str, number: Column) -> Column:
+    """One of `number` salts, by the value of a column."""
+    return F.pmod(F.xxhash64(of), number).cast("int")
 
 
-def prefix(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Prefix of a set in the global order: its tokens, which of them are frequent, the matches it asks for, and the percentage of frequent tokens in the set."""
-    n = len(tokens)
-    at = np.searchsorted(frequent, tokens)
-    at[at == len(frequent)] = 0
-    often = frequent[at] == tokens if len(frequent) else np.zeros(n, bool)
-    seen = np.where(often, counts[at], 1) if len(frequent) else np.ones(n, np.int64)
-    base = n - needed(n)
-    most = min(max(1, n // 4), needed(n))
-    take = min(n, base + most)
-    # Rare tokens stand before frequent ones; each kind by count, then by value, as they come.
-    rare = np.flatnonzero(~often)[:take]
-    order = rare
-    if len(rare) < take:
-        busy = np.flatnonzero(often)
-        order = np.concatenate((rare, busy[np.argsort(seen[busy], kind="stable")][: take - len(rare)]))
-    partners = np.cumsum(seen[order] - 1 + PARTNERS)
-    matches = np.arange(1, most + 1)
-    cost = base + matches + n * partners[base + matches - 1] / matches
-    chosen = int(np.argmin(cost)) + 1
-    order = order[: base + chosen]
-    return tokens[order], often[order], chosen, int(100 * often.sum() // n)
-
-
-def _postings(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """token, salt (0: rare), class, n, place in the prefix, matches, share of frequent tokens, number of those in the prefix."""
-    table = docs.sparkSession.sparkContext.broadcast((frequent, counts))  # at most FREQUENT of each
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often_seen = table.value
-        for batch in batches:
-            seen: set[int] = set()
-            heads: list[tuple] = []
-            size = 0
-            for tokens in (t for part in parts([batch]) for t in wordhash.shingle_sets(part.column(0).to_pylist(), WIDTH)):
-                own = class_of(tokens)
-                if not len(tokens) or own in seen:
-                    continue
-                seen.add(own)
-                head, often, chosen, share = prefix(tokens, known, often_seen)
-                salt = np.where(often, 1 + own % SALTS, 0).astype(np.int32)
-                heads.append((head.view(np.int64), salt, own, len(tokens), chosen, share, int(often.sum())))
-                size += len(head)
-                if size >= 200_000:
-                    yield packed(heads)
-                    heads, size = [], 0
-            if heads:
-                yield packed(heads)
-
-    def packed(heads: list[tuple]) -> pa.RecordBatch:
-        lengths = np.array([len(p[0]) for p in heads])
-        wide = lambda k, kind: pa.array(np.repeat(np.array([p[k] for p in heads], kind), lengths))
-        places = np.concatenate([np.arange(n) for n in lengths]).astype(np.int32)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([p[0] for p in heads])), pa.array(np.concatenate([p[1] for p in heads])), wide(2, np.int64), wide(3, np.int32), pa.array(places), wide(4, np.int32), wide(5, np.int32), wide(6, np.int32)],
-            names=["token", "salt", "class", "n", "place", "matches", "share", "busy"],
-        )
-
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "token bigint, salt int, class bigint, n int, place int, matches int, share int, busy int")
+def _salts(number: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), (number - F.lit(1)).cast("int")))
+
+
+def _counted(tokens: DataFrame) -> DataFrame:
+    """The tokens that two classes or more have, with the number f of these classes."""
+    common = tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
+    return tokens.join(common, "token")
+
+
+def _able(n: str, held: Column) -> Column:
+    return NUM * F.col(n) <= DEN * held
+
+
+def _tokens(scanned: DataFrame, classes: DataFrame) -> DataFrame:
+    """class, n, token, f: tokens that two classes have, of the classes that have enough of them to link."""
+    able = classes.where(_able("n", F.col("hits"))).select("class", "n")
+    rows = scanned.where(F.col("tokens").isNotNull()).select("class", "tokens").join(able, "class")
+    rows = keep(rows.select("class", "n", F.explode("tokens").alias("token")).distinct(), "tokens")
+    held = F.count("*").over(Window.partitionBy("class"))
+    # Tokens shared with classes that cannot link are no help.
+    left = _counted(rows).withColumn("held", held).where(_able("n", F.col("held"))).select("class", "n", "token")
+    left = keep(left, "able")
+    out = keep(_counted(left), "counted")
+    forget(rows, left)
+    return out
+
+
+def postings(tokens: DataFrame) -> DataFrame:
+    """token, class, n, f, place in the global order, matches asked for, and share: the percentage of common tokens; the prefixes alone."""
+    own = Window.partitionBy("class")
+    order = own.orderBy("f", "token")
+    base = F.col("n") - F.ceil(F.col("n") * NUM / DEN).cast("int")
+    placed = tokens.withColumn("held", F.count("*").over(own)).withColumn("place", (F.col("n") - F.col("held") + F.row_number().over(order) - 1).cast("int"))
+    placed = placed.withColumn("met", F.sum(F.col("f") - 1).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    matches = F.col("place") - base + 1
+    most = F.least(F.greatest(F.lit(1), F.floor(F.col("n") / 4).cast("int")), F.col("n") - base)
+    # What is met costs a row each; of those met l times or more, of which there are at most 1 / l, each costs a verification.
+    cost = F.col("met") * (1 + F.col("n") / matches) + F.col("place")
+    best = F.min(F.when((matches >= 1) & (matches <= most), F.struct(cost.alias("cost"), matches.alias("matches")))).over(own)
+    chosen = placed.withColumn("best", best).where(F.col("place") < base + F.col("best.matches"))
+    share = F.floor(F.lit(100) * F.col("held") / F.col("n")).cast("int")
+    return chosen.select("token", "class", "n", "f", "place", F.col("best.matches").alias("matches"), share.alias("share"))
+
+
+def _reach(a: Column, b: Column, after: Column) -> Column:
+    """|x & y| >= NUM / DEN * |x | y| is the same as (NUM + DEN) * |x & y| >= NUM * (|x| + |y|)."""
+    return (NUM + DEN) * after >= NUM * (a + b)
 
 
 def _sizes_fit(a: Column, b: Column) -> Column:
     return DEN * F.least(a, b) >= NUM * F.greatest(a, b)
 
 
-def _shared_postings(postings: DataFrame) -> DataFrame:
-    """Postings of tokens that two classes have, or that are frequent."""
-    of_token = Window.partitionBy("token", "salt")
-    seen = postings.withColumn("_lo", F.min("class").over(of_token)).withColumn("_hi", F.max("class").over(of_token))
-    return seen.where((F.col("salt") > 0) | (F.col("_lo") != F.col("_hi"))).withColumn("often", F.col("salt") > 0).drop("_lo", "_hi", "salt").dropDuplicates(["token", "class"])
+def _spread(number: str) -> Column:
+    return F.ceil(F.col(number) / SALTED)
 
 
-def _pivot_pairs(postings: DataFrame) -> DataFrame:
+def _pivot_pairs(rows: DataFrame) -> DataFrame:
     """x, y: each class with the pivot with which it shares most tokens."""
-    pivots = postings.groupBy("token").agg(F.max(F.struct("share", "n", "class", "matches")).alias("p"))
-    pivots = keep(pivots.select("token", F.col("p.class").alias("y"), F.col("p.n").alias("yn"), F.col("p.matches").alias("ym")), "pivots")
-    met = postings.join(pivots, "token").where((F.col("class") != F.col("y")) & _sizes_fit(F.col("n"), F.col("yn")))
+    pivots = rows.groupBy("token").agg(F.max(F.struct("share", "n", "class", "matches")).alias("p"), F.max("f").alias("f"))
+    pivots = pivots.select("token", F.col("p.class").alias("y"), F.col("p.n").alias("yn"), F.col("p.matches").alias("ym"), _salts(_spread("f")).alias("salt"))
+    met = rows.withColumn("salt", _salt("class", _spread("f"))).join(pivots, ["token", "salt"]).where((F.col("class") != F.col("y")) & _sizes_fit(F.col("n"), F.col("yn")))
     votes = met.groupBy(F.col("class").alias("x"), "y").agg(F.count("*").alias("votes"), F.min(F.least("matches", "ym")).alias("demand"))
-    return votes.where(F.col("votes") >= F.col("demand")).groupBy("x").agg(F.max(F.struct("votes", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
+    return votes.where("votes >= demand").groupBy("x").agg(F.max(F.struct("votes", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
 
 
-def _open_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
+def _open_pairs(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """x, y: pairs of different components that share as many prefix tokens as the lesser of their two demands.
 
-    |x & y| >= NUM / DEN * |x | y| is the same as (NUM + DEN) * |x & y| >= NUM * (|x| + |y|). What stands before a shared
-    token in both sets and what stands from it on bounds |x & y|; from the first shared token on, what follows bounds it
-    alone. A frequent token is only met where it can be the first shared one of a link: a pair then needs no count, and
-    in other counts the frequent tokens of the prefixes are taken as shared.
+    From the j-th shared token of a link on there are j - 1 fewer tokens than the overlap: the first l shared ones all
+    stand at places that leave the needed overlap but l - 1 in both sets, and the first leaves all of it.
     """
-    comp = F.coalesce("label", "class").alias("comp")
-    own = postings.join(labels, postings["class"] == labels["node"], "left").select("token", "often", "class", "n", "place", "matches", "busy", comp)
+    own = rows.join(labels, rows["class"] == labels["node"], "left").select("token", "class", "n", "f", "place", "matches", F.coalesce("label", "class").alias("comp"))
     own = keep(own, "labelled")
     mixed = own.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    own = keep(own.join(mixed, "token", "left_semi"), "open")
-    a, b = own.alias("a"), own.alias("b")
+    own = own.join(mixed, "token", "left_semi")
+    a = own.withColumn("salt", _salt("class", _spread("f"))).alias("a")
+    b = own.withColumn("salt", _salts(_spread("f"))).alias("b")
     after = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
-    both = F.when(F.col("a.often"), F.lit(0)).otherwise(F.least("a.place", "b.place"))
-    may_link = (NUM + DEN) * (both + after) >= NUM * (F.col("a.n") + F.col("b.n"))
-    fits = _sizes_fit(F.col("a.n"), F.col("b.n"))
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & (F.col("a.class") < F.col("b.class")) & fits & may_link)
+    demand = F.least("a.matches", "b.matches")
+    on = (F.col("a.token") == F.col("b.token")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.comp") != F.col("b.comp")) & (F.col("a.class") < F.col("b.class"))
+    met = a.join(b, on & _sizes_fit(F.col("a.n"), F.col("b.n")) & _reach(F.col("a.n"), F.col("b.n"), after + demand - 1))
     pairs = met.groupBy(F.col("a.class").alias("x"), F.col("b.class").alias("y")).agg(
-        F.count("*").alias("shared"),
-        F.max("a.often").alias("often"),
-        F.min(F.least("a.matches", "b.matches")).alias("demand"),
-        F.min(F.least("a.busy", "b.busy")).alias("busy"),
-        F.max(after).alias("after"),
-        F.min(F.col("a.n") + F.col("b.n")).alias("sum_n"),
+        F.count("*").alias("shared"), F.min(demand).alias("demand"), F.max(after).alias("after"), F.min("a.n").alias("xn"), F.min("b.n").alias("yn")
     )
-    reach = (NUM + DEN) * F.col("after") >= NUM * F.col("sum_n")
-    return pairs.where((F.col("often") | (F.col("shared") + F.col("busy") >= F.col("demand"))) & reach).select("x", "y")
+    return pairs.where((F.col("shared") >= F.col("demand")) & _reach(F.col("xn"), F.col("yn"), F.col("after"))).select("x", "y")
 
 
-def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (x, y: classes) whose whole sets link. classes: class, doc_id and text_hash of one document of each."""
+def verify(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (x, y: classes) whose whole sets link. sets: class, n and tokens, of which those that no other class has may be left out."""
     pairs = keep(pairs, "pairs")
-    # Each set travels to the partner that more pairs meet in: few travel twice.
-    degree = pairs.select(F.col("x").alias("c")).unionAll(pairs.select(F.col("y").alias("c"))).groupBy("c").agg(F.count("*").alias("d"))
+    # Of each pair one set travels to the other, that of the class in fewer pairs; a class with many is met in several tasks.
+    degree = keep(pairs.select(F.col("x").alias("c")).unionAll(pairs.select(F.col("y").alias("c"))).groupBy("c").agg(F.count("*").alias("d")), "degrees")
     dx, dy = degree.select(F.col("c").alias("x"), F.col("d").alias("dx")), degree.select(F.col("c").alias("y"), F.col("d").alias("dy"))
     at_y = F.struct("dy", "y") >= F.struct(F.col("dx"), F.col("x"))
-    way = pairs.join(dx, "x").join(dy, "y").select(F.when(at_y, F.col("x")).otherwise(F.col("y")).alias("from"), F.when(at_y, F.col("y")).otherwise(F.col("x")).alias("to"), F.greatest("dx", "dy").alias("d"))
-    spread = F.when(F.col("d") > HOT_PIVOT, F.lit(SALTS)).otherwise(F.lit(1))
-    to = way.groupBy(F.col("from").alias("class")).agg(F.collect_set(F.struct(F.col("to"), spread.alias("spread"))).alias("to"))
-    home = way.groupBy(F.col("to").alias("class")).agg(F.max(spread).alias("home"))
-    wanted = keep(to.join(home, "class", "full_outer").join(classes, "class"), "wanted")
-    # A row holds all its partners, whose total is the number of pairs.
-    size = wanted.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size(F.coalesce("to", F.array().cast(to.schema["to"].dataType)))), F.lit(0)).alias("partners")).first()
-    small = size["rows"] <= BROADCAST_ROWS and size["partners"] <= BROADCAST_PARTNERS
-    wanted = wanted.select("class", "to", "home", F.col("text_hash").alias("_hash"), F.col("doc_id").alias("_id"))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    same = (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    rows = rows.join(F.broadcast(wanted) if small else wanted, same).select("class", "to", "home", "text")
-
-    def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
-        for batch in parts(batches):
-            classes, tos, homes, texts = (batch.column(k).to_pylist() for k in range(4))
-            rows: list[tuple] = []
-            size = 0
-            for own, partners, home, tokens in zip(classes, tos, homes, wordhash.shingle_sets(texts, WIDTH), strict=True):
-                if own in sent:
-                    continue  # a repeated row
-                sent.add(own)
-                data = tokens.tobytes()
-                for p in partners or ():
-                    rows.append((p["to"], own % p["spread"], 1, own, data))
-                for salt in range(home or 0):
-                    rows.append((own, salt, 0, own, data))
-                size += len(data) * (len(partners or ()) + (home or 0))
-                if size > 8 << 20:
-                    yield made(rows)
-                    rows, size = [], 0
-            if rows:
-                yield made(rows)
-
-    def made(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["at", "salt", "kind", "who", "tokens"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, mine = None, None
-        for batch in batches:
-            links: list[tuple[int, int]] = []
-            at, salt, kind, who = (batch.column(k).to_pylist() for k in range(4))
-            for k, tokens in enumerate(batch.column(4)):
-                other = np.frombuffer(tokens.as_buffer(), np.uint64)
-                if kind[k] == 0:
-                    here, mine = (at[k], salt[k]), other.copy()
-                elif (at[k], salt[k]) == here:
-                    place = np.searchsorted(mine, other)
-                    place[place == len(mine)] = 0
-                    both = int((mine[place] == other).sum())
-                    if DEN * both >= NUM * (len(mine) + len(other) - both):
-                        links.append((who[k], at[k]))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["x", "y"])
-
-    sets = rows.mapInArrow(ship, "at bigint, salt int, kind int, who bigint, tokens binary")
-    dealt = sets.repartition("at", "salt").sortWithinPartitions("at", "salt", "kind")
-    return keep(dealt.mapInArrow(compare, "x bigint, y bigint"), "links")
+    way = pairs.join(dx, "x").join(dy, "y").select(
+        F.when(at_y, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(at_y, F.col("y")).otherwise(F.col("x")).alias("y"), F.greatest("dx", "dy").alias("d")
+    )
+    way = way.withColumn("salt", _salt("x", _spread("d"))).drop("d")
+    sent = way.join(sets.select(F.col("class").alias("x"), F.col("n").alias("xn"), F.col("tokens").alias("xs")), "x")
+    home = sets.join(degree, sets["class"] == degree["c"]).select(F.col("class").alias("y"), F.col("n").alias("yn"), F.col("tokens").alias("ys"), _salts(_spread("d")).alias("salt"))
+    met = sent.join(home, ["y", "salt"]).withColumn("both", F.size(F.array_intersect("xs", "ys")))
+    links = keep(met.where(DEN * F.col("both") >= NUM * (F.col("xn") + F.col("yn") - F.col("both"))).select("x", "y"), "links")
+    forget(pairs, degree)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, label: the least node that each node of the links x, y reaches."""
     edges = keep(links.select("x", "y").unionAll(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
-    labels = keep(edges.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("label")), "labels")
+    kept = keep(edges.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("label")), "labels")
     while True:
+        labels = kept.select("node", "label")
         near = labels.select(F.col("node").alias("y"), F.col("label").alias("theirs"))
         least = edges.join(near, "y").groupBy(F.col("x").alias("node")).agg(F.min("theirs").alias("theirs"))
         passed = labels.join(least, "node").select("node", F.col("label").alias("old"), F.least("label", "theirs").alias("label"))
         # A label is a node itself: its own label may reach further.
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
         new = keep(passed.join(jump, "label").select("node", "old", F.least("label", "far").alias("label")), "labels")
-        labels = new.select("node", "label")
+        forget(kept)
+        kept = new
         if new.where("old <> label").isEmpty():
-            return labels
+            forget(edges)
+            return new.select("node", "label")
 
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, class, n_shingles, label of the component and component_id of every document; class and label are null without a set."""
-    summaries = _summaries(docs)
-    frequent, counts = _frequent(summaries)
-    own = summaries.where(F.col("tokens").isNull()).select("doc_id", "text_hash", "class", F.col("n").cast("bigint").alias("n_shingles"))
-    named = own.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("d"), F.min("doc_id").alias("least"))
-    classes = keep(named.select("class", F.col("d.doc_id").alias("doc_id"), F.col("d.text_hash").alias("text_hash"), "least"), "classes")
-    postings = keep(_shared_postings(_postings(docs, frequent, counts)), "postings")
-    first = verify(docs, classes, _pivot_pairs(postings))
+    scanned = _scanned(docs)
+    classes = keep(_classes(scanned), "classes")
+    tokens = _tokens(scanned, classes)
+    sets = keep(tokens.groupBy("class", "n").agg(F.collect_list("token").alias("tokens")), "sets")  # bounded by a document's own words
+    prefixes = keep(postings(tokens), "postings")
+    forget(tokens)
+    first = verify(sets, _pivot_pairs(prefixes))
     labels = components(first)
-    second = verify(docs, classes, _open_pairs(postings, labels))
+    second = verify(sets, _open_pairs(prefixes, labels))
     # What the second round found links components of the first.
     labels = components(first.unionAll(second))
+    forget(sets, prefixes, first, second)
     group = classes.join(labels, classes["class"] == labels["node"], "left").select("class", "least", F.coalesce("label", "class").alias("label"))
     least = group.groupBy("label").agg(F.min("least").alias("component_id"))
     named = keep(group.join(least, "label").select("class", "label", "component_id"), "named")
-    return own.join(named, "class", "left").select(
-        "doc_id", "text_hash", "class", "n_shingles", "label", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    own = scanned.where(F.col("n").isNotNull()).select("doc_id", "text_hash", "class", F.col("n").cast("bigint").alias("n_shingles"))
+    grouped = own.where(F.col("class").isNotNull()).join(named, "class").select("doc_id", "text_hash", "class", "n_shingles", "label", "component_id")
+    none = F.lit(None).cast("bigint")
+    return grouped.unionByName(own.where(F.col("class").isNull()).select("doc_id", "text_hash", "class", "n_shingles", none.alias("label"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component, the least id that is not null and then the least text hash; rows without a set all stay."""
+    """One row of docs for each component, the least id that is not null and then the least text hash; rows without a set all stay.
+
+    Rows to drop, and those that repeat a row to keep, are looked up by id and text hash; each text is shuffled once.
+    """
+    own, key, what, place = unused(docs.columns, "own", "key", "what", "place")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    kept = join(docs).where(F.col("label").isNotNull()).groupBy("label").agg(F.min(rank).alias("k"))
-    kept = keep(kept.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"), F.lit(True).alias("_kept")), "kept")
-    # Repeated rows share id and text hash; rows without a set are told apart by a number.
-    rows = docs.withColumn("_own", F.xxhash64("text"))
-    met = rows.join(kept, (F.col("_own") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    met = met.where(F.col("_kept") | blank).withColumn("_row", F.when(blank, F.monotonically_increasing_id()))
-    return met.dropDuplicates(["_own", "doc_id", "_row"]).select(*docs.columns)
+    rows = join(docs).where(F.col("label").isNotNull())
+    best = rows.groupBy("label").agg(F.min(rank).alias("k"), F.count("*").alias("many")).where("many > 1").select("label", "k")
+    first = F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_hash") == F.col("k.text_hash"))
+    judged = rows.join(best, "label").select(F.col("text_hash").alias(own), F.xxhash64("doc_id").alias(key), first.alias(what)).distinct()
+    judged = keep(judged, "judged")
+    met = docs.withColumn(own, F.xxhash64("text")).withColumn(key, F.xxhash64("doc_id")).join(judged.hint("merge"), [own, key], "left")
+    met = met.withColumn(place, F.row_number().over(Window.partitionBy(own, key).orderBy(own)))
+    return met.where(F.col(what).isNull() | (F.col(what) & (F.col(place) == 1))).select(*docs.columns)
 
 
 def link_documents(docs: DataFrame) -> DataFrame:

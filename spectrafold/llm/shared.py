@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -12,13 +13,13 @@ from pyspark.sql.types import StructType
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; where that is unset (tests), in a folder of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the folder of spark.checkpoint.dir. Where that is unset, one machine alone may use a temporary folder; a cluster may not."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.spectrafold.sharedDir", None)
     if not base:
-        base = spark.conf.get("spark.spectrafold.sharedDir", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="spectrafold-")
-            spark.conf.set("spark.spectrafold.sharedDir", base)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spectrafold-")
+        spark.conf.set("spark.spectrafold.sharedDir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -38,6 +39,18 @@ def forget(*kept: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be none of the columns, in either case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def schema_with(df: DataFrame, **kinds: str) -> StructType:
     """The schema of df with further columns behind its own."""
     out = StructType(list(df.schema.fields))

@@ -94,26 +94,21 @@ def test_jaccard_join(docs, corpus, empty):
     assert jaccard.link_documents(empty).count() == 0
 
 
-def test_jaccard_join_with_frequent_tokens(docs, corpus, monkeypatch):
-    monkeypatch.setattr(jaccard, "LEAST_IN_BLOCK", 1)
-    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(jaccard, "HOT_PIVOT", 3)
+def test_jaccard_join_in_small_blocks_with_salts(docs, corpus, monkeypatch):
+    monkeypatch.setattr(jaccard, "SALTED", 3)
     want, _ = plain_components(corpus)
-    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link_documents(docs).collect()]
-    assert sorted(got, key=repr) == sorted(want, key=repr)
+    for tokens, classes in ((40, 60_000), (1_000_000, 2)):
+        monkeypatch.setattr(jaccard, "BLOCK_TOKENS", tokens)
+        monkeypatch.setattr(jaccard, "BLOCK_CLASSES", classes)
+        got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link_documents(docs.repartition(3)).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
-def test_jaccard_join_broadcasts_few_partners_only(docs, corpus, monkeypatch):
-    sent, broadcast = [], jaccard.F.broadcast
-    monkeypatch.setattr(jaccard.F, "broadcast", lambda df: sent.append("to" in df.columns) or broadcast(df))
-    classes = docs.where("doc_id in (0, 1, 2, 905)").select(F.col("doc_id").alias("class"), "doc_id", F.xxhash64("text").alias("text_hash"))
-    pairs = docs.sparkSession.createDataFrame([(0, 1), (0, 2), (1, 2), (0, 905)], "x bigint, y bigint")
-    found = lambda: sorted(tuple(sorted(r)) for r in jaccard.verify(docs, classes, pairs).collect())
-    monkeypatch.setattr(jaccard, "BROADCAST_PARTNERS", 4)
-    want = found()
-    assert sent.count(True) == 1
-    monkeypatch.setattr(jaccard, "BROADCAST_PARTNERS", 3)
-    assert found() == want and sent.count(True) == 1
+def test_jaccard_join_with_ids_of_text(docs, corpus):
+    named = docs.withColumn("doc_id", F.format_string("d%04d", "doc_id"))
+    want, _ = plain_components([(f"d{i:04d}" if i is not None else "dnull", t) for i, t in corpus])
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link_documents(named).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
 def test_one_of_each_group_stays(docs, corpus):
@@ -124,21 +119,44 @@ def test_one_of_each_group_stays(docs, corpus):
     assert {r["class"] for r in kept} == {"clash"}
 
 
-def test_prefix_lemma():
+def test_own_columns_of_any_name_stay(docs):
+    names = ["own", "key", "what", "place", "_own", "_hash", "_id", "_kept", "_row", "text_hash", "label"]
+    named = docs.select("doc_id", "text", *[F.lit(n).alias(n) for n in names])
+    kept = jaccard.keep_one(named)
+    assert kept.columns == named.columns
+    assert {tuple(r[n] for n in names) for r in kept.collect()} == {tuple(names)}
+
+
+def test_prefix_lemma(spark):
+    """Linking sets meet in the lesser of their demands, at places that the open pairs ask for."""
     rng = np.random.default_rng(3)
-    for _ in range(300):
+    sets = []
+    for _ in range(60):
         n = int(rng.integers(1, 60))
-        a = np.unique(rng.integers(0, 500, n).astype(np.uint64))
-        drop = int(rng.integers(0, max(1, len(a) // 6) + 1))
-        b = np.unique(np.concatenate((rng.permutation(a)[drop:], rng.integers(500, 900, drop).astype(np.uint64))))
-        both = len(np.intersect1d(a, b))
-        if 4 * both < 3 * (len(a) + len(b) - both):
-            continue
-        frequent = np.unique(rng.integers(0, 500, 80).astype(np.uint64))
-        counts = rng.integers(2, 50, len(frequent))
-        pa, _, la, _ = jaccard.prefix(a, frequent, counts)
-        pb, _, lb, _ = jaccard.prefix(b, frequent, counts)
-        assert len(np.intersect1d(pa, pb)) >= min(la, lb)
+        a = set(rng.integers(0, 500, n).tolist())
+        for _ in range(3):
+            drop = int(rng.integers(0, max(1, len(a) // 6) + 1))
+            sets.append(set(rng.permutation(sorted(a))[drop:].tolist()) | set(rng.integers(500, 900, drop).tolist()))
+    sets = [s for s in {frozenset(s) for s in sets} if s]
+    rows = [(k, len(s), t) for k, s in enumerate(sets) for t in s]
+    tokens = jaccard._counted(spark.createDataFrame(rows, "class bigint, n int, token bigint"))
+    prefix = defaultdict(dict)
+    asked = {}
+    for r in jaccard.postings(tokens).collect():
+        prefix[r["class"]][r["token"]] = r["place"]
+        asked[r["class"]] = r["matches"]
+    linked = 0
+    for x, a in enumerate(sets):
+        for y, b in enumerate(sets[:x]):
+            both = len(a & b)
+            if 4 * both < 3 * (len(a) + len(b) - both):
+                continue
+            linked += 1
+            demand = min(asked[x], asked[y])
+            after = [min(len(a) - prefix[x][t], len(b) - prefix[y][t]) for t in prefix[x].keys() & prefix[y].keys()]
+            assert sum(7 * (n + demand - 1) >= 3 * (len(a) + len(b)) for n in after) >= demand
+            assert 7 * max(after) >= 3 * (len(a) + len(b))
+    assert linked > 50 and max(asked.values()) > 1
 
 
 def chunk_table(df):
