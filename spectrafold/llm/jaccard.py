@@ -93,8 +93,8 @@ def _from_six(data: bytes) -> np.ndarray:
 class Block:
     """Sets of some classes. entries(): (bucket, class, tokens, owners, classes), the rows that travel."""
 
-    def __init__(self, buckets: int):
-        self.buckets = buckets
+    def __init__(self, buckets: int, most_tokens: int, most_classes: int):
+        self.buckets, self.most_tokens, self.most_classes = buckets, most_tokens, most_classes
         self.classes: list[int] = []
         self.sets: list[np.ndarray] = []
         self.seen: set[int] = set()
@@ -109,7 +109,7 @@ class Block:
 
     @property
     def full(self) -> bool:
-        return self.size >= BLOCK_TOKENS or len(self.classes) >= BLOCK_CLASSES
+        return self.size >= self.most_tokens or len(self.classes) >= self.most_classes
 
     def entries(self) -> Iterator[tuple]:
         if not self.sets:
@@ -137,7 +137,8 @@ class Block:
         shared, whose = short[~alone], owners[~alone]
         order = np.argsort(whose, kind="stable")
         shared, whose = shared[order], whose[order]
-        for a, b in zip(edges := np.flatnonzero(np.diff(whose.astype(np.int32), prepend=-1)), [*edges[1:], len(whose)], strict=True):
+        edges = np.append(np.flatnonzero(np.diff(whose.astype(np.int32), prepend=-1)), len(whose))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
             own = self.classes[whose[a]]
             yield own % self.buckets, own, shared[a:b].tobytes(), None, None
 
@@ -149,13 +150,14 @@ _SCANNED = "{id}, text_hash bigint, class bigint, n int, tokens array<bigint>"
 def _scanned(docs: DataFrame) -> DataFrame:
     """A row for each document (tokens null), and rows of a class (n null) with tokens of it that another class has too."""
     buckets = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << 15)
+    limits = buckets, BLOCK_TOKENS, BLOCK_CLASSES
     doc_id = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     kinds = [pa.int32(), None, pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     names = ["bucket", "doc_id", "text_hash", "class", "n", "tokens", "owners", "classes"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Block(buckets)
+        block = Block(*limits)
 
         def packed(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
             nonlocal block
@@ -164,7 +166,7 @@ def _scanned(docs: DataFrame) -> DataFrame:
                 rows.append((bucket, None, None, own, None, tokens, owners, classes))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k or kind) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-            block = Block(buckets)
+            block = Block(*limits)
 
         kind = None
         for batch in parts(batches):
