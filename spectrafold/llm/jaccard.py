@@ -42,6 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +57,8 @@ BLOCK_TOKENS = 1_000_000
 BLOCK_CLASSES = 60_000
 #: Postings of a token, or pairs of a class, for each salt.
 SALTED = 256
+#: Cost of a token of a verification, where that of a row of the join is 1.
+CHECK = 1 / 64
 #: A token keeps so many low bits beside the number of its bucket.
 LOW_BITS = 48
 _LOW = np.uint64((1 << LOW_BITS) - 1)
@@ -168,7 +171,7 @@ def _scanned(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k or kind) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
             block = Block(*limits)
 
-        kind = None
+        kind, sent = None, 0
         for batch in parts(batches):
             kind, classes, sizes = batch.column(0).type, [], []
             for tokens in wordhash.shingle_sets(batch.column(2).to_pylist(), WIDTH):
@@ -180,7 +183,8 @@ def _scanned(docs: DataFrame) -> DataFrame:
                     if block.full:
                         yield from packed(kind)
             n = batch.num_rows
-            where = pa.array([0 if c is None else c % buckets for c in classes], pa.int32())
+            where = pa.array(np.arange(sent, sent + n) % buckets, pa.int32())
+            sent += n
             yield pa.RecordBatch.from_arrays([where, batch.column(0), batch.column(1), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), *[pa.nulls(n, pa.binary())] * 3], names=names)
         if kind is not None:
             yield from packed(kind)
@@ -189,18 +193,19 @@ def _scanned(docs: DataFrame) -> DataFrame:
         tokens: list[np.ndarray] = []
         owners: list[np.ndarray] = []
         known: list[np.ndarray] = []
+        common_of: dict[int, np.ndarray] = {}
         kind = None
         for batch in batches:
             kind = batch.column(1).type
-            own, n, data = batch.column(3).to_pylist(), batch.column(4), batch.column(5)
-            passed = [None if c is None or x is None else np.frombuffer(x, np.int64) for c, x in zip(own, data.to_pylist(), strict=True)]
-            through = pa.array([x is not None for x in own]).to_numpy(False) | n.is_valid().to_numpy(False)
-            if through.any():
-                # Documents, those without a set too, and what is known already.
-                rows = pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), n, pa.array(passed, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "class", "n", "tokens"])
-                yield rows.filter(pa.array(through))
-            for bucket, c, size, x, o, names in zip(batch.column(0).to_pylist(), own, n.to_pylist(), data.to_pylist(), batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True):
-                if c is not None or size is not None:
+            documents = batch.column(4).is_valid()
+            if documents.true_count:
+                rows = batch.filter(documents)
+                yield made(rows.column(1), rows.column(2), rows.column(3), rows.column(4), pa.nulls(rows.num_rows, pa.list_(pa.int64())))
+            batch = batch.filter(pc.invert(documents))
+            for bucket, own, x, o, names in zip(*[batch.column(k).to_pylist() for k in (0, 3, 5, 6, 7)], strict=True):
+                if own is not None:
+                    mine = np.frombuffer(x, np.uint64)
+                    common_of[own] = np.union1d(common_of[own], mine) if own in common_of else mine
                     continue
                 short = _from_six(x) | np.uint64(bucket << LOW_BITS)
                 if o is None:
@@ -208,39 +213,46 @@ def _scanned(docs: DataFrame) -> DataFrame:
                 else:
                     tokens.append(short)
                     owners.append(np.frombuffer(names, np.int64)[np.frombuffer(o, "<u2")])
-        if not tokens:
-            return
-        token, owner = np.concatenate(tokens), np.concatenate(owners)
+        token = np.concatenate([*tokens, *common_of.values()]) if tokens or common_of else np.zeros(0, np.uint64)
+        owner = np.concatenate([*owners, *[np.full(len(x), own, np.int64) for own, x in common_of.items()]]) if len(token) else np.zeros(0, np.int64)
+        sure = np.arange(len(token)) >= sum(map(len, tokens))
         tokens.clear()
         owners.clear()
-        order = np.argsort(token, kind="stable")
-        token, owner = token[order], owner[order]
+        common_of.clear()
+        if not len(token):
+            return
+        order = np.lexsort((owner, token))
+        token, owner, sure = token[order], owner[order], sure[order]
         start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        common = np.minimum.reduceat(owner, start) != np.maximum.reduceat(owner, start)
+        common = owner[start] != owner[np.append(start[1:], len(owner)) - 1]
+        common |= np.bitwise_or.reduceat(sure, start)
         if known:
             common |= np.isin(token[start], np.unique(np.concatenate(known)))
-        shared = np.repeat(common, np.diff(np.append(start, len(token))))
+        once = np.concatenate(([True], (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])))
+        shared = np.repeat(common, np.diff(np.append(start, len(token)))) & once
         token, owner = token[shared], owner[shared]
         order = np.argsort(owner, kind="stable")
         token, owner = token[order], owner[order]
-        start = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, np.int64)
-        for at in range(0, len(start), 4096):
-            some = start[at : at + 4096]
-            ends = np.append(start, len(owner))[at : at + len(some) + 1]
-            lists = pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), pa.array(token[ends[0] : ends[-1]].view(np.int64)))
-            none = len(some)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(none, kind), pa.nulls(none, pa.int64()), pa.array(owner[some]), pa.nulls(none, pa.int32()), lists], names=["doc_id", "text_hash", "class", "n", "tokens"]
-            )
+        edges = np.append(np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))), len(owner)) if len(owner) else np.zeros(1, np.int64)
+        for at in range(0, len(edges) - 1, 4096):
+            some = edges[at : at + 4097]
+            n = len(some) - 1
+            lists = pa.ListArray.from_arrays(pa.array((some - some[0]).astype(np.int32)), pa.array(token[some[0] : some[-1]].view(np.int64)))
+            yield made(pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.array(owner[some[:-1]]), pa.nulls(n, pa.int32()), lists)
+
+    def made(*columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(list(columns), names=["doc_id", "text_hash", "class", "n", "tokens"])
 
     sent = rows.mapInArrow(send, _TRAVEL.format(id=doc_id)).repartitionById(buckets, F.col("bucket"))
     return keep(sent.mapInArrow(meet, _SCANNED.format(id=doc_id)), "scanned")
 
 
 def _classes(scanned: DataFrame) -> DataFrame:
-    """class, n, least doc_id, and of how many of its tokens it is known that another class has them (copies count each)."""
-    hits = F.sum(F.coalesce(F.array_size("tokens"), F.lit(0)).cast("long")).alias("hits")
-    return scanned.where(F.col("class").isNotNull()).groupBy("class").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"), hits)
+    """class, n, least doc_id, and its tokens that another class has; null where they are too few to link."""
+    # A class has one row of tokens a bucket and one of those known before: at most twice its own.
+    held = F.array_distinct(F.flatten(F.collect_list("tokens")))
+    each = scanned.where(F.col("class").isNotNull()).groupBy("class").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"), held.alias("tokens"))
+    return each.withColumn("tokens", F.when(_able("n", F.size("tokens")), F.col("tokens")))
 
 
 def _salt(of: str, number: Column) -> Column:
@@ -262,17 +274,15 @@ def _able(n: str, held: Column) -> Column:
     return NUM * F.col(n) <= DEN * held
 
 
-def _tokens(scanned: DataFrame, classes: DataFrame) -> DataFrame:
+def _tokens(classes: DataFrame) -> DataFrame:
     """class, n, token, f: tokens that two classes have, of the classes that have enough of them to link."""
-    able = classes.where(_able("n", F.col("hits"))).select("class", "n")
-    rows = scanned.where(F.col("tokens").isNotNull()).select("class", "tokens").join(able, "class")
-    rows = keep(rows.select("class", "n", F.explode("tokens").alias("token")).distinct(), "tokens")
+    rows = classes.select("class", "n", F.explode("tokens").alias("token"))
     held = F.count("*").over(Window.partitionBy("class"))
     # Tokens shared with classes that cannot link are no help.
     left = _counted(rows).withColumn("held", held).where(_able("n", F.col("held"))).select("class", "n", "token")
     left = keep(left, "able")
     out = keep(_counted(left), "counted")
-    forget(rows, left)
+    forget(left)
     return out
 
 
@@ -281,16 +291,20 @@ def postings(tokens: DataFrame) -> DataFrame:
     own = Window.partitionBy("class")
     order = own.orderBy("f", "token")
     base = F.col("n") - F.ceil(F.col("n") * NUM / DEN).cast("int")
+    # A partner of the same size needs NUM / (NUM + DEN) of both, so it is met at the first places only: those are reckoned with.
+    near = F.col("n") - F.ceil(F.col("n") * (2 * NUM) / (NUM + DEN)).cast("int")
     placed = tokens.withColumn("held", F.count("*").over(own)).withColumn("place", (F.col("n") - F.col("held") + F.row_number().over(order) - 1).cast("int"))
     placed = placed.withColumn("met", F.sum(F.col("f") - 1).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    matches = F.col("place") - base + 1
+    matches = F.col("place") - near + 1
     most = F.least(F.greatest(F.lit(1), F.floor(F.col("n") / 4).cast("int")), F.col("n") - base)
     # What is met costs a row each; of those met l times or more, of which there are at most 1 / l, each costs a verification.
-    cost = F.col("met") * (1 + F.col("n") / matches) + F.col("place")
+    cost = F.col("met") * (1 + CHECK * F.col("n") / matches)
     best = F.min(F.when((matches >= 1) & (matches <= most), F.struct(cost.alias("cost"), matches.alias("matches")))).over(own)
-    chosen = placed.withColumn("best", best).where(F.col("place") < base + F.col("best.matches"))
+    # Where the first places have no common token at all, one match is enough to ask for.
+    asked = F.when(F.col("n") - F.col("held") > near, F.lit(1)).otherwise(F.coalesce(F.col("best.matches"), F.lit(1)))
+    chosen = placed.withColumn("best", best).withColumn("matches", asked).where(F.col("place") < base + F.col("matches"))
     share = F.floor(F.lit(100) * F.col("held") / F.col("n")).cast("int")
-    return chosen.select("token", "class", "n", "f", "place", F.col("best.matches").alias("matches"), share.alias("share"))
+    return chosen.select("token", "class", "n", "f", "place", "matches", share.alias("share"))
 
 
 def _reach(a: Column, b: Column, after: Column) -> Column:
@@ -379,7 +393,7 @@ def join(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, class, n_shingles, label of the component and component_id of every document; class and label are null without a set."""
     scanned = _scanned(docs)
     classes = keep(_classes(scanned), "classes")
-    tokens = _tokens(scanned, classes)
+    tokens = _tokens(classes)
     sets = keep(tokens.groupBy("class", "n").agg(F.collect_list("token").alias("tokens")), "sets")  # bounded by a document's own words
     prefixes = keep(postings(tokens), "postings")
     forget(tokens)
