@@ -190,23 +190,31 @@ def decode(rows: DataFrame, ids: str = "ids", ranks_path: str | None = None, pat
     return rows.mapInArrow(run, schema_with(rows, **{out: "binary"}))
 
 
+def transcode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids, ids_sha256 and decoded_sha256 of every document: encoded and decoded by one worker."""
+    return _both_ways(docs, ranks_path, pattern, True)
+
+
 def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Digest of encoding and decoding every document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return _both_ways(docs, ranks_path, pattern, False)
+
+
+def _both_ways(docs: DataFrame, ranks_path: str | None, pattern: str | None, with_ids: bool) -> DataFrame:
     path, split = ranks_path or default_ranks(), pattern or default_pattern()
     docs = docs.select("doc_id", "text")
+    names = ["doc_id", "n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, split)
         for batch in parts(batches):
-            counts, ids_hash, text_hash = [], [], []
-            for ids in own.encode(batch.column(1).to_pylist()):
-                counts.append(len(ids) // 4)
-                ids_hash.append(hashlib.sha256(ids).hexdigest())
-                text_hash.append(hashlib.sha256(own.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+            every = list(own.encode(batch.column(1).to_pylist()))
+            columns = [batch.column(0), pa.array([len(ids) // 4 for ids in every], pa.int64())]
+            if with_ids:
+                columns.append(pa.array(every, pa.binary()))
+            columns.append(pa.array([hashlib.sha256(ids).hexdigest() for ids in every], pa.string()))
+            columns.append(pa.array([hashlib.sha256(own.decode(ids)).hexdigest() for ids in every], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kinds = {"doc_id": docs.schema["doc_id"].dataType.simpleString(), "n_tokens": "bigint", "ids": "binary"}
+    return docs.mapInArrow(run, ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names))

@@ -12,36 +12,41 @@ and item, sum of least over sum of greatest counts, which must reach 0.75.
 Windows that hold too few shingles of any item for that similarity are left
 out beforehand; that bound is exact and loses nothing.
 
-Scale: a map over the scan with no shuffle. Items are taken in blocks of about
-ITEM_BYTES, each broadcast; a larger benchmark makes more passes, not larger
-ones. Blocks of texts are bounded; only a longer text takes more, in proportion.
+Scale: a map over the scan with no shuffle; only texts go to Python, only what
+is found comes back. Items are taken in blocks of about ITEM_BYTES, each
+broadcast; a larger benchmark makes more passes, not larger ones, and each task
+holds one block. Blocks of texts and of candidates are bounded; only a longer
+text takes more, in proportion.
 
 Null, empty and blank items and texts match nothing. Items of fewer than five
 words count as one shingle, the whole sequence, and match where it stands word
-for word. A text shorter than the item is one window. Repeated items and
-repeated rows give their rows again; extra columns are dropped by
-`contaminated` and kept by `decontaminate`.
+for word. A text shorter than the item is one window. Every row of items counts
+by itself, also with an id or a text that another has; repeated rows give their
+rows again. Ids may be of any type. Extra columns are dropped by `contaminated`
+and kept, under any name, by `decontaminate`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .shared import parts, schema_with
+from .shared import array_parts, unused
 
 WIDTH = 5
 SIMILARITY = 0.75
 BLOCKS = 8
 RADIUS = 23
 ITEM_BYTES = 16 << 20
-_MATCH = "array<struct<item_id:bigint,similarity:double,first_word:bigint,n_windows:bigint>>"
+#: (window, item) places that the multi-index gives at once, about.
+CANDIDATES = 1 << 20
 
 
 def _shingles(words: np.ndarray, n: int) -> np.ndarray:
@@ -69,7 +74,7 @@ class Sized:
     """Items of one number of words: ids, fingerprints, counted shingles, and the multi-index."""
 
     words: int
-    ids: list[int] = field(default_factory=list)
+    ids: list = field(default_factory=list)
     prints: list[int] = field(default_factory=list)
     counted: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     #: For each block and value of its byte, the items within reach: places in `near` from `offset`.
@@ -89,16 +94,19 @@ class Sized:
         self.offset = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
         self.near = np.array([k for x in lists for k in x], np.int64)
 
-    def candidates(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) of every fingerprint within RADIUS bits."""
-        value = found.astype("<u8").view(np.uint8).reshape(len(found), 8).astype(np.int64) + 256 * np.arange(BLOCKS)
-        begin, many = self.offset[value].ravel(), (self.offset[value + 1] - self.offset[value]).ravel()
-        window = np.repeat(np.repeat(np.arange(len(found)), BLOCKS), many)
-        place = np.arange(len(window)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin, many)
-        pair = np.unique(window * len(self.ids) + self.near[place])
-        window, item = np.divmod(pair, len(self.ids))
-        apart = np.bitwise_count(found[window] ^ np.array(self.prints, np.uint64)[item])
-        return window[apart <= RADIUS], item[apart <= RADIUS]
+    def candidates(self, found: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(windows, items) of every fingerprint within RADIUS bits, some windows at a time."""
+        each = max(1, CANDIDATES // (BLOCKS * len(self.ids)))
+        prints = np.array(self.prints, np.uint64)
+        for at in range(0, len(found), each):
+            some = found[at : at + each]
+            value = some.astype("<u8").view(np.uint8).reshape(len(some), 8).astype(np.int64) + 256 * np.arange(BLOCKS)
+            begin, many = self.offset[value].ravel(), (self.offset[value + 1] - self.offset[value]).ravel()
+            window = np.repeat(np.repeat(np.arange(len(some)), BLOCKS), many)
+            place = np.arange(len(window)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin, many)
+            window, item = np.divmod(np.unique(window * len(self.ids) + self.near[place]), len(self.ids))
+            near = np.bitwise_count(some[window] ^ prints[item]) <= RADIUS
+            yield at + window[near], item[near]
 
 
 def counted(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +129,7 @@ class Index:
     known: dict[int, np.ndarray]
 
     @classmethod
-    def of(cls, items: list[tuple[int, str | None]]) -> Index:
+    def of(cls, items: list[tuple]) -> Index:
         by_words: dict[int, Sized] = {}
         known: dict[int, list[np.ndarray]] = {}
         for item_id, text in items:
@@ -139,9 +147,9 @@ class Index:
             own.close()
         return cls([by_words[n] for n in sorted(by_words)], {w: np.unique(np.concatenate(x)) for w, x in known.items()})
 
-    def matches(self, words: np.ndarray) -> dict[int, list]:
-        """Of one text's words: item id to [similarity, first word, windows]."""
-        out: dict[int, list] = {}
+    def matches(self, words: np.ndarray) -> list[tuple]:
+        """Of one text's words: (item id, similarity, first word, windows) for each item row that stands there."""
+        out: list[tuple] = []
         sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for width, known in self.known.items():
             shingles = wordhash.shingle_hashes(words, width)
@@ -163,24 +171,26 @@ class Index:
             starts = np.flatnonzero(running[size:] - running[:-size] >= least - 1e-9)
             if not len(starts):
                 continue
-            window, item = own.candidates(fingerprints(shingles, starts, size))
-            bags: dict[int, tuple] = {}
-            for w, k in zip(window.tolist(), item.tolist(), strict=True):
-                start = int(starts[w])
-                if w not in bags:
-                    bags[w] = counted(shingles[start : start + size])
-                s = similarity(bags[w], own.counted[k])
-                if s >= SIMILARITY:
-                    best = out.setdefault(own.ids[k], [0.0, 0, 0])
-                    best[2] += 1
-                    if s > best[0]:
-                        best[0], best[1] = s, start
+            best: dict[int, list] = {}
+            for window, item in own.candidates(fingerprints(shingles, starts, size)):
+                bags: dict[int, tuple] = {}
+                for w, k in zip(window.tolist(), item.tolist(), strict=True):
+                    start = int(starts[w])
+                    if w not in bags:
+                        bags[w] = counted(shingles[start : start + size])
+                    s = similarity(bags[w], own.counted[k])
+                    if s >= SIMILARITY:
+                        of_item = best.setdefault(k, [0.0, 0, 0])
+                        of_item[2] += 1
+                        if s > of_item[0]:
+                            of_item[:2] = s, start
+            out.extend((own.ids[k], *found) for k, found in best.items())
         return out
 
 
 def _blocks(items: DataFrame) -> Iterator[Index]:
     """Indexes of blocks of items; a block is what one broadcast may hold."""
-    rows = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text")
+    rows = items.select("item_id", "text")
     total = rows.agg(F.sum(F.octet_length("text") + F.lit(64))).first()[0] or 0
     blocks = 1 + int(total) // ITEM_BYTES
     for block in range(blocks):
@@ -188,42 +198,61 @@ def _blocks(items: DataFrame) -> Iterator[Index]:
         yield Index.of([(r["item_id"], r["text"]) for r in part])
 
 
-def mark(docs: DataFrame, items: DataFrame, text: str = "text", out: str = "matches") -> DataFrame:
-    """docs with `out`: the items that stand in the text, each with its best similarity, that window's first word and the number of windows."""
-    docs = docs.drop(out).withColumn(out, F.array().cast(_MATCH))
-    for index in _blocks(items):
-        docs = _mark_block(docs, index, text, out)
-    return docs
+def _matches(texts: list[bytes | None], index: Index) -> Iterator[list[tuple]]:
+    for first, last in wordhash.blocks(texts):
+        block = wordhash.Words(texts[first:last])
+        for k in range(last - first):
+            yield index.matches(block.hashes[block.offsets[k] : block.offsets[k + 1]])
 
 
-def _mark_block(docs: DataFrame, index: Index, text: str, out: str) -> DataFrame:
-    columns = docs.columns
-    place = columns.index(out)
-    carried = docs.withColumn("_bytes", F.col(text).cast("binary"))
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by ITEM_BYTES
+def find(docs: DataFrame, items: DataFrame, text: str = "text", out: str = "match") -> DataFrame:
+    """A row of docs for each item that stands in the text, with `out`: struct<item_id, similarity of the best window, first_word of it, n_windows>."""
+    docs = docs.drop(out)
+    id_type = items.select("item_id").limit(0).toArrow().schema.field(0).type
+    kind = f"struct<item_id:{items.schema['item_id'].dataType.simpleString()},similarity:double,first_word:bigint,n_windows:bigint>"
+    fields = {"item_id": id_type, "similarity": pa.float64(), "first_word": pa.int64(), "n_windows": pa.int64()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in parts(batches):
-            texts, found = batch.column(batch.num_columns - 1).to_pylist(), batch.column(place).to_pylist()
-            for first, last in wordhash.blocks(texts):
-                block = wordhash.Words(texts[first:last])
-                for k in range(last - first):
-                    got = own.matches(block.hashes[block.offsets[k] : block.offsets[k + 1]])
-                    found[first + k] = [*found[first + k], *({"item_id": i, "similarity": s, "first_word": f, "n_windows": n} for i, (s, f, n) in got.items())]
-            arrays = list(batch.columns[:-1])
-            arrays[place] = pa.array(found, batch.schema.field(place).type)
-            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+    def of_block(index: Index) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by ITEM_BYTES
 
-    return carried.mapInArrow(run, schema_with(docs))
+        @F.arrow_udf(f"array<{kind}>")
+        def matches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for part in array_parts(texts):
+                found = list(_matches(part.to_pylist(), shared.value))
+                flat = [m for row in found for m in row]
+                columns = [pa.array([m[k] for m in flat], t) for k, t in enumerate(fields.values())]
+                edges = np.concatenate(([0], np.cumsum([len(row) for row in found]))).astype(np.int32)
+                yield pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays(columns, list(fields)))
 
+        return docs.withColumn(out, F.explode(matches(F.col(text).cast("binary"))))
 
-def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionAll, map(of_block, _blocks(items)))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """docs without the rows in whose text a benchmark item stands."""
-    return mark(docs, items, out="_matches").where(F.size("_matches") == 0).drop("_matches")
+
+    def clean(index: Index) -> Column:
+        shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by ITEM_BYTES
+
+        @F.arrow_udf("boolean")
+        def none_found(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for part in array_parts(texts):
+                yield pa.array([not row for row in _matches(part.to_pylist(), shared.value)], pa.bool_())
+
+        return none_found(F.col(text).cast("binary"))
+
+    indexes = list(_blocks(items))
+    if len(indexes) == 1:
+        return docs.where(clean(indexes[0]))
+    # A task holds one block of items: each block names the texts that hold one of its items.
+    (name,) = unused(docs.columns, "name")
+    texts = docs.select(F.md5(F.col(text).cast("binary")).alias(name), F.col(text))
+    found = reduce(DataFrame.unionAll, [texts.where(~clean(index)).select(name) for index in indexes]).distinct()
+    return docs.withColumn(name, F.md5(F.col(text).cast("binary"))).join(found, name, "left_anti").select(*docs.columns)
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Digest of operator 3: a row for each document and item that stands in it: doc_id, item_id, similarity, first_word, n_windows."""
-    found = mark(docs.select("doc_id", "text"), items).select("doc_id", F.explode("matches").alias("m"))
-    return found.select("doc_id", "m.item_id", "m.similarity", "m.first_word", "m.n_windows")
+    found = find(docs.select("doc_id", "text"), items)
+    return found.select("doc_id", "match.item_id", "match.similarity", "match.first_word", "match.n_windows")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .shared import parts, schema_with
+from .shared import array_parts, parts, schema_with
 
 BITS = 13
 WIDTHS = (1, 2, 3)
@@ -206,16 +206,15 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of docs that are not rejected, with their own columns."""
-    place = docs.columns.index(text)
-    model = docs.sparkSession.sparkContext.broadcast(model)  # as in identify()
+    """The rows of docs that are not rejected, with their own columns, which stay in the JVM."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # as in identify()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
-        for batch in parts(batches):
-            yield batch.filter(pa.array([not own.predict(t)[2] for t in batch.column(place).to_pylist()], pa.bool_()))
+    @F.arrow_udf("boolean")
+    def near(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in array_parts(texts):
+            yield pa.array([not shared.value.predict(t)[2] for t in part.to_pylist()], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(near(F.col(text)))
 
 
 def predict_documents(docs: DataFrame) -> DataFrame:

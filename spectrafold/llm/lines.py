@@ -26,7 +26,7 @@ the corpus; a key's decisions are sets, bounded by its own lines.
 
 A null text stays null and an empty one empty. Rows that are equal in id and
 text are one document in several rows: they lose the same chunks. Null ids come
-first. Extra columns are kept. An empty table gives no rows. A text all of whose
+first. Extra columns are kept, under any name but that of the added one. An empty table gives no rows. A text all of whose
 chunks occur before becomes empty; no row is dropped. A very long text is one
 row; its chunks are many.
 """
@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import keep
+from .shared import keep, unused
 
 #: A chunk is looked up from this many lines on.
 LEAST_LINES = 2
@@ -131,18 +131,21 @@ def _grown(later: DataFrame) -> DataFrame:
     return runs.where(F.col("seed") | (F.col("words") >= RUN_WORDS)).select("_a", "_b", "start", "end")
 
 
-def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", runs: bool = False) -> DataFrame:
-    """docs with later copies of chunks, or with `runs` of whole shared runs, cut out of the text, and `_removed`, the cut ranges of lines (null where none)."""
-    gone = repeats(docs, text, key, runs).groupBy("_a", "_b").agg(F.collect_set(F.struct("start", "end")).alias("_removed"))
-    whole = docs.withColumn("_a", F.xxhash64(text)).withColumn("_b", F.xxhash64(key)).join(keep(gone, "removed").hint("merge"), ["_a", "_b"], "left").drop("_a", "_b")
-    left = F.filter(lines_of(F.col(text)), lambda _, i: ~F.exists(F.col("_removed"), lambda r: (i >= r["start"]) & (i < r["end"])))
-    return whole.withColumn(text, F.when(F.col("_removed").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")))
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", runs: bool = False, removed: str = "removed") -> DataFrame:
+    """docs with later copies of chunks, or with `runs` of whole shared runs, cut out of the text, and a column `removed`, the cut ranges of lines (null where none)."""
+    docs = docs.drop(removed)
+    a, b = unused([*docs.columns, removed], "_a", "_b")
+    gone = repeats(docs.select(key, text), text, key, runs).groupBy("_a", "_b").agg(F.collect_set(F.struct("start", "end")).alias(removed))
+    gone = keep(gone, "removed").withColumnsRenamed({"_a": a, "_b": b})
+    whole = docs.withColumn(a, F.xxhash64(text)).withColumn(b, F.xxhash64(key)).join(gone.hint("merge"), [a, b], "left").drop(a, b)
+    left = F.filter(lines_of(F.col(text)), lambda _, i: ~F.exists(F.col(removed), lambda r: (i >= r["start"]) & (i < r["end"])))
+    return whole.withColumn(text, F.when(F.col(removed).isNull(), F.col(text)).otherwise(F.array_join(left, "\n")))
 
 
 def dedup_documents(docs: DataFrame, runs: bool = False) -> DataFrame:
     """Digest of operator 7: doc_id, n_lines, n_removed (lines), n_chunks_removed (with `runs`, runs), removed (start:end of the cut ranges), kept_chars, kept_sha256."""
     out = dedup(docs.select("doc_id", "text").withColumn("n_lines", F.coalesce(F.size(lines_of(F.col("text"))), F.lit(0))), runs=runs)
-    ranges = F.array_sort(F.coalesce(F.col("_removed"), F.array().cast("array<struct<start:int,end:int>>")))
+    ranges = F.array_sort(F.coalesce(F.col("removed"), F.array().cast("array<struct<start:int,end:int>>")))
     return out.select(
         "doc_id",
         F.greatest(F.col("n_lines"), F.lit(0)).cast("long").alias("n_lines"),

@@ -21,10 +21,23 @@ CACHE = 120_000
 Encode = Callable[[list[str]], list[bytes]]
 
 
-def ascii_pattern(pattern: str) -> re.Pattern | None:
-    """The same pattern for texts of ASCII alone, where classes of letters and numbers are short; None if it has other classes."""
-    plain = pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
-    return None if r"\p" in plain else re.compile(plain, re.ASCII)
+def narrow_pattern(pattern: str, limit: int) -> re.Pattern | None:
+    """The same pattern for texts of code points below a limit, with the classes of letters, numbers and white space written out; None if it has other classes."""
+    classes = (r"\s", r"\p{L}", r"\p{N}")
+    members = {c: "".join(re.escape(chr(x)) for x in range(limit) if regex.fullmatch(c, chr(x))) for c in classes}
+    plain = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{''.join(members.values())}]").replace(r"\S", f"[^{members[classes[0]]}]")
+    for c in classes:
+        plain = plain.replace(c, f"[{members[c]}]")
+    return None if re.search(r"\\[pPwWdDbB]", plain) else re.compile(plain)
+
+
+def is_latin(text: str) -> bool:
+    """Whether all code points are below 256."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class Pieces:
@@ -32,15 +45,16 @@ class Pieces:
 
     def __init__(self, pattern: str, encode: Encode, cache: int = CACHE):
         self._find, self._encode, self._limit = regex.compile(pattern).findall, encode, cache
-        plain = ascii_pattern(pattern)
-        self._find_ascii = plain.findall if plain else self._find
+        ascii, latin = narrow_pattern(pattern, 128), narrow_pattern(pattern, 256)
+        self._find_ascii = ascii.findall if ascii else self._find
+        self._find_latin = latin.findall if latin else self._find
         self._known: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
     def _block(self, texts: list[str]) -> list[bytes]:
         if len(self._known) > self._limit:
             self._old, self._known = self._known, {}
-        cut = [self._find_ascii(t) if t.isascii() else self._find(t) for t in texts]
+        cut = [(self._find_ascii if t.isascii() else self._find_latin if is_latin(t) else self._find)(t) for t in texts]
         missing = set().union(*cut)
         missing -= self._known.keys()
         for m in missing & self._old.keys():

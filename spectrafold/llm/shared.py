@@ -68,3 +68,9 @@ def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, PART_ROWS):
             yield batch.slice(at, PART_ROWS)
+
+
+def array_parts(arrays: Iterable[pa.Array]) -> Iterator[pa.Array]:
+    """The same of the arrays that an Arrow function gets, which gives back as many values in as many arrays as it likes."""
+    for array in arrays:
+        yield from (array.slice(at, PART_ROWS) for at in range(0, len(array), PART_ROWS))

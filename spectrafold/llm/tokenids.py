@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import json
 import re
-import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -61,6 +60,17 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Matches of a generation of the cache: encoding one again costs more here than in operator 6, and no other stage shares the worker.
+CACHE = 300_000
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable Latin-1 ones for themselves, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class Tokens:
     """encode(texts): bytes of the ids of each text by the tokenizers library, as little-endian unsigned integers of `width` bytes.
 
@@ -78,14 +88,25 @@ class Tokens:
         # A normalizer can make an added token of other characters.
         self._whole = added and self._tokenizer.normalizer is not None
         self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self._code = "H" if self.width == 2 else "I"
-        self._pieces = Pieces(pattern, self._new)
+        self._code = np.dtype(f"<u{self.width}")
+        self._pieces = Pieces(pattern, self._new, CACHE)
+        # The model alone, for matches that are cut already: its input is the bytes in their alphabet.
+        self._model = Tokenizer(self._tokenizer.model) if _is_byte_level(json.loads(self._tokenizer.to_str())) else None
+        self._alphabet = byte_alphabet()
+
+    def _whole_text(self, text: str) -> bytes:
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, self._code).tobytes()
 
     def _new(self, matches: list[str]) -> list[bytes]:
+        if self._model is None:
+            return [self._whole_text(m) for m in matches]
         out: list[bytes] = []
         for at in range(0, len(matches), 4096):
-            for e in self._tokenizer.encode_batch(matches[at : at + 4096], add_special_tokens=False):
-                out.append(struct.pack(f"<{len(e.ids)}{self._code}", *e.ids))
+            words = [m.encode().decode("latin-1").translate(self._alphabet) for m in matches[at : at + 4096]]
+            found = self._model.encode(words, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, self._code).tobytes()
+            edges = (self.width * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words) + 1))).tolist()
+            out.extend(ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True))
         return out
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
@@ -95,7 +116,13 @@ class Tokens:
         whole = [bool(t) and (self._whole or self._added.search(t) is not None) for t in texts]
         rest = self._pieces.encode([None if w else t for t, w in zip(texts, whole, strict=True)])
         for t, w, ids in zip(texts, whole, rest, strict=True):
-            yield self._new([t])[0] if w else ids
+            yield self._whole_text(t) if w else ids
+
+
+def _is_byte_level(parts: dict) -> bool:
+    """Whether a tokenizer's file only cuts a text, writes its bytes in the alphabet and applies a model to each match."""
+    cut = parts.get("pre_tokenizer") or {}
+    return parts.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
 
 
 @lru_cache(maxsize=2)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spectrafold.llm import decontam, hilbert, jaccard, lines, minhash, wordhash
+from spectrafold.llm.shared import unused
 
 DOCS = "doc_id bigint, text string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -119,12 +120,31 @@ def test_one_of_each_group_stays(docs, corpus):
     assert {r["class"] for r in kept} == {"clash"}
 
 
-def test_own_columns_of_any_name_stay(docs):
-    names = ["own", "key", "what", "place", "_own", "_hash", "_id", "_kept", "_row", "text_hash", "label"]
+def test_own_columns_of_any_name_stay(docs, spark):
+    names = ["own", "key", "what", "place", "_own", "_hash", "_id", "_kept", "_row", "text_hash", "label", "_a", "_b", "_lines", "_removed", "removed", "_bytes", "_matches", "name", "match"]
     named = docs.select("doc_id", "text", *[F.lit(n).alias(n) for n in names])
-    kept = jaccard.keep_one(named)
-    assert kept.columns == named.columns
-    assert {tuple(r[n] for n in names) for r in kept.collect()} == {tuple(names)}
+    (out,) = unused(names, "removed")
+    items = spark.createDataFrame([(1, "one two three four five")], "item_id int, text string")
+    for got in (
+        jaccard.keep_one(named),
+        lines.dedup(named, runs=True, removed=out).drop(out),
+        decontam.decontaminate(named, items),
+        corpus_pipeline.line_dedup(spark, named, ""),
+    ):
+        assert got.columns == named.columns
+        assert {tuple(r[n] for n in names) for r in got.collect()} == {tuple(names)}
+    assert unused(["A", "_a"], "a", "a") == ["__a", "___a"]
+
+
+def test_every_item_row_counts_by_itself(docs, spark, monkeypatch):
+    items = spark.createDataFrame([("x", "one two three four five"), ("x", "one two three four five"), ("x", "long " * 40), (None, "one two three four five")], "item_id string, text string")
+    got = [(r["doc_id"], r["item_id"], r["n_windows"]) for r in decontam.contaminated(docs, items).where("doc_id = 905").collect()]
+    assert sorted(got, key=repr) == sorted([(905, "x", 1), (905, "x", 1), (905, None, 1)], key=repr)
+    want = sorted(decontam.decontaminate(docs, items).select("doc_id").collect(), key=repr)
+    found = sorted(decontam.contaminated(docs, items).collect(), key=repr)
+    monkeypatch.setattr(decontam, "ITEM_BYTES", 200)  # several blocks
+    assert sorted(decontam.decontaminate(docs, items).select("doc_id").collect(), key=repr) == want
+    assert sorted(decontam.contaminated(docs, items).collect(), key=repr) == found
 
 
 def test_prefix_lemma(spark):
@@ -267,7 +287,7 @@ def test_decontamination(docs, items, corpus, empty):
     assert decontam.contaminated(docs, items.where(F.lit(False))).count() == 0
 
 
-def test_multi_index_finds_every_fingerprint_within_the_radius():
+def test_multi_index_finds_every_fingerprint_within_the_radius(monkeypatch):
     rng = np.random.default_rng(5)
     own = decontam.Sized(20, ids=list(range(50)), prints=[int(x) for x in rng.integers(0, 2**64, 50, dtype=np.uint64)])
     own.close()
@@ -275,9 +295,10 @@ def test_multi_index_finds_every_fingerprint_within_the_radius():
     for k in range(50):
         flips = rng.permutation(64)[: k % 30]
         found.append(own.prints[k] ^ sum(1 << int(b) for b in flips))
-    window, item = own.candidates(np.array(found, np.uint64))
+    monkeypatch.setattr(decontam, "CANDIDATES", 4000)  # some windows at a time
+    got = [pair for window, item in own.candidates(np.array(found, np.uint64)) for pair in zip(window.tolist(), item.tolist(), strict=True)]
     want = {(w, k) for w, f in enumerate(found) for k, p in enumerate(own.prints) if (f ^ p).bit_count() <= decontam.RADIUS}
-    assert set(zip(window.tolist(), item.tolist(), strict=True)) == want
+    assert sorted(got) == sorted(want)
 
 
 def test_shingle_sets_as_plain():

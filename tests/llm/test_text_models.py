@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spectrafold.llm import bpe, langid, quality, secrets, tokenids
+from spectrafold.llm import bpe, langid, pieces, quality, secrets, tokenids
 
 DOCS = "doc_id bigint, text string"
 ODD = [
@@ -149,6 +149,20 @@ def test_token_ids_as_the_library_at_its_defaults(spark):
     assert own.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
 
 
+def test_narrow_patterns_cut_as_the_whole_one():
+    import regex
+
+    pattern = bpe.default_pattern()
+    rnd = random.Random(8)
+    for limit in (128, 256):
+        narrow = pieces.narrow_pattern(pattern, limit)
+        for _ in range(3000):
+            text = "".join(chr(rnd.randrange(limit)) if rnd.random() < 0.7 else rnd.choice(" \n's12ab") for _ in range(rnd.randrange(30)))
+            assert narrow.findall(text) == regex.findall(pattern, text)
+    assert pieces.narrow_pattern(r"\w+|\p{L}", 128) is None
+    assert pieces.is_latin("aé") and not pieces.is_latin("’")
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 1000, 20000):
