@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import keep
+from .shared import keep, unused
 
 SHARDS = 40
 BITS = 5
@@ -111,47 +111,54 @@ def shard_by_hilbert(rows: DataFrame, cells: dict[str, Column], key: str, shards
     cells: name to coordinate; key: the id column, which breaks ties after the row hash.
     Columns of those three names in `rows` are replaced. Carry narrow rows and join wide ones by key afterwards.
     """
-    rows = rows.drop("hilbert", "shard", "slot", "_place")
-    tie = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
-    placed = rows.withColumn("hilbert", hilbert_index(list(cells.values()), bits))
-    placed = placed.withColumn("_tie", tie).repartitionByRange("hilbert", "_tie", key).sortWithinPartitions("hilbert", "_tie", key)
-    placed = keep(placed.drop("_tie").withColumn("_place", F.monotonically_increasing_id()), "hilbert")
-    part, row = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    rows = rows.drop("hilbert", "shard", "slot")
+    place, tie, part, many, before, total = unused([*rows.columns, "hilbert", "shard", "slot"], "place", "tie", "part", "many", "before", "total")
+    placed = rows.withColumn("hilbert", hilbert_index(list(cells.values()), bits)).withColumn(tie, F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]))
+    placed = placed.repartitionByRange("hilbert", tie, key).sortWithinPartitions("hilbert", tie, key)
+    placed = keep(placed.drop(tie).withColumn(place, F.monotonically_increasing_id()), "hilbert")
+    of, row = F.shiftright(place, 33), F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
     # One row per partition: their sizes, then how many rows lie before each. The window sees partitions, not rows.
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
-    before = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    total = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"), total.alias("_total"))
-    ranked = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
-    rank = F.col("_before") + row
+    sizes = placed.groupBy(of.alias(part)).agg(F.count("*").alias(many))
+    ahead = F.sum(many).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    all_rows = F.sum(many).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    starts = sizes.select(part, F.coalesce(ahead, F.lit(0)).alias(before), all_rows.alias(total))
+    ranked = placed.withColumn(part, of).join(F.broadcast(starts), part)
     # Shard s holds ranks [ceil(s n / shards), ceil((s + 1) n / shards)).
-    shard = F.expr(f"cast(((_before + (_place & {(1 << 33) - 1})) * {shards}) div _total as int)")
-    first = F.expr(f"(shard * _total + {shards - 1}) div {shards}")
-    return ranked.withColumn("shard", shard).withColumn("slot", rank - first).drop("_part", "_before", "_total", "_place")
+    rank = F.col(before) + row
+    shard = F.call_function("div", rank * shards, F.col(total)).cast("int")
+    first = F.call_function("div", F.col("shard") * F.col(total) + F.lit(shards - 1), F.lit(shards).cast("bigint"))
+    return ranked.withColumn("shard", shard).withColumn("slot", rank - first).drop(part, before, total, place)
+
+
+CELLS = ("source_cell", "lang_cell", "size_cell")
+
+
+def _cells() -> dict[str, Column]:
+    return dict(zip(CELLS, (hash_cell(F.col("source")), hash_cell(F.col("lang")), log_cell(_size())), strict=True))
+
+
+def _size() -> Column:
+    return (F.coalesce(F.octet_length(F.col("text").cast("binary")), F.lit(0)) + F.lit(16)).cast("long")
 
 
 def document_cells(docs: DataFrame) -> DataFrame:
     """The narrow row that operator 4 deals for each document: doc_id, size, text_crc32 and its cells."""
-    text = F.col("text").cast("binary")
-    return docs.select(
-        "doc_id",
-        (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(16)).cast("long").alias("size"),
-        F.crc32(F.coalesce(text, F.lit(b""))).alias("text_crc32"),
-        hash_cell(F.col("source")).alias("source_cell"),
-        hash_cell(F.col("lang")).alias("lang_cell"),
-    ).withColumn("size_cell", log_cell(F.col("size")))
+    crc = F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
+    return docs.select("doc_id", _size().alias("size"), crc.alias("text_crc32"), *[cell.alias(c) for c, cell in _cells().items()])
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Digest of the sharding of documents: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
-    cells = {c: F.col(c) for c in ("source_cell", "lang_cell", "size_cell")}
+    cells = {c: F.col(c) for c in CELLS}
     return shard_by_hilbert(document_cells(docs), cells, "doc_id", shards).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert"
     )
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write whole documents as Parquet, one folder `shard=n` a shard, each file a run of the curve."""
-    placed = shard_documents(docs, shards).select("doc_id", "shard", "slot")
-    whole = docs.drop("shard", "slot").join(placed, docs["doc_id"].eqNullSafe(placed["doc_id"])).drop(placed["doc_id"])
-    whole.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write whole documents as Parquet, one folder `shard=n` a shard, each file a run of the curve; texts are shuffled once."""
+    docs = docs.drop("hilbert", "shard", "slot")
+    cells = dict(zip(CELLS, unused(docs.columns, *CELLS), strict=True))
+    found = docs.withColumns({cells[c]: cell for c, cell in _cells().items()})
+    placed = shard_by_hilbert(found, {c: F.col(c) for c in cells.values()}, "doc_id", shards)
+    placed.drop("hilbert", *cells.values()).write.partitionBy("shard").parquet(path)

@@ -16,7 +16,8 @@ without a global window: ids are cut into ranges at approximate quantiles, each
 range is a window of its own, and the first document of a range is also dealt
 to the range above it (the topmost one to the lowest, which closes the circle).
 Every text is shuffled once. Repeated ids follow each other by text; null ids
-come last. Extra columns are dropped; an empty table gives no rows.
+come last; other than integer ids raise a TypeError. Extra columns are dropped;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import zlib
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 BINS = 128
 LOW_BITS = 8
@@ -111,11 +113,16 @@ def as_hex(fingerprint: str) -> Column:
     return F.array_join(F.transform(F.col(fingerprint), lambda v: F.lower(F.lpad(F.hex(v.cast("int") + F.lit(128)), 2, "0"))), "")
 
 
+def _constants(values: list, kind: str) -> Column:
+    """One constant array, however many values: the plan does not grow with them."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
 def _range_of(key: Column, bounds: list[int]) -> Column:
     """How many of the rising bounds lie below the key, by binary search; null has 0."""
     if not bounds:
         return F.lit(0)
-    table, steps, step = F.array(*[F.lit(b).cast("long") for b in bounds]), [], 1
+    table, steps, step = _constants(bounds, "bigint"), [], 1
     while step <= len(bounds):
         steps.append(step)
         step *= 2
@@ -129,8 +136,10 @@ def _range_of(key: Column, bounds: list[int]) -> Column:
 
 def with_next(docs: DataFrame, key: str, payload: list[str], ranges: int) -> DataFrame:
     """docs with `next_<c>` for each payload column c: the value in the next row by descending key, after the last the first."""
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key} must be of an integer type")
     parts = [i / ranges for i in range(1, ranges)]
-    cuts = docs.select(F.percentile_approx(key, parts, 10 * ranges)).first()[0] if parts else None
+    cuts = docs.select(F.percentile_approx(key, _constants(parts, "double"), F.lit(10 * ranges))).first()[0] if parts else None
     bounds = sorted({int(x) for x in cuts or []})
     placed = docs.withColumn("_range", _range_of(F.col(key), bounds))
     tops = {r["_range"]: r["top"] for r in placed.groupBy("_range").agg(F.max(key).alias("top")).collect()}  # at most `ranges` rows
@@ -138,9 +147,11 @@ def with_next(docs: DataFrame, key: str, payload: list[str], ranges: int) -> Dat
         return docs.select("*", *[F.lit(None).cast(docs.schema[c].dataType).alias(f"next_{c}") for c in payload])
     used = sorted(tops)
     above = {r: used[(i + 1) % len(used)] for i, r in enumerate(used)}
-    size = max(used) + 1
-    top = F.get(F.array(*[F.lit(tops.get(r)).cast("long") for r in range(size)]), F.col("_range"))
-    to = F.get(F.array(*[F.lit(above.get(r)).cast("int") for r in range(size)]), F.col("_range"))
+    # Null keys alone have no greatest one; ranges without a row are never asked for.
+    nulls = [r for r, top in tops.items() if top is None]
+    top = F.get(_constants([tops.get(r) or 0 for r in range(max(used) + 1)], "bigint"), F.col("_range"))
+    top = F.when(~F.col("_range").isin(nulls), top) if nulls else top
+    to = F.get(_constants([above.get(r, 0) for r in range(max(used) + 1)], "int"), F.col("_range"))
     own = F.struct(F.col("_range").cast("int").alias("r"), F.lit(False).alias("lent"))
     lent = F.struct(to.alias("r"), F.lit(True).alias("lent"))
     dealt = placed.withColumn("_to", F.explode(F.when(F.col(key).eqNullSafe(top), F.array(own, lent)).otherwise(F.array(own))))

@@ -317,6 +317,19 @@ def test_hilbert_curve_is_a_walk(spark):
     assert all(sum(abs(a[k] - b[k]) for k in range(3)) == 1 for a, b in zip(walk, walk[1:], strict=False))
 
 
+def test_written_shards_hold_every_row_once(docs, corpus, tmp_path):
+    wide = docs.withColumn("source", F.lit("s")).withColumn("lang", F.col("n").cast("string")).withColumn("place", F.lit("own")).withColumn("size_cell", F.lit("own"))
+    hilbert.write_shards(wide, f"file://{tmp_path}/shards", 5)
+    back = docs.sparkSession.read.parquet(f"file://{tmp_path}/shards")
+    rows = back.collect()
+    assert Counter((r["doc_id"], r["text"], r["place"], r["size_cell"]) for r in rows) == Counter((i, t, "own", "own") for i, t in corpus)
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
 def test_shards(docs, corpus, empty, spark, tmp_path):
     wide = docs.withColumn("source", F.lit("s")).withColumn("lang", F.lit(None).cast("string"))
     got = hilbert.shard_documents(wide, 7).collect()
