@@ -83,5 +83,10 @@ def entity_of(path: Column) -> Column:
 
 
 def envelope(data: Column, code: int = 0, message: str = "ok") -> Column:
-    """Response as JSON text."""
-    return F.to_json(F.struct(F.lit(code).alias("code"), data.alias("data"), F.lit(message).alias("message")))
+    """Response as JSON text; null data stays in it."""
+    return F.to_json(F.struct(F.lit(code).alias("code"), data.alias("data"), F.lit(message).alias("message")), {"ignoreNullFields": "false"})
+
+
+def said(template: str, *values: Column | str) -> Column:
+    """A message with %s for each value."""
+    return F.format_string(template, *values)

@@ -12,15 +12,24 @@ from pyspark.sql import functions as F
 
 from .predicates import live
 
-USER_VIEW = ("id", "userAccount", "userName", "userProfile", "userRole")
-PICTURE_VIEW = ("id", "url", "name", "introduction", "category", "picSize", "picWidth", "picHeight", "picFormat", "userId", "spaceId", "createTime")
-SPACE_VIEW = ("id", "userId", "spaceName", "spaceLevel", "spaceType", "maxSize", "maxCount")
+USER_VIEW = ("id", "userAccount", "userName", "userAvatar", "userProfile", "userRole", "createTime")
+LOGIN_VIEW = (*USER_VIEW, "updateTime")
+PICTURE_VIEW = (
+    *("id", "url", "thumbnailUrl", "name", "introduction", "category", "picSize", "picWidth", "picHeight", "picScale", "picFormat"),
+    *("userId", "spaceId", "createTime", "editTime", "updateTime"),
+)
+SPACE_VIEW = ("id", "userId", "spaceName", "spaceLevel", "spaceType", "maxSize", "maxCount", "createTime", "editTime", "updateTime")
+MEMBER_VIEW = ("id", "spaceId", "userId", "spaceRole")
 
 
 def user_view(users: DataFrame) -> DataFrame:
     return users.select(*USER_VIEW)
 
 
+def login_view(users: DataFrame) -> DataFrame:
+    return users.select(*LOGIN_VIEW)
+
+
 def picture_view(pictures: DataFrame) -> DataFrame:
     """Without review fields; tags as a list."""
     return pictures.select(*PICTURE_VIEW, F.from_json("tags", "array<string>").alias("tagList"))
@@ -35,6 +44,20 @@ def space_view(spaces: DataFrame) -> DataFrame:
     return spaces.select(*SPACE_VIEW)
 
 
+def space_row(view: DataFrame) -> DataFrame:
+    """Back from the view, without what is nested in it."""
+    return view.select(*SPACE_VIEW)
+
+
+def member_view(members: DataFrame) -> DataFrame:
+    return members.select(*MEMBER_VIEW)
+
+
+def member_row(view: DataFrame) -> DataFrame:
+    """Back from the view, without the nested user and space."""
+    return view.select(*MEMBER_VIEW)
+
+
 def team_menu(members: DataFrame) -> DataFrame:
     return members.select(F.concat(F.lit("/space/"), "spaceId").alias("key"), F.col("spaceName").alias("label"))
 

@@ -1,20 +1,72 @@
-"""Links of HTML pages and their ingest: attribute extraction, query strings cut off, sequential names, a cap on each page."""
+"""Links of HTML pages and their ingest: tags in their scopes, query strings cut off, sequential names, a cap on each page.
+
+Pages are parsed, not matched: attributes in any quotes, character references
+and the end of a container count. Only the pages go to Python, only what is
+found comes back. A page that is null has no link.
+"""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Elements that have no end tag.
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Most links of a page that are asked for.
+MOST = 30
+
+
+class _Finder(HTMLParser):
+    """Values of an attribute of a tag, in order; within the first element of class `container`, if one is given."""
+
+    def __init__(self, tag: str, name: str, css_class: str | None, container: str | None):
+        super().__init__(convert_charrefs=True)
+        self._tag, self._name, self._class, self._container = tag, name, css_class, container
+        self._open: list[str] = []
+        self._scope: int | None = None
+        self._over = False
+        self.found: list[str] = []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        own = {k: v or "" for k, v in reversed(attrs)}
+        classes = own.get("class", "").split()
+        if self._container is None or (self._scope is not None and not self._over):
+            if tag == self._tag and self._name in own and (self._class is None or self._class in classes):
+                self.found.append(own[self._name])
+        elif self._scope is None and self._container in classes:
+            self._scope, self._over = len(self._open), tag in _VOID
+        if tag not in _VOID:
+            self._open.append(tag)
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in self._open:
+            while self._open.pop() != tag:
+                pass
+            self._over |= self._scope is not None and len(self._open) <= self._scope
+
 
 def attribute(html: Column, tag: str, name: str, css_class: str | None = None, container: str | None = None) -> Column:
-    """Values of the attribute of every such tag, in order; within the part of the page from the first tag with class `container`, if given."""
-    if container:
-        start = F.regexp_instr(html, F.lit(rf'<[a-zA-Z][^>]*class="[^"]*\b{re.escape(container)}\b'))
-        html = F.when(start > 0, F.substr(html, start)).otherwise(F.lit(""))
-    has = rf'(?=[^>]*class="[^"]*\b{re.escape(css_class)}\b)' if css_class else ""
-    return F.regexp_extract_all(html, F.lit(rf'<{tag} {has}[^>]*{name}="([^"]*)"'), F.lit(1))
+    """Values of the attribute of every such tag, in order; within the first element with class `container`, if given."""
+
+    @F.arrow_udf("array<string>")
+    def found(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for page in pages:
+            rows = []
+            for text in page:
+                finder = _Finder(tag, name, css_class, container)
+                finder.feed(text.as_py() or "")
+                finder.close()
+                rows.append(finder.found)
+            yield pa.array(rows, pa.list_(pa.string()))
+
+    return found(html)
 
 
 def links(pages: DataFrame, tag: str = "a", name: str = "href", css_class: str | None = None, container: str | None = None) -> DataFrame:
@@ -24,6 +76,8 @@ def links(pages: DataFrame, tag: str = "a", name: str = "href", css_class: str |
 
 
 def named(found: DataFrame, prefix: str, count: int = 10) -> DataFrame:
-    """The first `count` links of each page with sequential names."""
+    """The first `count` links of each page with sequential names; more than MOST may not be asked for."""
+    if count > MOST:
+        raise ValueError(f"at most {MOST} links of a page")
     n = F.row_number().over(Window.partitionBy("page_id").orderBy("place"))
     return found.withColumn("n", n).where(F.col("n") <= count).select("page_id", "n", F.concat(F.lit(prefix), "n").alias("name"), "link")

@@ -18,9 +18,9 @@ def upsert(base: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
 
 
 def patch(base: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """Fields of the changes replace those of the row with their key; null fields are skipped."""
+    """Fields of the changes replace those of the row with their key; null fields are skipped. Of several changes of one row each field takes its greatest value."""
     fields = [c for c in changes.columns if c != key]
-    new = changes.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_new_{c}") for c in fields])
+    new = changes.groupBy(F.col(key).alias("_key")).agg(*[F.max(c).alias(f"_new_{c}") for c in fields])
     met = base.join(new, F.col(key) == F.col("_key"), "left")
     return met.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in fields else F.col(c) for c in base.columns])
 

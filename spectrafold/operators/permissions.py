@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from spectrafold.sources.catalogue import PRIVATE, ROLE_PERMISSIONS, TEAM
 
-from .predicates import live
+from .predicates import live, outer_key
+from .rules import NOT_FOUND, OK
 
 VIEW, EDIT = "picture:view", "picture:edit"
 
@@ -37,6 +38,11 @@ def has(permissions: Column | str, wanted: list[str], every: bool = True) -> Col
     return F.size(F.array_except(lists, permissions)) == 0 if every else F.arrays_overlap(lists, permissions)
 
 
+def site_gate(role: str | None) -> Column:
+    """Whether a user passes the gate of a role of the site: no role lets everyone in, `admin` administrators alone."""
+    return F.lit(role is None) | (F.col("userRole") == role)
+
+
 def _space_case(no_space: Column) -> Column:
     """By the columns _space_id, _type, _owner, _role, asker, asker_admin."""
     own = (F.col("_owner") == F.col("asker")) | F.col("asker_admin")
@@ -48,8 +54,8 @@ def with_space_and_role(asks: DataFrame, spaces: DataFrame, members: DataFrame)
     """asks (asker, asker_admin, spaceId) with the live space and the asker's role in it."""
     space = live(spaces).select(F.col("id").alias("_space_id"), F.col("spaceType").alias("_type"), F.col("userId").alias("_owner"))
     role = members.select(F.col("spaceId").alias("_member_space"), F.col("userId").alias("_member"), F.col("spaceRole").alias("_role"))
-    met = asks.join(space, F.col("spaceId") == F.col("_space_id"), "left")
-    return met.join(role, (F.col("spaceId") == F.col("_member_space")) & (F.col("asker") == F.col("_member")), "left").drop("_member_space", "_member")
+    met = asks.withColumn("_space", outer_key("spaceId", asks)).join(space, F.col("_space") == F.col("_space_id"), "left")
+    return met.join(role, (F.col("_space") == F.col("_member_space")) & (F.col("asker") == F.col("_member")), "left").drop("_space", "_member_space", "_member")
 
 
 def on_space(asks: DataFrame, spaces: DataFrame, members: DataFrame) -> DataFrame:
@@ -77,3 +83,26 @@ def admitted(asks: DataFrame, spaces: DataFrame, members: DataFrame) -> DataFram
     no_space = F.when(F.col("asker_admin"), _all()).otherwise(F.array(F.lit(VIEW)))
     fits = F.col("spaceId").isNull() | F.coalesce(F.col("_type") == TEAM, F.lit(False))
     return met.withColumn("admitted", fits & has(_space_case(no_space), [EDIT])).drop("_space_id", "_type", "_owner", "_role")
+
+
+def on_context(asks: DataFrame, pictures: DataFrame, spaces: DataFrame, members: DataFrame) -> DataFrame:
+    """asks (asker, asker_admin, memberRole, spaceUserId, spaceId, pictureId, each null if absent) with `permissions` and `code`, an error or 0.
+
+    The first of these that is given decides: a membership with its role; the id of a membership, by the asker's role in
+    the same space; the space; the picture, by its space or, for a public one, its owner. With none, all is allowed.
+    """
+    target = members.select(F.col("id").alias("_membership"), F.col("spaceId").alias("_member_space_id"))
+    picture = live(pictures).select(F.col("id").alias("_picture"), F.col("spaceId").alias("_picture_space"), F.col("userId").alias("picture_owner"))
+    own = asks.withColumn("_m", outer_key("spaceUserId", asks)).withColumn("_p", outer_key("pictureId", asks)).withColumnRenamed("spaceId", "_asked_space")
+    met = own.join(target, F.col("_m") == F.col("_membership"), "left").join(picture, F.col("_p") == F.col("_picture"), "left")
+    by_member, by_space, by_picture = F.col("spaceUserId").isNotNull(), F.col("_asked_space").isNotNull(), F.col("pictureId").isNotNull()
+    met = met.withColumn("spaceId", F.when(by_member, F.col("_member_space_id")).when(by_space, F.col("_asked_space")).otherwise(F.col("_picture_space")))
+    met = with_space_and_role(met, spaces, members)
+    role = F.coalesce(of_role("_role"), _none())
+    public = F.when((F.col("picture_owner") == F.col("asker")) | F.col("asker_admin"), _all()).otherwise(F.array(F.lit(VIEW)))
+    missing = F.when(by_member, F.col("_membership").isNull()).when(by_space, F.col("_space_id").isNull())
+    missing = missing.when(by_picture, F.col("_picture").isNull() | (F.col("_picture_space").isNotNull() & F.col("_space_id").isNull()))
+    missing = F.col("memberRole").isNull() & F.coalesce(missing, F.lit(False))
+    allowed = F.when(F.col("memberRole").isNotNull(), of_role("memberRole")).when(by_member, role).when(by_space | F.col("_picture_space").isNotNull(), _space_case(_none())).when(by_picture, public).otherwise(_all())
+    out = met.withColumn("code", F.when(missing, F.lit(NOT_FOUND)).otherwise(F.lit(OK))).withColumn("permissions", F.when(~missing, allowed))
+    return out.select(*[c for c in asks.columns if c != "spaceId"], F.col("_asked_space").alias("spaceId"), "permissions", "code")

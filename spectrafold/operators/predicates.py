@@ -93,3 +93,8 @@ def menu_visible(path: str, role: str) -> Column:
 def masked(items: Column, mask: Column) -> Column:
     """The items whose place is true in the mask."""
     return F.filter(items, lambda _, i: F.coalesce(F.get(mask, i), F.lit(False)))
+
+
+def outer_key(key: str, rows: DataFrame) -> Column:
+    """The key for an outer join; rows without one, often a third of all, get negative numbers that spread them. Ids are positive."""
+    return F.coalesce(F.col(key), F.lit(-1) - F.pmod(F.xxhash64(*rows.columns), F.lit(4096)))

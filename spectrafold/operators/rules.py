@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spectrafold.sources.catalogue import PASS, PENDING, REJECT, ROLES
 
-from .predicates import live
+from .predicates import live, outer_key
 
 # Fixed values.
 OK, PARAMS, NO_AUTH, NOT_FOUND, OPERATION = 0, 40000, 40101, 40400, 50001
@@ -58,14 +58,70 @@ def review_error(current: Column, target: Column) -> Column:
     return first_error((target.isNull() | ~target.isin(PASS, REJECT), PARAMS), (current.isNull(), NOT_FOUND), (current == target, PARAMS))
 
 
+def reviewed(pictures: DataFrame, decisions: DataFrame, at: Column) -> DataFrame:
+    """pictures with reviewStatus, reviewMessage, reviewerId and reviewTime of the decisions (id, status, message, reviewer) that hold no error, and `code` of those with a decision."""
+    new = decisions.select(F.col("id").alias("_id"), F.col("status").alias("_status"), F.col("message").alias("_message"), F.col("reviewer").alias("_reviewer"))
+    met = pictures.join(new, F.col("id") == F.col("_id"), "left").withColumn("code", F.when(F.col("_id").isNotNull(), review_error(F.col("reviewStatus"), F.col("_status"))))
+    good = F.coalesce(F.col("code") == OK, F.lit(False))
+    stamped = {"reviewStatus": F.col("_status"), "reviewMessage": F.col("_message"), "reviewerId": F.col("_reviewer"), "reviewTime": at}
+    old = {c: F.col(c) if c in pictures.columns else F.lit(None) for c in stamped}
+    return met.withColumns({c: F.when(good, new).otherwise(old[c]) for c, new in stamped.items()}).drop("_id", "_status", "_message", "_reviewer")
+
+
+def upload_decisions(asks: DataFrame, spaces: DataFrame, pictures: DataFrame, at: Column) -> DataFrame:
+    """Uploads (asker, asker_admin, spaceId, pictureId, picSize) as they would be stored.
+
+    spaces: live ones with usage and quotas. Adds code (0 or the first error: space, its owner, its quota, the picture to
+    replace, its owner, its space), action (insert or replace), the space that the picture goes to, prefix of its path,
+    editTime of a replacement, status and message of the review, and what the usage of the space grows by.
+    """
+    space = spaces.select(F.col("id").alias("_space"), F.col("userId").alias("_space_owner"), "totalCount", "totalSize", "maxCount", "maxSize")
+    old = live(pictures).select(F.col("id").alias("_old"), F.col("userId").alias("_old_owner"), F.col("spaceId").alias("_old_space"))
+    met = asks.withColumn("_s", outer_key("spaceId", asks)).withColumn("_p", outer_key("pictureId", asks))
+    met = met.join(space, F.col("_s") == F.col("_space"), "left").join(old, F.col("_p") == F.col("_old"), "left")
+    placed, replaces = F.col("spaceId").isNotNull(), F.col("pictureId").isNotNull()
+    code = first_error(
+        (placed & F.col("_space").isNull(), NOT_FOUND),
+        (placed & (F.col("_space_owner") != F.col("asker")), NO_AUTH),
+        (placed & (F.col("totalCount") >= F.col("maxCount")), OPERATION),
+        (placed & (F.col("totalSize") >= F.col("maxSize")), OPERATION),
+        (replaces & F.col("_old").isNull(), NOT_FOUND),
+        (replaces & (F.col("_old_owner") != F.col("asker")) & ~F.col("asker_admin"), NO_AUTH),
+        (replaces & placed & ~F.col("spaceId").eqNullSafe(F.col("_old_space")), PARAMS),
+    )
+    met = met.withColumn("code", code).withColumn("spaceId", F.coalesce("spaceId", "_old_space"))
+    met = met.withColumn("action", F.when(replaces, F.lit("replace")).otherwise(F.lit("insert")))
+    met = met.withColumn("prefix", F.when(F.col("spaceId").isNull(), F.concat(F.lit("public/"), "asker")).otherwise(F.concat(F.lit("space/"), "spaceId")))
+    met = met.withColumn("editTime", F.when(replaces, at)).withColumns(review_defaults())
+    grows = (F.col("code") == OK) & F.col("spaceId").isNotNull()
+    met = met.withColumn("sizeDelta", F.when(grows, F.col("picSize")).otherwise(F.lit(0)).cast("bigint")).withColumn("countDelta", F.when(grows, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
+    return met.drop("_s", "_p", *[c for c in space.columns], *old.columns)
+
+
 def space_error(add: bool) -> Column:
     name, level, kind = F.col("spaceName"), F.col("spaceLevel"), F.col("spaceType")
     needed = [(blank(name), PARAMS), (level.isNull(), PARAMS), (kind.isNull(), PARAMS)] if add else []
     return first_error(*needed, (level.isNotNull() & ~level.isin(0, 1, 2), PARAMS), (~blank(name) & (F.char_length(name) > MAX_NAME), PARAMS), (kind.isNotNull() & ~kind.isin(0, 1), PARAMS))
 
 
-def member_errors(rows: DataFrame, users: DataFrame, spaces: DataFrame) -> DataFrame:
-    """rows (spaceId, userId, spaceRole) with `code`."""
+def space_defaults() -> dict[str, Column]:
+    """Name, level and type of a new space where they are not given."""
+    return {
+        "spaceName": F.when(blank("spaceName"), F.lit("默认空间")).otherwise(F.col("spaceName")),
+        "spaceLevel": F.coalesce("spaceLevel", F.lit(0)),
+        "spaceType": F.coalesce("spaceType", F.lit(0)),
+    }
+
+
+def role_error() -> Column:
+    """What a change of a membership is checked for."""
+    return first_error((F.col("spaceRole").isNotNull() & ~F.col("spaceRole").isin(*[r for r, _ in ROLES]), PARAMS))
+
+
+def member_errors(rows: DataFrame, users: DataFrame, spaces: DataFrame, add: bool = True) -> DataFrame:
+    """rows (spaceId, userId, spaceRole) with `code`; without `add`, of a change, only the role is checked."""
+    if not add:
+        return rows.withColumn("code", role_error())
     user = live(users).select(F.col("id").alias("_u"))
     space = live(spaces).select(F.col("id").alias("_s"))
     met = rows.join(user, F.col("userId") == F.col("_u"), "left").join(space, F.col("spaceId") == F.col("_s"), "left")

@@ -1,55 +1,41 @@
-"""Result cache of two tiers in front of a query: a bounded local one and a shared one with jitter, each with a time to live.
+"""Results of repeated requests: written once as Parquet in the shared folder, read back while they are fresh.
 
-Results are small pages. Nothing is invalidated by writes: a page may be as old as its time to live.
+The key is the hash of the request. The folder of a result names when it was
+written; it is fresh for a fixed time and a further one that depends on the key,
+so that results of one moment do not all end together. Nothing is invalidated
+by writes. A result that two sessions write at once has two folders, of which
+the younger is read.
 """
 
 from __future__ import annotations
 
-import random
-import time
-from collections import OrderedDict
+import uuid
 from collections.abc import Callable
 from typing import Any
 
+from pyspark.sql import DataFrame, SparkSession
+
+from spectrafold.functions.scalars import request_key
+
 # Fixed values.
-LOCAL_ENTRIES, LOCAL_SECONDS = 10_000, 300
-SHARED_SECONDS, SHARED_JITTER = 300, 300
-
-
-class Tier:
-    """Entries with a time to live; the least recently used one goes beyond `entries`."""
-
-    def __init__(self, entries: int | None, clock: Callable[[], float] = time.monotonic):
-        self._entries, self._clock = entries, clock
-        self._kept: OrderedDict[str, tuple[float, Any]] = OrderedDict()
-
-    def get(self, key: str) -> Any | None:
-        ends, value = self._kept.get(key, (0.0, None))
-        if value is None or ends <= self._clock():
-            self._kept.pop(key, None)
-            return None
-        self._kept.move_to_end(key)
-        return value
-
-    def put(self, key: str, value: Any, seconds: float) -> None:
-        self._kept[key] = (self._clock() + seconds, value)
-        self._kept.move_to_end(key)
-        while self._entries is not None and len(self._kept) > self._entries:
-            self._kept.popitem(last=False)
-
-
-class PageCache:
-    """local, then shared, then the query; what is found is put into the tiers before it."""
-
-    def __init__(self, clock: Callable[[], float] = time.monotonic, jitter: Callable[[], float] = random.random):
-        self.local, self.shared, self._jitter = Tier(LOCAL_ENTRIES, clock), Tier(None, clock), jitter
-
-    def page(self, key: str, query: Callable[[], Any]) -> Any:
-        value = self.local.get(key)
-        if value is None:
-            value = self.shared.get(key)
-            if value is None:
-                value = query()
-                self.shared.put(key, value, SHARED_SECONDS + self._jitter() * SHARED_JITTER)
-            self.local.put(key, value, LOCAL_SECONDS)
-        return value
+SECONDS, JITTER = 300, 300
+
+
+def lifetime(key: str) -> int:
+    return SECONDS + int(key[:8], 16) % JITTER
+
+
+def cached(spark: SparkSession, folder: str, request: dict[str, Any], query: Callable[[], DataFrame], now: int) -> DataFrame:
+    """The rows of the query for this request, at most its lifetime old; now: seconds."""
+    key = request_key(request)
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs
+    home = paths.Path(f"{folder}/{key}")
+    files = home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    kept = [f.getPath() for f in files.listStatus(home)] if files.exists(home) else []
+    fresh = [(int(p.getName().split("-")[0]), p) for p in kept if files.exists(paths.Path(p, "_SUCCESS"))]
+    fresh = [(at, p.toString()) for at, p in fresh if at <= now < at + lifetime(key)]
+    if fresh:
+        return spark.read.parquet(max(fresh)[1])
+    path = f"{folder}/{key}/{now}-{uuid.uuid4().hex}"
+    query().write.parquet(path)
+    return spark.read.parquet(path)

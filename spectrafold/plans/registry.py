@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from spectrafold.functions import scalars as fn
 from spectrafold.operators import enrich, ingest, mutate, paging, permissions, rules
 from spectrafold.operators.paging import Page
-from spectrafold.operators.predicates import Query, credentials, live, masked, menu_visible, public_visible, space_visible
+from spectrafold.operators.predicates import Query, live, masked, menu_visible, public_visible, space_visible
+from spectrafold.plans.cache import cached
 from spectrafold.sources import catalogue as cat
 from spectrafold.sources.folders import shared_folder
 from spectrafold.streaming import collab
@@ -26,7 +27,7 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        names = {"users": "g_user", "spaces": "g_space", "pictures": "g_picture", "members": "g_space_user", "messages": "g_ev"}
+        names = {"users": "g_user", "spaces": "g_space", "pictures": "g_picture", "members": "g_space_user", "messages": "g_ev", "log": "g_session"}
         return cat.table(self.spark, self.sf_dir, names.get(name, name))
 
 
@@ -128,9 +129,9 @@ def filter_member(t: Tables) -> DataFrame:
 
 @query("g_user", "select id, userName from g_user where isDelete = 0 and lower(userAccount) = (select lower(userAccount) from g_user where id = 7) and userPassword = (select userPassword from g_user where id = 7)")
 def filter_credentials(t: Tables) -> DataFrame:
-    account = "Customer#000000006"
-    row = t.users.where(F.col("id") == 7).select("userAccount", "userPassword").first()
-    return live(t.users).where(credentials(row["userAccount"] if row else account, row["userPassword"] if row else "")).select("id", "userName")
+    given = t.users.where(F.col("id") == 7).select(F.lower("userAccount").alias("_account"), F.col("userPassword").alias("_password"))
+    on = (F.lower("userAccount") == F.col("_account")) & (F.col("userPassword") == F.col("_password"))
+    return live(t.users).join(given, on, "left_semi").select("id", "userName")
 
 
 @query("g_picture", "select id, name, userId from g_picture where isDelete = 0 and id = 42")
@@ -493,19 +494,19 @@ def usage_deltas(t: Tables) -> DataFrame:
     return mutate.apply_deltas(base, t.pictures.where("spaceId is not null").select(F.col("spaceId").alias("id"), (F.col("picSize") * sign).alias("size"), sign.alias("count")))
 
 
-@query("g_user", "select id, userAccount, userName, userProfile, userRole from g_user where isDelete = 0")
+@query("g_user", "select id, userAccount, userName, userAvatar, userProfile, userRole, createTime from g_user where isDelete = 0")
 def view_user(t: Tables) -> DataFrame:
     return enrich.user_view(live(t.users))
 
 
-@query("g_user", "select id, userAccount, userName, userProfile, userRole from g_user where isDelete = 0 and id = 8")
+@query("g_user", "select id, userAccount, userName, userAvatar, userProfile, userRole, createTime, updateTime from g_user where isDelete = 0 and id = 8")
 def view_login(t: Tables) -> DataFrame:
-    return enrich.user_view(live(t.users).where("id = 8"))
+    return enrich.login_view(live(t.users).where("id = 8"))
 
 
-@query("g_picture", "select id, name, picFormat, userId, spaceId, createTime, array_to_string(cast(tags::json as varchar[]), '|') as tagText from g_picture where isDelete = 0")
+@query("g_picture", "select id, name, thumbnailUrl, picScale, picFormat, userId, spaceId, createTime, editTime, updateTime, array_to_string(cast(tags::json as varchar[]), '|') as tagText from g_picture where isDelete = 0")
 def view_picture(t: Tables) -> DataFrame:
-    return enrich.picture_view(live(t.pictures)).select("id", "name", "picFormat", "userId", "spaceId", "createTime", F.array_join("tagList", "|").alias("tagText"))
+    return enrich.picture_view(live(t.pictures)).select("id", "name", "thumbnailUrl", "picScale", "picFormat", "userId", "spaceId", "createTime", "editTime", "updateTime", F.array_join("tagList", "|").alias("tagText"))
 
 
 @query("g_picture", "select id, tags from g_picture where isDelete = 0")
@@ -513,9 +514,9 @@ def view_picture_back(t: Tables) -> DataFrame:
     return enrich.picture_row(enrich.picture_view(live(t.pictures))).select("id", "tags")
 
 
-@query("g_space", "select id, userId, spaceName, spaceLevel, spaceType from g_space where isDelete = 0")
+@query("g_space", "select id, userId, spaceName, spaceLevel, spaceType, maxSize, maxCount, createTime, editTime, updateTime from g_space where isDelete = 0")
 def view_space(t: Tables) -> DataFrame:
-    return enrich.space_view(live(t.spaces)).drop("maxSize", "maxCount")
+    return enrich.space_view(live(t.spaces))
 
 
 @query("g_user", "select id, md5(concat('pepper', userAccount)) as hash from g_user")
@@ -635,23 +636,57 @@ def edit_lock_batch(t: Tables) -> DataFrame:
     return collab.accepted(t.messages)
 
 
-_PRESENT = "(select distinct pictureId, userId from g_ev where type <> 'BOGUS')"
+#: The last JOIN or LEAVE of each session in a picture before each message.
+_ROOM = """rooms as (select d.pictureId, d.seq, d.userId, d.type, s.userId as receiver, arg_max(s.type, s.moment) as last from done d join g_session s on s.pictureId = d.pictureId and s.moment < d.seq * 4 + 1
+    group by d.pictureId, d.seq, d.userId, d.type, s.userId), sent as (select * from rooms where last = 'JOIN' and (type <> 'EDIT_ACTION' or receiver <> userId))"""
+
+
+def _rooms(sql: str) -> str:
+    return cat.with_tables("g_ev", "g_session").replace("with ", "with recursive ", 1) + f", {_LOCK}, {_ROOM} {sql}"
+
 
+@query("", _rooms("select pictureId, seq, receiver from sent"))
+def edit_fanout(t: Tables) -> DataFrame:
+    return collab.fan_out(collab.accepted(t.messages), t.log).select("pictureId", "seq", "receiver")
 
-@query("", _recursive(f"select d.pictureId, d.type, count(*) as receivers from done d join {_PRESENT} p on d.pictureId = p.pictureId where d.type <> 'EDIT_ACTION' or p.userId <> d.userId group by d.pictureId, d.type"))
+
+@query("", _rooms("select d.pictureId, d.type, count(s.receiver) as receivers from done d left join sent s on s.pictureId = d.pictureId and s.seq = d.seq group by d.pictureId, d.type"))
 def edit_fanout_counts(t: Tables) -> DataFrame:
-    present = t.messages.where(F.col("type").isin(*collab.TYPES)).select("pictureId", "userId").distinct()
-    return collab.fan_out(collab.accepted(t.messages), present).groupBy("pictureId", "type").agg(F.count("*").alias("receivers"))
+    return collab.receivers(collab.accepted(t.messages), t.log).groupBy("pictureId", "type").agg(F.sum("receivers").alias("receivers"))
 
 
-@query("g_ev", "select seq, case when type not in ('ENTER_EDIT', 'EXIT_EDIT', 'EDIT_ACTION') then 'ERROR' end as answer from g_ev")
+@query(
+    "g_ev",
+    """select seq, kind, case when kind in ('INFO', 'ERROR') then 'ERROR' end as answer, kind is null or kind = 'BOGUS' as fails from
+    (select seq, case when type <> 'BOGUS' then type when seq % 4 = 0 then 'INFO' when seq % 4 = 1 then 'ERROR' when seq % 4 = 2 then 'BOGUS' end as kind from g_ev)""",
+)
 def edit_rejected(t: Tables) -> DataFrame:
-    return t.messages.select("seq", collab.rejected_kind(F.col("type")).alias("answer"))
+    unknown = F.when(F.col("seq") % 4 == 0, F.lit("INFO")).when(F.col("seq") % 4 == 1, F.lit("ERROR")).when(F.col("seq") % 4 == 2, F.lit("BOGUS"))
+    rows = t.messages.select("seq", F.when(F.col("type") != "BOGUS", F.col("type")).otherwise(unknown).alias("kind"))
+    return rows.select("seq", "kind", collab.answer(F.col("kind")).alias("answer"), collab.fails(F.col("kind")).alias("fails"))
 
 
-@query("g_ev", "select pictureId, seq, sum(case type when 'ENTER_EDIT' then 1 else -1 end) over (partition by pictureId order by seq)::bigint as open from g_ev where type in ('ENTER_EDIT', 'EXIT_EDIT')")
+@query(
+    "g_session",
+    """select pictureId, moment, count(*) filter (where last = 'JOIN')::bigint as open from (select m.pictureId, m.moment, s.userId, arg_max(s.type, s.moment) as last from g_session m
+    join g_session s on s.pictureId = m.pictureId and s.moment <= m.moment group by m.pictureId, m.moment, s.userId) group by pictureId, moment""",
+)
 def session_concurrency(t: Tables) -> DataFrame:
-    return collab.sessions(t.messages)
+    return collab.sessions(t.log)
+
+
+@query(
+    "",
+    cat.with_tables("g_ev", "g_session", "g_user").replace("with ", "with recursive ", 1)
+    + f""", {_LOCK} select x.pictureId, x.moment, case x.type when 'JOIN' then concat(u.userName, '加入编辑') when 'LEAVE' then concat(u.userName, '离开编辑') when 'ENTER_EDIT' then concat(u.userName, '开始编辑图片')
+    when 'EXIT_EDIT' then concat(u.userName, '退出编辑图片') else concat(u.userName, '执行', case x.editAction when 'ZOOM_IN' then '放大操作' when 'ZOOM_OUT' then '缩小操作' when 'ROTATE_LEFT' then '左旋操作' else '右旋操作' end) end as text
+    from (select pictureId, userId, moment, type, null as editAction from g_session union all select pictureId, userId, seq * 4 + 1, type, editAction from done) x join g_user u on u.id = x.userId and u.isDelete = 0""",
+)
+def edit_notices(t: Tables) -> DataFrame:
+    done = collab.accepted(t.messages).select("pictureId", "userId", (F.col("seq") * 4 + 1).alias("moment"), "type", "editAction")
+    every = t.log.select("pictureId", "userId", "moment", "type", F.lit(None).cast("string").alias("editAction")).unionByName(done)
+    names = live(t.users).select(F.col("id").alias("userId"), "userName")
+    return every.join(names, "userId").select("pictureId", "moment", collab.notice(F.col("type"), F.col("userName"), F.col("editAction")).alias("text"))
 
 
 def edit_lock_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -663,6 +698,139 @@ _QUERIES["edit_lock_stream"] = edit_lock_stream
 _SQL["edit_lock_stream"] = _recursive("select * from done")
 
 
+@query("g_space", "select id, userId, spaceName, spaceLevel, spaceType from g_space where isDelete = 0")
+def view_space_back(t: Tables) -> DataFrame:
+    return enrich.space_row(enrich.with_user(enrich.space_view(live(t.spaces)), t.users)).select("id", "userId", "spaceName", "spaceLevel", "spaceType")
+
+
+@query("g_space_user", "select id, spaceId, userId, spaceRole from g_space_user")
+def view_member(t: Tables) -> DataFrame:
+    return enrich.member_view(t.members)
+
+
+@query("g_space_user", "select id, spaceId, userId, spaceRole from g_space_user")
+def view_member_back(t: Tables) -> DataFrame:
+    return enrich.member_row(enrich.members(enrich.member_view(t.members), t.users, t.spaces))
+
+
+@query("g_space g_user", "select s.id, u.userName from g_space s left join (select * from g_user where isDelete = 0) u on s.userId = u.id and s.userId > 0 where s.isDelete = 0 and s.id = 5")
+def enrich_single_space(t: Tables) -> DataFrame:
+    return enrich.with_user(live(t.spaces).where("id = 5"), t.users, enrich.positive("userId")).select("id", F.col("user.userName").alias("userName"))
+
+
+@query("g_user", "select id, userRole = 'admin' as admin_gate, true as open_gate from g_user where isDelete = 0")
+def site_gate(t: Tables) -> DataFrame:
+    return live(t.users).select("id", permissions.site_gate("admin").alias("admin_gate"), permissions.site_gate(None).alias("open_gate"))
+
+
+@query("g_space_user", "select id, case when id % 7 = 0 then 40000 else 0 end as code from g_space_user")
+def validate_member_change(t: Tables) -> DataFrame:
+    rows = t.members.withColumn("spaceRole", F.when(F.col("id") % 7 == 0, F.lit("owner")).when(F.col("id") % 5 != 0, F.col("spaceRole")))
+    return rules.member_errors(rows, t.users, t.spaces, add=False).select("id", "code")
+
+
+@query("g_space", "select id, case when id % 3 = 0 then '默认空间' else spaceName end as spaceName, case when id % 2 = 0 then 0 else spaceLevel end as spaceLevel, case when id % 5 = 0 then 0 else spaceType end as spaceType from g_space")
+def space_defaults(t: Tables) -> DataFrame:
+    asked = t.spaces.select(
+        "id",
+        F.when(F.col("id") % 3 != 0, F.col("spaceName")).when(F.col("id") % 6 == 0, F.lit("  ")).alias("spaceName"),
+        F.when(F.col("id") % 2 != 0, F.col("spaceLevel")).alias("spaceLevel"),
+        F.when(F.col("id") % 5 != 0, F.col("spaceType")).alias("spaceType"),
+    )
+    return asked.withColumns(rules.space_defaults())
+
+
+_AT = "2026-01-02 03:04:05"
+
+
+@query(
+    "g_picture",
+    f"""select id, case when d and code = 0 then target else reviewStatus end as reviewStatus, case when d and code = 0 then concat('note ', id) end as reviewMessage, case when d and code = 0 then 1::bigint end as reviewerId,
+    case when d and code = 0 then '{_AT}' end as reviewTime, case when d then code end as code from (select id, reviewStatus, (id % 4)::int as target, id % 2 = 0 or id % 3 = 0 as d,
+    case when id % 4 not in (1, 2) then 40000 when reviewStatus = id % 4 then 40000 else 0 end as code from g_picture where isDelete = 0)""",
+)
+def review_stamped(t: Tables) -> DataFrame:
+    rows = live(t.pictures).select("id", "reviewStatus")
+    decisions = rows.where("id % 2 = 0 or id % 3 = 0").select("id", (F.col("id") % 4).cast("int").alias("status"), F.concat(F.lit("note "), "id").alias("message"), F.lit(1).cast("bigint").alias("reviewer"))
+    return rules.reviewed(rows, decisions, fn.stamp(F.lit(_AT).cast("timestamp")))
+
+
+_UPLOADS = """asks as (select p.id as ask, p.userId as asker, u.userRole = 'admin' as asker_admin, p.picSize, case p.id % 4 when 0 then null when 1 then p.spaceId when 2 then p.userId else p.id % 140 + 1 end as spaceId,
+    case p.id % 3 when 0 then null when 1 then p.id else p.id + 1 end as pictureId from g_picture p join g_user u on p.userId = u.id where u.isDelete = 0)"""
+
+
+@query(
+    "g_user g_space g_picture",
+    f""", {_USED}, {_UPLOADS}, told as (select a.ask, a.asker, a.asker_admin, a.picSize, a.pictureId, coalesce(a.spaceId, o.spaceId) as spaceId, case when a.spaceId is not null and s.id is null then 40400
+    when a.spaceId is not null and s.userId <> a.asker then 40101 when a.spaceId is not null and n.totalCount >= n.maxCount then 50001 when a.spaceId is not null and n.totalSize >= n.maxSize then 50001
+    when a.pictureId is not null and o.id is null then 40400 when a.pictureId is not null and o.userId <> a.asker and not a.asker_admin then 40101
+    when a.pictureId is not null and a.spaceId is not null and a.spaceId is distinct from o.spaceId then 40000 else 0 end as code
+    from asks a left join (select * from g_space where isDelete = 0) s on a.spaceId = s.id left join used n on n.id = s.id left join (select * from g_picture where isDelete = 0) o on a.pictureId = o.id)
+    select ask, code, case when pictureId is null then 'insert' else 'replace' end as action, spaceId, case when spaceId is null then concat('public/', asker) else concat('space/', spaceId) end as prefix,
+    case when pictureId is not null then '{_AT}' end as editTime, case when spaceId is null and not asker_admin then 0 else 1 end as newStatus,
+    case when code = 0 and spaceId is not null then picSize else 0 end::bigint as sizeDelta, case when code = 0 and spaceId is not null then 1 else 0 end::bigint as countDelta from told""",
+)
+def upload_decision(t: Tables) -> DataFrame:
+    users = live(t.users).select(F.col("id").alias("asker"), (F.col("userRole") == "admin").alias("asker_admin"))
+    i = F.col("id")
+    asks = t.pictures.select(
+        i.alias("ask"),
+        F.col("userId").alias("asker"),
+        "picSize",
+        F.when(i % 4 == 1, F.col("spaceId")).when(i % 4 == 2, F.col("userId")).when(i % 4 == 3, i % 140 + 1).alias("spaceId"),
+        F.when(i % 3 == 1, i).when(i % 3 == 2, i + 1).alias("pictureId"),
+    ).join(users, "asker")
+    return rules.upload_decisions(asks, _used(t), t.pictures, fn.stamp(F.lit(_AT).cast("timestamp"))).select("ask", "code", "action", "spaceId", "prefix", "editTime", "newStatus", "sizeDelta", "countDelta")
+
+
+_CONTEXTS = """asks as (select id as asker, userRole = 'admin' as asker_admin, case when id % 7 = 1 then case id % 3 when 0 then 'viewer' when 1 then 'editor' else 'admin' end end as memberRole,
+    case when id % 7 in (1, 2) then id * 4 % 9000 + 1 end as spaceUserId, case when id % 7 in (3, 5) then id % 14 + 1 when id % 7 = 6 then id end as spaceId, case when id % 7 in (4, 5) then id * 3 % 9000 + 1 end as pictureId
+    from g_user where isDelete = 0)"""
+
+
+@query(
+    "g_user g_space g_space_user g_picture",
+    f""", {_CONTEXTS}, met as (select a.*, tm.id as membership, tm.spaceId as memberSpace, p.id as picture, p.spaceId as pictureSpace, p.userId as pictureOwner,
+    case when a.spaceUserId is not null then tm.spaceId when a.spaceId is not null then a.spaceId else p.spaceId end as atSpace from asks a left join g_space_user tm on a.spaceUserId = tm.id
+    left join (select * from g_picture where isDelete = 0) p on a.pictureId = p.id)
+    select a.asker, case when a.memberRole is not null then {_ROLE_LIST.format(r="a.memberRole")} when a.spaceUserId is not null then case when a.membership is null then null else {_ROLE_LIST.format(r="m.spaceRole")} end
+    when a.spaceId is null and a.pictureId is null then {_ADMIN_LIST} when a.spaceId is null and a.picture is null then null
+    when a.spaceId is null and a.pictureSpace is null then case when a.pictureOwner = a.asker or a.asker_admin then {_ADMIN_LIST} else 'picture:view' end when s.id is null then null {_SPACE_CASE} as permissions,
+    case when a.memberRole is not null then 0 when a.spaceUserId is not null then case when a.membership is null then 40400 else 0 end when a.spaceId is null and a.pictureId is null then 0
+    when a.spaceId is null and a.picture is null then 40400 when a.spaceId is null and a.pictureSpace is null then 0 when s.id is null then 40400 else 0 end as code
+    from met a left join (select * from g_space where isDelete = 0) s on a.atSpace = s.id left join g_space_user m on m.spaceId = a.atSpace and m.userId = a.asker""",
+)
+def perm_any_context(t: Tables) -> DataFrame:
+    i = F.col("id")
+    role = F.when(i % 3 == 0, F.lit("viewer")).when(i % 3 == 1, F.lit("editor")).otherwise(F.lit("admin"))
+    asks = live(t.users).select(
+        i.alias("asker"),
+        (F.col("userRole") == "admin").alias("asker_admin"),
+        F.when(i % 7 == 1, role).alias("memberRole"),
+        F.when((i % 7).isin(1, 2), i * 4 % 9000 + 1).alias("spaceUserId"),
+        F.when((i % 7).isin(3, 5), i % 14 + 1).when(i % 7 == 6, i).alias("spaceId"),
+        F.when((i % 7).isin(4, 5), i * 3 % 9000 + 1).alias("pictureId"),
+    )
+    return permissions.on_context(asks, t.pictures, t.spaces, t.members).select("asker", F.array_join("permissions", ",").alias("permissions"), "code")
+
+
+@query("", "select page_id, concat('in-', page_id, '.png') as link from pages")
+def html_scoped_images(t: Tables) -> DataFrame:
+    """img.mimg in the first .dgControl of a page, before and after which others stand."""
+    inside = F.concat(F.lit("<DIV class='x dgControl'><p><img class='mimg a' src=in-"), "page_id", F.lit(".png?w=1></p><img src=\"other.png\"></DIV>"))
+    pages = t.pages.select("page_id", F.concat(F.lit('<img class="mimg" src="before.png">'), inside, F.lit('<img class="mimg" src="after.png">')).alias("html"))
+    return ingest.links(pages, "img", "src", "mimg", "dgControl").select("page_id", "link")
+
+
+@query("g_picture", f"select id, name from g_picture where {_LIVE_PUBLIC} order by createTime desc nulls last, id limit 12")
+def page_cached(t: Tables) -> DataFrame:
+    """The first page of public pictures, asked for twice: the second time it comes from the cache."""
+    page = lambda: paging.records(live(t.pictures).where(public_visible()), Page(1, 12, "createTime")).select("id", "name")
+    folder, request = shared_folder(t.spark, "pages"), {"scope": "public", "page": 1, "size": 12}
+    cached(t.spark, folder, request, page, 1000)
+    return cached(t.spark, folder, request, page, 1100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -27,13 +27,16 @@ SALT = "salt"
 DERIVED: dict[str, tuple[str, str]] = {
     "g_user": (
         "customer",
-        """select c_custkey + 1 as id, c_name as userAccount, c_name as userName, md5(concat('salt', c_name)) as userPassword, c_mktsegment as userProfile,
+        """select c_custkey + 1 as id, c_name as userAccount, c_name as userName, md5(concat('salt', c_name)) as userPassword, c_mktsegment as userProfile, concat('http://avatar/', c_custkey, '.png') as userAvatar,
+        cast(cast('2024-01-01' as date) + cast(c_custkey % 365 as int) as string) as createTime, cast(cast('2025-01-01' as date) + cast(c_custkey % 365 as int) as string) as updateTime,
         case when c_custkey % 50 = 0 then 'admin' else 'user' end as userRole, case when c_custkey % 17 = 3 then 1 else 0 end as isDelete from customer""",
     ),
     "g_space": (
         "supplier",
         """select s_suppkey + 1 as id, s_suppkey + 1 as userId, s_name as spaceName, cast(s_suppkey % 3 as int) as spaceLevel, cast(s_suppkey % 2 as int) as spaceType,
-        cast(null as bigint) as maxSize, cast(null as bigint) as maxCount, case when s_suppkey % 11 = 10 then 1 else 0 end as isDelete from supplier""",
+        cast(null as bigint) as maxSize, cast(null as bigint) as maxCount,
+        cast(cast('2024-01-01' as date) + cast(s_suppkey % 365 as int) as string) as createTime, cast(cast('2025-01-01' as date) + cast(s_suppkey % 365 as int) as string) as editTime,
+        cast(cast('2025-02-01' as date) + cast(s_suppkey % 365 as int) as string) as updateTime, case when s_suppkey % 11 = 10 then 1 else 0 end as isDelete from supplier""",
     ),
     "g_picture": (
         "orders",
@@ -44,6 +47,8 @@ DERIVED: dict[str, tuple[str, str]] = {
         case o_orderkey % 3 when 0 then 'png' when 1 then 'jpg' else 'webp' end as picFormat, o_custkey + 1 as userId,
         case when o_orderkey % 3 = 0 then null else o_orderkey % 12 + 1 end as spaceId,
         case o_orderstatus when 'P' then 0 when 'F' then 1 else 2 end as reviewStatus, o_orderdate as createTime,
+        o_orderdate + interval 1 day as editTime, o_orderdate + interval 2 day as updateTime, concat('http://img/', o_orderkey, '_thumbnail.png') as thumbnailUrl,
+        cast(o_orderkey % 1920 + 1 as double) / cast(o_orderkey % 1080 + 1 as double) as picScale,
         case when o_orderkey % 29 = 7 then 1 else 0 end as isDelete from orders""",
     ),
     "g_space_user": (
@@ -51,6 +56,12 @@ DERIVED: dict[str, tuple[str, str]] = {
         """select min(o_orderkey) + 1 as id, o_orderkey % 12 + 1 as spaceId, o_custkey + 1 as userId,
         case min(o_orderkey) % 3 when 0 then 'viewer' when 1 then 'editor' else 'admin' end as spaceRole from orders group by o_orderkey % 12 + 1, o_custkey + 1""",
     ),
+    # Connections: who joins at an event acts in it, who leaves still does so; messages of the event stand at 4 * seq + 1.
+    "g_session": (
+        "events",
+        """select event_id * 4 + case event_type when 'signup' then 0 else 2 end as moment, user_id + 1 as userId, cast({k} as bigint) + 1 as pictureId,
+        case event_type when 'signup' then 'JOIN' else 'LEAVE' end as type from events where event_type in ('signup', 'purchase')""",
+    ),
     "g_ev": (
         "events",
         """select event_id as seq, ts, user_id + 1 as userId, cast({k} as bigint) + 1 as pictureId,

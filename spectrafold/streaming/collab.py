@@ -18,9 +18,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from spectrafold.functions.scalars import label, said
+
 # Fixed values.
 TYPES = ("ENTER_EDIT", "EXIT_EDIT", "EDIT_ACTION")
-ACTIONS = ("ZOOM_IN", "ZOOM_OUT", "ROTATE_LEFT", "ROTATE_RIGHT")
+ANSWERS = ("INFO", "ERROR")
+ACTION_TEXT = {"ZOOM_IN": "放大操作", "ZOOM_OUT": "缩小操作", "ROTATE_LEFT": "左旋操作", "ROTATE_RIGHT": "右旋操作"}
+NOTICE = {"JOIN": "%s加入编辑", "LEAVE": "%s离开编辑", "ENTER_EDIT": "%s开始编辑图片", "EXIT_EDIT": "%s退出编辑图片"}
+ACTED = "%s执行%s"
+ACTIONS = tuple(ACTION_TEXT)
 ACCEPTED = "pictureId bigint, seq bigint, userId bigint, type string, editAction string"
 
 
@@ -101,20 +107,56 @@ def run_stream(messages: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(ACCEPTED).parquet(f"{path}/out")
 
 
-def sessions(messages: DataFrame) -> DataFrame:
-    """seq, pictureId and the number of open sessions after each ENTER_EDIT (joins) or EXIT_EDIT (leaves)."""
-    change = F.when(F.col("type") == "ENTER_EDIT", 1).when(F.col("type") == "EXIT_EDIT", -1)
-    order = Window.partitionBy("pictureId").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = messages.withColumn("change", change).where(F.col("change").isNotNull())
-    return rows.select("pictureId", "seq", F.sum("change").over(order).cast("bigint").alias("open"))
+def _changes(log: DataFrame) -> DataFrame:
+    """log (moment, pictureId, userId, type JOIN or LEAVE) with `change`: 1 where a session opens, -1 where an open one ends, else 0. A session is a user in a picture."""
+    own = Window.partitionBy("pictureId", "userId").orderBy("moment")
+    before = F.coalesce(F.lag("type").over(own), F.lit("LEAVE"))
+    return log.select("moment", "pictureId", "userId", "type", F.when(F.col("type") == before, 0).when(F.col("type") == "JOIN", 1).otherwise(-1).alias("change"))
+
+
+def sessions(log: DataFrame) -> DataFrame:
+    """moment, pictureId and the number of open sessions after each JOIN or LEAVE: joining twice or leaving unknown changes nothing."""
+    order = Window.partitionBy("pictureId").orderBy("moment").rowsBetween(Window.unboundedPreceding, 0)
+    return _changes(log).select("pictureId", "moment", F.sum("change").over(order).cast("bigint").alias("open"))
+
+
+def _sent(done: DataFrame) -> DataFrame:
+    return done.select("pictureId", "userId", "seq", "type", (F.col("seq") * 4 + 1).alias("moment"))
+
+
+def fan_out(done: DataFrame, log: DataFrame) -> DataFrame:
+    """Receivers of each accepted message: the sessions open at that moment, without the sender's own for an EDIT_ACTION. A row for each message and receiver, as they are sent."""
+    own = Window.partitionBy("pictureId", "userId").orderBy("moment")
+    moved = _changes(log).where("change <> 0").withColumn("until", F.lead("moment").over(own)).where("change = 1")
+    opened = moved.select(F.col("pictureId").alias("_p"), F.col("userId").alias("receiver"), F.col("moment").alias("_since"), "until")
+    met = _sent(done).join(opened, (F.col("pictureId") == F.col("_p")) & (F.col("_since") < F.col("moment")) & (F.col("until").isNull() | (F.col("moment") < F.col("until"))))
+    return met.where((F.col("type") != "EDIT_ACTION") | (F.col("receiver") != F.col("userId"))).select("pictureId", "seq", "userId", "type", "receiver")
+
+
+def receivers(done: DataFrame, log: DataFrame) -> DataFrame:
+    """pictureId, seq, type and the number of receivers of each accepted message, from running sums: no pair of message and receiver is made."""
+    moves = _changes(log).select("pictureId", "userId", "moment", F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("kind"), "change")
+    every = moves.unionByName(_sent(done).select("pictureId", "userId", "moment", "seq", F.col("type").alias("kind"), F.lit(0).alias("change")))
+    room = Window.partitionBy("pictureId").orderBy("moment").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("pictureId", "userId").orderBy("moment").rowsBetween(Window.unboundedPreceding, 0)
+    both = every.withColumn("open", F.sum("change").over(room)).withColumn("present", F.sum("change").over(own))
+    number = F.col("open") - F.when(F.col("kind") == "EDIT_ACTION", F.col("present")).otherwise(F.lit(0))
+    return both.where(F.col("kind").isNotNull()).select("pictureId", "seq", F.col("kind").alias("type"), number.cast("bigint").alias("receivers"))
+
+
+def notice(kind: Column, user_name: Column, action: Column) -> Column:
+    """The text that goes out with a message."""
+    out = F.lit(None).cast("string")
+    for name, template in NOTICE.items():
+        out = F.when(kind == name, said(template, user_name)).otherwise(out)
+    return F.when(kind == "EDIT_ACTION", said(ACTED, user_name, label(action, ACTION_TEXT.items()))).otherwise(out)
 
 
-def fan_out(done: DataFrame, present: DataFrame) -> DataFrame:
-    """Receivers of each accepted message: all present in the picture, without the sender of an EDIT_ACTION. present: pictureId, userId."""
-    met = done.join(present.select("pictureId", F.col("userId").alias("receiver")), "pictureId")
-    return met.where((F.col("type") != "EDIT_ACTION") | (F.col("receiver") != F.col("userId")))
+def answer(kind: Column) -> Column:
+    """Messages of the types that only the server sends are answered with ERROR."""
+    return F.when(kind.isin(*ANSWERS), F.lit("ERROR"))
 
 
-def rejected_kind(kind: Column) -> Column:
-    """Messages of an unknown type are answered with ERROR."""
-    return F.when(~kind.isin(*TYPES), F.lit("ERROR"))
+def fails(kind: Column) -> Column:
+    """Whether a message ends in an exception: no type, or one that is not known."""
+    return ~F.coalesce(kind.isin(*TYPES, *ANSWERS), F.lit(False))

@@ -9,7 +9,8 @@ from spectrafold.operators import ingest, mutate, paging, rules
 from spectrafold.operators.paging import Page
 from spectrafold.operators.predicates import Query, live
 from spectrafold.plans import registry
-from spectrafold.plans.cache import PageCache, Tier
+from spectrafold.plans.cache import cached, lifetime
+from spectrafold.functions import scalars as fn
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "customer supplier part orders events pages".split()
@@ -97,27 +98,36 @@ def test_errors_come_in_order(spark):
 
 
 def test_links_of_a_class_in_a_container(spark):
-    html = '<img class="mimg" src="no.png"><div class="dgControl x"><img class="mimg a" src="yes.png?q=1"><img class="other" src="other.png"></div>'
-    pages = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id int, html string")
-    found = ingest.links(pages, "img", "src", "mimg", "dgControl").collect()
-    assert [(r["page_id"], r["link"]) for r in found] == [(1, "yes.png")]
-    assert [r["name"] for r in ingest.named(ingest.links(pages, "img", "src"), "p", 2).orderBy("n").collect()] == ["p1", "p2"]
-
-
-def test_cache_tiers():
-    now = [0.0]
-    tier = Tier(2, lambda: now[0])
-    for k in "abc":
-        tier.put(k, k, 10)
-    assert tier.get("a") is None and tier.get("c") == "c"
-    now[0] = 10
-    assert tier.get("c") is None
+    html = """<img class="mimg" src="no.png"><div class="dgControl x"><br><img class='mimg a' src=yes.png?q=1><img class="other" src="other.png"><div><img src="a&amp;b.png" class=mimg /></div></div>
+        <img class="mimg" src="after.png"><div class="dgControl"><img class="mimg" src="second.png"></div>"""
+    pages = spark.createDataFrame([(1, html), (2, None), (3, ""), (4, '<div class="dgControl"'), (5, '<p class="dgControl"><img class="mimg" src="open.png">')], "page_id int, html string")
+    found = ingest.links(pages, "img", "src", "mimg", "dgControl").orderBy("page_id", "place").collect()
+    assert [(r["page_id"], r["link"]) for r in found] == [(1, "yes.png"), (1, "a&b.png"), (5, "open.png")]
+    assert [r["name"] for r in ingest.named(ingest.links(pages.where("page_id = 1"), "img", "src"), "p", 2).orderBy("n").collect()] == ["p1", "p2"]
+    with pytest.raises(ValueError):
+        ingest.named(pages, "p", 31)
+
+
+def test_cached_results_are_read_until_they_are_old(spark, tmp_path):
     calls = []
-    cache = PageCache(lambda: now[0], lambda: 0.5)
-    for at in (0, 299, 301, 449, 750):
-        now[0] = at
-        cache.page("k", lambda: calls.append(1) or "v")
-    assert len(calls) == 2
+    ask = lambda now, request: cached(spark, f"file://{tmp_path}", request, lambda: calls.append(now) or spark.range(3), now).count()
+    request = {"page": 1, "size": 3}
+    life = lifetime(fn.request_key(request))
+    assert 300 <= life < 600
+    assert [ask(at, request) for at in (0, life - 1, life, life + 5)] == [3] * 4 and calls == [0, life]
+    assert ask(life + 5, {"size": 3, "page": 1}) == 3 and calls == [0, life]
+    ask(life + 5, {"page": 2, "size": 3})
+    assert calls == [0, life, life + 5]
+
+
+def test_null_data_stays_in_the_envelope(spark):
+    assert spark.range(1).select(fn.envelope(F.lit(None).cast("string"))).first()[0] == '{"code":0,"data":null,"message":"ok"}'
+
+
+def test_two_patches_of_a_row_keep_it_one_row(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    changes = spark.createDataFrame([(1, "x"), (1, "y"), (3, "z")], "id int, name string")
+    assert sorted(map(tuple, mutate.patch(base, changes).collect())) == [(1, "y"), (2, "b")]
 
 
 def test_empty_tables(pictures):

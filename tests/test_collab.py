@@ -48,8 +48,21 @@ def test_no_messages(spark):
     assert collab.accepted(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_fan_out_leaves_the_sender_of_an_action_out(spark):
-    done = spark.createDataFrame([(1, 1, 5, "ENTER_EDIT", None), (1, 2, 5, "EDIT_ACTION", "ZOOM_IN")], collab.ACCEPTED)
-    present = spark.createDataFrame([(1, 5), (1, 6)], "pictureId bigint, userId bigint")
-    got = sorted((r["seq"], r["receiver"]) for r in collab.fan_out(done, present).collect())
-    assert got == [(1, 5), (1, 6), (2, 6)]
+def test_sessions_and_receivers_against_a_set(spark):
+    rnd = random.Random(5)
+    log = [(k * 4 + rnd.choice([0, 2]), rnd.randrange(2), rnd.randrange(4), rnd.choice(["JOIN", "LEAVE"])) for k in range(0, 200, 2)]
+    done = [(rnd.randrange(2), k, rnd.randrange(4), rnd.choice(collab.TYPES), None) for k in range(1, 200, 2)]
+    room, opened, sent, count = {0: set(), 1: set()}, [], [], []
+    for at, picture, user, kind in sorted([*log, *[(s * 4 + 1, p, u, t) for p, s, u, t, _ in done]]):
+        if kind in ("JOIN", "LEAVE"):
+            (room[picture].add if kind == "JOIN" else room[picture].discard)(user)
+            opened.append((picture, at, len(room[picture])))
+        else:
+            to = room[picture] - ({user} if kind == "EDIT_ACTION" else set())
+            sent += [(picture, at // 4, r) for r in to]
+            count.append((picture, at // 4, kind, len(to)))
+    log = spark.createDataFrame(log, "moment bigint, pictureId bigint, userId bigint, type string")
+    done = spark.createDataFrame(done, collab.ACCEPTED)
+    assert sorted(tuple(r) for r in collab.sessions(log).collect()) == sorted(opened)
+    assert sorted((r["pictureId"], r["seq"], r["receiver"]) for r in collab.fan_out(done, log).collect()) == sorted(sent)
+    assert sorted(tuple(r) for r in collab.receivers(done, log).collect()) == sorted(count)
