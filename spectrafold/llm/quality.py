@@ -108,35 +108,43 @@ def _curve(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(theta[0]), float(theta[1])
 
 
+def _ratio(features: list[np.ndarray], label: np.ndarray) -> np.ndarray:
+    """Log-count ratio of each bin, good to bad, with one added to each count."""
+    count = np.ones((2, 1 << BITS))
+    for b, y in zip(features, label, strict=True):
+        count[int(y), b] += 1
+    return np.log(count[1] / (int((label == 1).sum()) + 2)) - np.log(count[0] / (int((label == 0).sum()) + 2))
+
+
+def _scaled(ratio: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """The ratios of a text's bins, as a vector of length 1."""
+    r = ratio[bins]
+    norm = math.sqrt(float(r @ r))
+    return r / norm if norm else r
+
+
 def train(features: list[np.ndarray], label: np.ndarray) -> Model:
     """Fit on bins and 0/1 labels of a bounded number of rows."""
     flat = Model(np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 0.0, 0.0)
     good, bad = int((label == 1).sum()), int((label == 0).sum())
     if not good or not bad:
         return flat
-    count = np.ones((2, 1 << BITS))
-    for b, y in zip(features, label, strict=True):
-        count[int(y), b] += 1
-    ratio = np.log(count[1] / (good + 2)) - np.log(count[0] / (bad + 2))
-    values = []
-    for b in features:
-        r = ratio[b]
-        norm = math.sqrt(float(r @ r))
-        values.append(r / norm if norm else r)
     sign = np.where(label == 1, 1.0, -1.0)
     cost = np.where(label == 1, PENALTY * len(label) / (2 * good), PENALTY * len(label) / (2 * bad))
-    # Margins of rows the weights have not seen make the curve: two halves, each scored by the other's weights.
+    # Margins of rows that neither ratios nor weights have seen make the curve: two halves, each scored by the other's.
     half = np.arange(len(label)) % 2 == 0
     margin = np.zeros(len(label))
     for part in (half, ~half):
         own = np.flatnonzero(part)
         if len(set(label[own].tolist())) < 2:
             continue
-        w, bias = _descend([features[i] for i in own], [values[i] for i in own], sign[own], cost[own])
+        ratio = _ratio([features[i] for i in own], label[own])
+        w, bias = _descend([features[i] for i in own], [_scaled(ratio, features[i]) for i in own], sign[own], cost[own])
         for i in np.flatnonzero(~part):
-            margin[i] = float(w[features[i]] @ values[i]) + bias
+            margin[i] = float(w[features[i]] @ _scaled(ratio, features[i])) + bias
     slope, shift = _curve(margin, label)
-    w, bias = _descend(features, values, sign, cost)
+    ratio = _ratio(features, label)
+    w, bias = _descend(features, [_scaled(ratio, b) for b in features], sign, cost)
     return Model(ratio, w, bias, slope, shift)
 
 

@@ -378,3 +378,57 @@ def test_pipeline(spark, corpus, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert 10 < len(out) < len(rows) and all(len(r["ids"]) == 4 * r["n_tokens"] for r in out)
     assert {900, 901, 902}.isdisjoint(r["doc_id"] for r in out)
+
+
+def plain_fingerprint(text):
+    """One-permutation MinHash, bin by bin."""
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    number = lambda seed, x: signed(xxhash.xxh64(x.to_bytes(8, "little", signed=True), seed=seed % (1 << 64)).intdigest())
+    two = lambda a, b: number(number(42, a), b)
+    own = [w for w in re.split(r"[ \t-\r]+", text.lower()) if w]
+    h = [signed(xxhash.xxh64(w.encode(), seed=42).intdigest()) for w in own]
+    if not h:
+        return ""
+    if len(h) < 5:
+        seed = 42
+        for x in h:
+            seed = number(seed, x)
+        hashes = [seed]
+    else:
+        hashes = [two(two(two(h[i], h[i + 1]), two(h[i + 2], h[i + 3])), h[i + 4]) for i in range(len(h) - 4)]
+    least = {}
+    for x in hashes:
+        b = (x >> 57) + 64
+        least[b] = min(least.get(b, x), x)
+    slots = {b: x & 255 for b, x in least.items()}
+    out = []
+    for i in range(128):
+        found = slots.get(i)
+        for t in range(12):
+            if found is None:
+                found = slots.get(zlib.crc32(f"{t}:{i}".encode()) % 128)
+        if found is None:
+            factor, offset = (i * 1103515245 + 12345) % (1 << 15) * 2 + 1, (i * 69069 + 7) % 128
+            found = min(((b * factor + offset) % 128, low) for b, low in slots.items())[1]
+        out.append(found)
+    return bytes(out).hex()
+
+
+def test_fingerprints_as_plain(spark):
+    rnd = random.Random(21)
+    texts = [" ".join(f"W{rnd.randrange(3000)}é"[: rnd.randrange(2, 7)] for _ in range(n)) for n in (1, 2, 4, 5, 6, 9, 20, 60, 300, 2000)] + ["", " \n "]
+    df = minhash.with_fingerprint(spark.createDataFrame(list(enumerate(texts)), DOCS), "text", "print")
+    got = {r["doc_id"]: r["hex"] for r in df.select("doc_id", minhash.as_hex("print").alias("hex")).collect()}
+    assert [got[k] for k in range(len(texts))] == [plain_fingerprint(t) for t in texts]
+
+
+def test_next_rows_across_many_ranges(spark):
+    rows = [(k if k % 7 else None, f"text {k}") for k in range(200)] + [(5, "again"), (-(1 << 40), "low")]
+    got = minhash.with_next(spark.createDataFrame(rows, DOCS), "doc_id", ["text"], 23).collect()
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    follow = {r: order[(k + 1) % len(order)][1] for k, r in enumerate(order)}
+    assert len(got) == len(rows) and {(r["doc_id"], r["text"]): r["next_text"] for r in got} == follow
+    with pytest.raises(TypeError):
+        minhash.with_next(spark.createDataFrame([("a", "b")], "doc_id string, text string"), "doc_id", ["text"], 3)

@@ -220,3 +220,58 @@ def test_quality_odd(docs, empty, spark):
     got = quality.score_documents(docs, labels).collect()
     assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
     assert quality.score_documents(empty, labels).count() == 0
+
+
+def plain_entropy(part):
+    """From the first to the last random window of a part, each window counted anew."""
+    import math
+
+    if not re.search("[0-9]", part):
+        return None
+    if re.fullmatch("[0-9a-f]+|[0-9A-F]+", part) and re.search("[A-Fa-f]", part):
+        kind = "hex"
+    elif re.search("[a-z]", part) and re.search("[A-Z]", part):
+        kind = "mixed"
+    elif re.search("[A-Za-z]", part):
+        kind = "alnum"
+    else:
+        return None
+    width = secrets.WINDOW
+    most = int(width * (math.log2(width) - secrets.THRESHOLDS[kind]) * (1 << 20))
+    weight = [round(c * math.log2(c) * (1 << 20)) if c else 0 for c in range(width + 1)]
+    hits = [i for i in range(len(part) - width + 1) if sum(weight[part[i : i + width].count(c)] for c in set(part[i : i + width])) <= most]
+    return (hits[0], hits[-1] + width) if hits else None
+
+
+def left(a, b, cuts):
+    for lo, hi in sorted(cuts):
+        if lo - a >= secrets.WINDOW:
+            yield a, lo
+        a = max(a, hi)
+    if b - a >= secrets.WINDOW:
+        yield a, b
+
+
+def test_entropy_spans_as_plain_windows(spark):
+    rnd = random.Random(17)
+    alphabets = ["0123456789abcdef", "ABCDEF0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", secrets.ALPHABET, "ab1", "0123456789"]
+    pieces = ["password = hunter22", "AKIA" + "A1B2" * 4, "/home/", "example", "aaaaaaaaaa", "123e4567-e89b-12d3-a456-426614174000", " ", "\n", ", ", "é"]
+    make = lambda: "".join(rnd.choices(rnd.choice(alphabets), k=rnd.randrange(3, 60)))
+    texts = ["".join(rnd.choice(pieces) if rnd.random() < 0.4 else make() for _ in range(rnd.randrange(1, 9))) for _ in range(250)]
+    got = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    seen = 0
+    for k, text in enumerate(texts):
+        base = [(s["start"], s["end"]) for s in got[k]["base_spans"]]
+        want = []
+        for run in re.finditer(secrets.CANDIDATE, text):
+            touching = [c for c in base if c[0] < run.end() and run.start() < c[1]]
+            for a, b in left(run.start(), run.end(), touching):
+                if re.search(secrets.ALLOW_WHOLE, text[a:b]):
+                    continue
+                for c, d in left(a, b, [(a + m.start(), a + m.end()) for m in re.finditer(secrets.ALLOW, text[a:b])]):
+                    span = plain_entropy(text[c:d]) if not re.search(secrets.ALLOW_WHOLE, text[c:d]) else None
+                    if span:
+                        want.append((c + span[0], c + span[1]))
+        assert [(s["start"], s["end"]) for s in got[k]["all_spans"] if s["kind"] == "entropy"] == sorted(want), text
+        seen += len(want)
+    assert seen > 50
