@@ -5,8 +5,8 @@ form a class and go on as one. A class that links with another shares at least
 three quarters of its own tokens with it, so only classes of which so many
 tokens occur in other classes at all can link; the others end here.
 
-Tokens have one global order: by the number of classes that have them, counted
-over all documents, rare ones first. By the prefix lemma two sets that link
+Tokens have one global order: by the number of classes that can link and have
+them, counted over all of these, rare ones first. By the prefix lemma two sets that link
 share at least l tokens among the first n - ceil(0.75 n) + l of each, for any l
 up to the needed overlap. Every class picks its own l, from 1 to a quarter of
 its tokens, where the estimated cost is least: a longer prefix has more
