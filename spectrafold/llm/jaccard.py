@@ -24,7 +24,9 @@ Scale: texts are read once by a map and never shuffled. Tokens that two classes
 of one block of texts have are known as common there; each distinct token of a
 block travels once, packed with the others of its bucket (about 10 bytes), to
 the task that sees it from all blocks. A token that every text has is one entry
-a block. All that follows are joins and sums of classes that can link. Tokens
+a block. What is common goes back by class in the same packed way, to the task
+that counts how much of a class is. All that follows are joins and sums of
+classes that can link. Tokens
 of many classes and classes of many pairs are dealt with a salt by their known
 numbers. Components are found by joins that pass least labels and double their
 reach. Nothing of the corpus reaches the driver.
@@ -93,8 +95,65 @@ def _from_six(data: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
+#: Kinds of rows that travel: a document, tokens of one class of a block, tokens of more of them, tokens of each class that another class of the block has.
+DOCUMENT, ALONE, COMMON, HELD = range(4)
+#: A class beside its tokens: its name and the size of its set.
+_CLASS = np.dtype([("class", "<i8"), ("n", "<i4")])
+#: Tokens that wait before repeated ones are dropped.
+WAITING = 4_000_000
+
+
+class Sets:
+    """Tokens of classes, each once for a class, however often they are added."""
+
+    def __init__(self):
+        self.tokens = np.zeros(0, np.uint64)
+        self.of = np.zeros(0, _CLASS)
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, tokens: np.ndarray, of: np.ndarray) -> None:
+        """A class of each token."""
+        self.new.append((tokens, of))
+        self.waiting += len(tokens)
+        if self.waiting > max(WAITING, len(self.tokens)):
+            self.sorted()
+
+    def sorted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens by class, the classes and how many tokens each has."""
+        if self.new:
+            tokens = np.concatenate([self.tokens, *[t for t, _ in self.new]])
+            of = np.concatenate([self.of, *[c for _, c in self.new]])
+            self.new, self.waiting = [], 0
+            order = np.lexsort((tokens, of["class"]))
+            tokens, of = tokens[order], of[order]
+            once = np.ones(len(tokens), bool)
+            once[1:] = (tokens[1:] != tokens[:-1]) | (of["class"][1:] != of["class"][:-1])
+            self.tokens, self.of = tokens[once], of[once]
+        start = np.flatnonzero(np.append(True, self.of["class"][1:] != self.of["class"][:-1])[: len(self.of)])
+        return self.tokens, self.of[start], np.diff(np.append(start, len(self.of)))
+
+
+def by_bucket(buckets: int, spread: int, tokens: np.ndarray, of: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
+    """(bucket, tokens, counts, classes): the classes dealt to buckets by name and `spread`, a row for each bucket."""
+    where = (of["class"].astype(np.uint64) + np.uint64(spread)) % np.uint64(buckets)
+    order = np.argsort(where, kind="stable")
+    each = np.argsort(np.repeat(where, counts), kind="stable")
+    tokens, of, counts, where = tokens[each], of[order], counts[order], where[order]
+    cuts = np.searchsorted(where, np.arange(buckets + 1))
+    ends = np.concatenate(([0], np.cumsum(counts)))
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        lo, hi = cuts[b], cuts[b + 1]
+        yield b, tokens[ends[lo] : ends[hi]].tobytes(), counts[lo:hi].astype("<i4").tobytes(), of[lo:hi].tobytes()
+
+
+def from_bucket(tokens: bytes, counts: bytes, classes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and the class of each."""
+    return np.frombuffer(tokens, np.uint64), np.repeat(np.frombuffer(classes, _CLASS), np.frombuffer(counts, "<i4"))
+
+
 class Block:
-    """Sets of some classes. entries(): (bucket, class, tokens, owners, classes), the rows that travel."""
+    """Sets of some classes. entries(): (bucket, kind, tokens, owners, classes), the rows that travel."""
 
     def __init__(self, buckets: int, most_tokens: int, most_classes: int):
         self.buckets, self.most_tokens, self.most_classes = buckets, most_tokens, most_classes
@@ -117,9 +176,11 @@ class Block:
     def entries(self) -> Iterator[tuple]:
         if not self.sets:
             return
+        sizes = [len(s) for s in self.sets]
         tokens = np.concatenate(self.sets)
-        owners = np.repeat(np.arange(len(self.sets), dtype=np.uint16), [len(s) for s in self.sets])
-        classes = np.array(self.classes, np.int64)
+        owners = np.repeat(np.arange(len(self.sets), dtype=np.uint16), sizes)
+        classes = np.zeros(len(self.sets), _CLASS)
+        classes["class"], classes["n"] = self.classes, sizes
         order = np.argsort(tokens, kind="stable")
         tokens, owners = tokens[order], owners[order]
         start = np.concatenate(([True], tokens[1:] != tokens[:-1]))
@@ -130,34 +191,35 @@ class Block:
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             here = slice(cuts[b], cuts[b + 1])
             used, place = np.unique(whose[here], return_inverse=True)
-            yield b, None, _six(mine[here]), place.astype("<u2").tobytes(), classes[used].tobytes()
+            yield b, ALONE, _six(mine[here]), place.astype("<u2").tobytes(), classes[used].tobytes()
         # Tokens of two or more: once for the other blocks, and as known to be common for each of their classes.
         common = tokens[start & ~alone]
         cuts = np.searchsorted(buckets_of(common, self.buckets), np.arange(self.buckets + 1))
         for b in np.flatnonzero(np.diff(cuts)).tolist():
-            yield b, None, _six(common[cuts[b] : cuts[b + 1]]), None, None
+            yield b, COMMON, _six(common[cuts[b] : cuts[b + 1]]), None, None
         short = buckets_of(tokens, self.buckets) << np.uint64(LOW_BITS) | tokens & _LOW
         shared, whose = short[~alone], owners[~alone]
-        order = np.argsort(whose, kind="stable")
-        shared, whose = shared[order], whose[order]
-        edges = np.append(np.flatnonzero(np.diff(whose.astype(np.int32), prepend=-1)), len(whose))
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            own = self.classes[whose[a]]
-            yield own % self.buckets, own, shared[a:b].tobytes(), None, None
+        shared, many = shared[np.argsort(whose, kind="stable")], np.bincount(whose, minlength=len(classes))
+        # Blocks deal a class differently: one that all blocks have is not sent to one task by all of them.
+        for b, some, counts, of in by_bucket(self.buckets, self.classes[0] & 0xFFFF, shared, classes[many > 0], many[many > 0]):
+            yield b, HELD, some, counts, of
+
 
+_TRAVEL = "bucket int, kind tinyint, {id}, text_hash bigint, class bigint, n int, tokens binary, owners binary, classes binary"
+_SCANNED = "bucket int, {id}, text_hash bigint, class bigint, n int, tokens binary, counts binary, classes binary"
 
-_TRAVEL = "bucket int, {id}, text_hash bigint, class bigint, n int, tokens binary, owners binary, classes binary"
-_SCANNED = "{id}, text_hash bigint, class bigint, n int, tokens array<bigint>"
 
+def _buckets(docs: DataFrame) -> int:
+    return min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << 15)
 
-def _scanned(docs: DataFrame) -> DataFrame:
-    """A row for each document (tokens null), and rows of a class (n null) with tokens of it that another class has too."""
-    buckets = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << 15)
+
+def _scanned(docs: DataFrame, buckets: int) -> DataFrame:
+    """A row for each document (bucket null), and rows of a bucket of classes (n null) with tokens of them that other classes have too."""
     limits = buckets, BLOCK_TOKENS, BLOCK_CLASSES
     doc_id = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    kinds = [pa.int32(), None, pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    names = ["bucket", "doc_id", "text_hash", "class", "n", "tokens", "owners", "classes"]
+    kinds = [pa.int32(), pa.int8(), None, pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["bucket", "kind", "doc_id", "text_hash", "class", "n", "tokens", "owners", "classes"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block(*limits)
@@ -165,8 +227,8 @@ def _scanned(docs: DataFrame) -> DataFrame:
         def packed(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
             nonlocal block
             rows: list[tuple] = []
-            for bucket, own, tokens, owners, classes in block.entries():
-                rows.append((bucket, None, None, own, None, tokens, owners, classes))
+            for bucket, what, tokens, owners, classes in block.entries():
+                rows.append((bucket, what, None, None, None, None, tokens, owners, classes))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k or kind) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
             block = Block(*limits)
@@ -185,7 +247,8 @@ def _scanned(docs: DataFrame) -> DataFrame:
             n = batch.num_rows
             where = pa.array(np.arange(sent, sent + n) % buckets, pa.int32())
             sent += n
-            yield pa.RecordBatch.from_arrays([where, batch.column(0), batch.column(1), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), *[pa.nulls(n, pa.binary())] * 3], names=names)
+            columns = [where, pa.array(np.full(n, DOCUMENT, np.int8)), batch.column(0), batch.column(1), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(n, pa.binary())] * 3], names=names)
         if kind is not None:
             yield from packed(kind)
 
@@ -193,66 +256,71 @@ def _scanned(docs: DataFrame) -> DataFrame:
         tokens: list[np.ndarray] = []
         owners: list[np.ndarray] = []
         known: list[np.ndarray] = []
-        common_of: dict[int, np.ndarray] = {}
+        held = Sets()
         kind = None
         for batch in batches:
-            kind = batch.column(1).type
-            documents = batch.column(4).is_valid()
+            kind = batch.column(2).type
+            documents = pc.equal(batch.column(1), DOCUMENT)
             if documents.true_count:
                 rows = batch.filter(documents)
-                yield made(rows.column(1), rows.column(2), rows.column(3), rows.column(4), pa.nulls(rows.num_rows, pa.list_(pa.int64())))
+                n = rows.num_rows
+                yield made(pa.nulls(n, pa.int32()), *rows.columns[2:6], *[pa.nulls(n, pa.binary())] * 3)
             batch = batch.filter(pc.invert(documents))
-            for bucket, own, x, o, names in zip(*[batch.column(k).to_pylist() for k in (0, 3, 5, 6, 7)], strict=True):
-                if own is not None:
-                    mine = np.frombuffer(x, np.uint64)
-                    common_of[own] = np.union1d(common_of[own], mine) if own in common_of else mine
+            for bucket, what, x, o, of in zip(*[batch.column(k).to_pylist() for k in (0, 1, 6, 7, 8)], strict=True):
+                if what == HELD:
+                    held.add(*from_bucket(x, o, of))
                     continue
                 short = _from_six(x) | np.uint64(bucket << LOW_BITS)
-                if o is None:
+                if what == COMMON:
                     known.append(short)
                 else:
                     tokens.append(short)
-                    owners.append(np.frombuffer(names, np.int64)[np.frombuffer(o, "<u2")])
-        token = np.concatenate([*tokens, *common_of.values()]) if tokens or common_of else np.zeros(0, np.uint64)
-        owner = np.concatenate([*owners, *[np.full(len(x), own, np.int64) for own, x in common_of.items()]]) if len(token) else np.zeros(0, np.int64)
-        sure = np.arange(len(token)) >= sum(map(len, tokens))
-        tokens.clear()
-        owners.clear()
-        common_of.clear()
-        if not len(token):
-            return
-        order = np.lexsort((owner, token))
-        token, owner, sure = token[order], owner[order], sure[order]
-        start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        common = owner[start] != owner[np.append(start[1:], len(owner)) - 1]
-        common |= np.bitwise_or.reduceat(sure, start)
-        if known:
-            common |= np.isin(token[start], np.unique(np.concatenate(known)))
-        once = np.concatenate(([True], (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])))
-        shared = np.repeat(common, np.diff(np.append(start, len(token)))) & once
-        token, owner = token[shared], owner[shared]
-        order = np.argsort(owner, kind="stable")
-        token, owner = token[order], owner[order]
-        edges = np.append(np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))), len(owner)) if len(owner) else np.zeros(1, np.int64)
-        for at in range(0, len(edges) - 1, 4096):
-            some = edges[at : at + 4097]
-            n = len(some) - 1
-            lists = pa.ListArray.from_arrays(pa.array((some - some[0]).astype(np.int32)), pa.array(token[some[0] : some[-1]].view(np.int64)))
-            yield made(pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.array(owner[some[:-1]]), pa.nulls(n, pa.int32()), lists)
+                    owners.append(np.frombuffer(of, _CLASS)[np.frombuffer(o, "<u2")])
+        if tokens:
+            token, owner = np.concatenate(tokens), np.concatenate(owners)
+            tokens.clear()
+            owners.clear()
+            order = np.lexsort((owner["class"], token))
+            token, owner = token[order], owner[order]
+            start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+            common = owner["class"][start] != owner["class"][np.append(start[1:], len(owner)) - 1]
+            if known:
+                common |= np.isin(token[start], np.unique(np.concatenate(known)))
+            shared = np.repeat(common, np.diff(np.append(start, len(token))))
+            held.add(token[shared], owner[shared])
+        rows = list(by_bucket(buckets, 0, *held.sorted()))
+        if rows:
+            bucket, *packed = zip(*rows, strict=True)
+            n = len(rows)
+            none = [pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())]
+            yield made(pa.array(bucket, pa.int32()), *none, *[pa.array(c, pa.binary()) for c in packed])
 
     def made(*columns: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(list(columns), names=["doc_id", "text_hash", "class", "n", "tokens"])
+        return pa.RecordBatch.from_arrays(list(columns), names=["bucket", "doc_id", "text_hash", "class", "n", "tokens", "counts", "classes"])
 
     sent = rows.mapInArrow(send, _TRAVEL.format(id=doc_id)).repartitionById(buckets, F.col("bucket"))
     return keep(sent.mapInArrow(meet, _SCANNED.format(id=doc_id)), "scanned")
 
 
-def _classes(scanned: DataFrame) -> DataFrame:
-    """class, n, least doc_id, and its tokens that another class has; null where they are too few to link."""
-    # A class has one row of tokens a bucket and one of those known before: at most twice its own.
-    held = F.array_distinct(F.flatten(F.collect_list("tokens")))
-    each = scanned.where(F.col("class").isNotNull()).groupBy("class").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"), held.alias("tokens"))
-    return each.withColumn("tokens", F.when(_able("n", F.size("tokens")), F.col("tokens")))
+def _classes(scanned: DataFrame, buckets: int) -> DataFrame:
+    """class, n and the tokens that other classes have too, of the classes that have enough of them to link."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Sets()
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
+                held.add(*from_bucket(*row))
+        tokens, of, counts = held.sorted()
+        able = NUM * of["n"].astype(np.int64) <= DEN * counts
+        tokens, of, counts = tokens[np.repeat(able, counts)], of[able], counts[able]
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        for at in range(0, len(of), 4096):
+            some = ends[at : at + 4097]
+            lists = pa.ListArray.from_arrays(pa.array((some - some[0]).astype(np.int32)), pa.array(tokens[some[0] : some[-1]].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(of[name][at : at + 4096])) for name in _CLASS.names], lists], names=["class", "n", "tokens"])
+
+    packed = scanned.where(F.col("n").isNull()).select("bucket", "tokens", "counts", "classes")
+    return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(gather, "class bigint, n int, tokens array<bigint>")
 
 
 def _salt(of: str, number: Column) -> Column:
@@ -391,9 +459,9 @@ def components(links: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, class, n_shingles, label of the component and component_id of every document; class and label are null without a set."""
-    scanned = _scanned(docs)
-    classes = keep(_classes(scanned), "classes")
-    tokens = _tokens(classes)
+    buckets = _buckets(docs)
+    scanned = _scanned(docs, buckets)
+    tokens = _tokens(_classes(scanned, buckets))
     sets = keep(tokens.groupBy("class", "n").agg(F.collect_list("token").alias("tokens")), "sets")  # bounded by a document's own words
     prefixes = keep(postings(tokens), "postings")
     forget(tokens)
@@ -403,6 +471,7 @@ def join(docs: DataFrame) -> DataFrame:
     # What the second round found links components of the first.
     labels = components(first.unionAll(second))
     forget(sets, prefixes, first, second)
+    classes = scanned.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least"))
     group = classes.join(labels, classes["class"] == labels["node"], "left").select("class", "least", F.coalesce("label", "class").alias("label"))
     least = group.groupBy("label").agg(F.min("least").alias("component_id"))
     named = keep(group.join(least, "label").select("class", "label", "component_id"), "named")
