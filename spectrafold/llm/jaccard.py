@@ -472,9 +472,11 @@ def join(docs: DataFrame) -> DataFrame:
     labels = components(first.unionAll(second))
     forget(sets, prefixes, first, second)
     classes = scanned.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least"))
-    group = classes.join(labels, classes["class"] == labels["node"], "left").select("class", "least", F.coalesce("label", "class").alias("label"))
-    least = group.groupBy("label").agg(F.min("least").alias("component_id"))
+    group = keep(classes.join(labels, classes["class"] == labels["node"], "left").select("class", "least", F.coalesce("label", "class").alias("label")), "group")
+    # A table of its own, so that a component of very many classes is a skewed join that Spark may split.
+    least = keep(group.groupBy("label").agg(F.min("least").alias("component_id")), "least")
     named = keep(group.join(least, "label").select("class", "label", "component_id"), "named")
+    forget(group, least)
     own = scanned.where(F.col("n").isNotNull()).select("doc_id", "text_hash", "class", F.col("n").cast("bigint").alias("n_shingles"))
     grouped = own.where(F.col("class").isNotNull()).join(named, "class").select("doc_id", "text_hash", "class", "n_shingles", "label", "component_id")
     none = F.lit(None).cast("bigint")
