@@ -101,6 +101,10 @@ DOCUMENT, ALONE, COMMON, HELD = range(4)
 _CLASS = np.dtype([("class", "<i8"), ("n", "<i4")])
 #: Tokens that wait before repeated ones are dropped.
 WAITING = 4_000_000
+#: Rows that travelled are unpacked, and rows with so many bytes packed, at once.
+UNPACKED, PACKED_BYTES = 256, 4_000_000
+#: A bucket is sorted in parts, by the first of the low bits of its tokens.
+PART_BITS = 3
 
 
 class Sets:
@@ -124,9 +128,11 @@ class Sets:
         if self.new:
             tokens = np.concatenate([self.tokens, *[t for t, _ in self.new]])
             of = np.concatenate([self.of, *[c for _, c in self.new]])
+            self.tokens = self.of = None  # not held beside their copies
             self.new, self.waiting = [], 0
             order = np.lexsort((tokens, of["class"]))
             tokens, of = tokens[order], of[order]
+            del order
             once = np.ones(len(tokens), bool)
             once[1:] = (tokens[1:] != tokens[:-1]) | (of["class"][1:] != of["class"][:-1])
             self.tokens, self.of = tokens[once], of[once]
@@ -233,6 +239,7 @@ def _scanned(docs: DataFrame, buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k or kind) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
             block = Block(*limits)
 
+        pa.default_memory_pool().release_unused()  # of what this worker did before
         kind, sent = None, 0
         for batch in parts(batches):
             kind, classes, sizes = batch.column(0).type, [], []
@@ -255,45 +262,72 @@ def _scanned(docs: DataFrame, buckets: int) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens: list[np.ndarray] = []
         owners: list[np.ndarray] = []
+        classes: list[np.ndarray] = []
         known: list[np.ndarray] = []
         held = Sets()
-        kind = None
-        for batch in batches:
-            kind = batch.column(2).type
-            documents = pc.equal(batch.column(1), DOCUMENT)
-            if documents.true_count:
-                rows = batch.filter(documents)
-                n = rows.num_rows
-                yield made(pa.nulls(n, pa.int32()), *rows.columns[2:6], *[pa.nulls(n, pa.binary())] * 3)
-            batch = batch.filter(pc.invert(documents))
-            for bucket, what, x, o, of in zip(*[batch.column(k).to_pylist() for k in (0, 1, 6, 7, 8)], strict=True):
-                if what == HELD:
-                    held.add(*from_bucket(x, o, of))
-                    continue
-                short = _from_six(x) | np.uint64(bucket << LOW_BITS)
-                if what == COMMON:
-                    known.append(short)
-                else:
-                    tokens.append(short)
-                    owners.append(np.frombuffer(of, _CLASS)[np.frombuffer(o, "<u2")])
+        kind, named = None, 0
+        pa.default_memory_pool().release_unused()
+        for whole in batches:
+            kind = whole.column(2).type
+            for batch in parts([whole], UNPACKED):
+                documents = pc.equal(batch.column(1), DOCUMENT)
+                if documents.true_count:
+                    rows = batch.filter(documents)
+                    n = rows.num_rows
+                    yield made(pa.nulls(n, pa.int32()), *rows.columns[2:6], *[pa.nulls(n, pa.binary())] * 3)
+                batch = batch.filter(pc.invert(documents))
+                for bucket, what, x, o, of in zip(*[batch.column(k).to_pylist() for k in (0, 1, 6, 7, 8)], strict=True):
+                    if what == HELD:
+                        held.add(*from_bucket(x, o, of))
+                        continue
+                    short = _from_six(x) | np.uint64(bucket << LOW_BITS)
+                    if what == COMMON:
+                        known.append(short)
+                    else:
+                        # An owner is the place of its class among all that came: 4 bytes a token.
+                        tokens.append(short)
+                        owners.append(np.frombuffer(o, "<u2").astype(np.int32) + np.int32(named))
+                        classes.append(np.frombuffer(of, _CLASS))
+                        named += len(classes[-1])
+        whole = batch = documents = rows = x = o = of = short = None
         if tokens:
-            token, owner = np.concatenate(tokens), np.concatenate(owners)
+            every = np.concatenate(tokens)
             tokens.clear()
+            owner = np.concatenate(owners)
             owners.clear()
-            order = np.lexsort((owner["class"], token))
-            token, owner = token[order], owner[order]
-            start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-            common = owner["class"][start] != owner["class"][np.append(start[1:], len(owner)) - 1]
-            if known:
-                common |= np.isin(token[start], np.unique(np.concatenate(known)))
-            shared = np.repeat(common, np.diff(np.append(start, len(token))))
-            held.add(token[shared], owner[shared])
-        rows = list(by_bucket(buckets, 0, *held.sorted()))
-        if rows:
-            bucket, *packed = zip(*rows, strict=True)
-            n = len(rows)
-            none = [pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())]
-            yield made(pa.array(bucket, pa.int32()), *none, *[pa.array(c, pa.binary()) for c in packed])
+            names = np.concatenate(classes)
+            classes.clear()
+            elsewhere = np.unique(np.concatenate(known)) if known else np.zeros(0, np.uint64)
+            known.clear()
+            for part in range(1 << PART_BITS):
+                here = (every & _LOW) >> np.uint64(LOW_BITS - PART_BITS) == part
+                token, of = every[here], names[owner[here]]
+                if not len(token):
+                    continue
+                order = np.argsort(token)
+                token, of = token[order], of[order]
+                start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+                # Of a token of two classes some two neighbours differ.
+                differs = np.append((token[1:] == token[:-1]) & (of["class"][1:] != of["class"][:-1]), False)
+                common = np.logical_or.reduceat(differs, start) | np.isin(token[start], elsewhere)
+                shared = np.repeat(common, np.diff(np.append(start, len(token))))
+                held.add(token[shared], of[shared])
+            del every, owner, names, elsewhere, here, token, of, order, differs
+        ready, size = [], 0
+        for row in by_bucket(buckets, 0, *held.sorted()):
+            ready.append(row)
+            size += sum(map(len, row[1:]))
+            if size >= PACKED_BYTES:
+                yield packed_classes(ready, kind)
+                ready, size = [], 0
+        if ready:
+            yield packed_classes(ready, kind)
+
+    def packed_classes(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        bucket, *packed = zip(*rows, strict=True)
+        n = len(rows)
+        none = [pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())]
+        return made(pa.array(bucket, pa.int32()), *none, *[pa.array(c, pa.binary()) for c in packed])
 
     def made(*columns: pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(list(columns), names=["bucket", "doc_id", "text_hash", "class", "n", "tokens", "counts", "classes"])
@@ -307,10 +341,13 @@ def _classes(scanned: DataFrame, buckets: int) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Sets()
-        for batch in batches:
+        pa.default_memory_pool().release_unused()
+        for batch in parts(batches, UNPACKED):
             for row in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
                 held.add(*from_bucket(*row))
+        batch = row = None
         tokens, of, counts = held.sorted()
+        held = None
         able = NUM * of["n"].astype(np.int64) <= DEN * counts
         tokens, of, counts = tokens[np.repeat(able, counts)], of[able], counts[able]
         ends = np.concatenate(([0], np.cumsum(counts)))

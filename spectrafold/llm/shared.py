@@ -63,11 +63,11 @@ def schema_with(df: DataFrame, **kinds: str) -> StructType:
 PART_ROWS = 1024
 
 
-def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of PART_ROWS rows."""
+def parts(batches: Iterable[pa.RecordBatch], rows: int = PART_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows."""
     for batch in batches:
-        for at in range(0, batch.num_rows, PART_ROWS):
-            yield batch.slice(at, PART_ROWS)
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def array_parts(arrays: Iterable[pa.Array]) -> Iterator[pa.Array]:
