@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, hilbert, jaccard, langid, lines, minhash, quality, secrets, tokenids
+from . import bpe, decontam, hilbert, infill, jaccard, langid, licenses, lines, minhash, phrases, quality, secrets, tokenids
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_with_next(_table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill_documents(_table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations_of_documents(_table(spark, sf_dir, "documents"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_secret_scan,
@@ -65,9 +77,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality,
         op9_jaccard_join,
         op10_fingerprints,
+        op11_fill_in_middle,
+        op12_collocations,
+        op13_license_scan,
     )
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op11_fill_in_middle": infill.ORACLE_SQL,
+        "op12_collocations": phrases.ORACLE_SQL,
+    }

@@ -8,7 +8,8 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -74,3 +75,19 @@ def array_parts(arrays: Iterable[pa.Array]) -> Iterator[pa.Array]:
     """The same of the arrays that an Arrow function gets, which gives back as many values in as many arrays as it likes."""
     for array in arrays:
         yield from (array.slice(at, PART_ROWS) for at in range(0, len(array), PART_ROWS))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with a column `name`, 0, 1, .. in this order, as a table.
+
+    Rows are dealt by ranges of the order and sorted there; a row's number is its place in the range and the rows of
+    the ranges before it. The window sees one row a range.
+    """
+    part, many, before, place = unused([*df.columns, name], "part", "many", "before", "place")
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(place, F.monotonically_increasing_id())
+    placed = keep(placed, f"numbered-{name}").withColumn(part, F.shiftright(place, 33))
+    sizes = placed.groupBy(part).agg(F.count("*").alias(many))
+    ahead = F.sum(many).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(part, F.coalesce(ahead, F.lit(0)).alias(before))
+    row = F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(starts), part).withColumn(name, F.col(before) + row).drop(part, before, place)
