@@ -52,7 +52,7 @@ LEAST = 10
 COVER = 50
 TOP = 2000
 #: Words and ends of pieces of a block.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 #: Rows that a pass hands on at once.
 ROWS = 1 << 16
 _END = b"\xff"
