@@ -22,10 +22,13 @@ spans; repeated rows give the same row again; extra columns are dropped.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut_out, let, pages, sums_before, unused
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_MIN = 6
 #: Runs are maximal, so a length in the pattern drops the same matches as a later test.
@@ -49,22 +52,31 @@ ALLOW = "|".join(
 )
 KINDS = ("assign", "access", "hex", "entropy")
 _SCALE = 1 << 20
+#: What the start of a cut adds to a sum; the start of a run adds 1.
+_CUT = 1 << 32
+
+
+_SPAN = "struct<start:int,rank:int,end:int,kind:string>"
 
 
-def _spans(kind: str, pieces: Column, matches: Column, keep_match=None, tested: Column | None = None) -> Column:
+def _span(start: Column, end: Column, kind: str) -> Column:
+    return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
+
+
+def _spans(kind: str, pieces: Column, matches: Column, keep_match: Callable[[Column], Column] | None = None, tested: Column | None = None) -> Column:
     """array<struct<start, rank, end, kind>> of matches, from the pieces around them."""
     columns = [pieces.alias("p"), matches.alias("m")] + ([tested.alias("g")] if tested is not None else [])
-    empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    good = lambda x: x["m"].isNotNull() & (keep_match(x) if keep_match else F.lit(True))
+    # Behind the last piece there is no match.
+    sized = F.transform(F.arrays_zip(*columns), lambda x: F.struct(F.length(x["p"]).alias("p"), F.coalesce(F.length(x["m"]), F.lit(0)).alias("m"), good(x).alias("good")))
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(x["p"])
-        b = a + F.coalesce(F.length(x["m"]), F.lit(0))
-        one = F.struct(a.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), b.alias("end"), F.lit(kind).alias("kind"))
-        good = x["m"].isNotNull() & (keep_match(x) if keep_match else F.lit(True))
-        return F.struct(b.alias("at"), F.when(good, F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def placed(sized: Column) -> Column:
+        before = sums_before(F.transform(sized, lambda x: (x["p"] + x["m"]).cast("long")))
+        start = lambda x: (x["before"] + x["x"]["p"]).cast("int")
+        found = F.filter(F.arrays_zip(sized.alias("x"), before.alias("before")), lambda x: x["x"]["good"])
+        return F.transform(found, lambda x: _span(start(x), start(x) + x["x"]["m"], kind))
 
-    return F.aggregate(F.arrays_zip(*columns), start, step, lambda acc: acc["out"])
+    return let(sized, placed)
 
 
 def _found(text: Column, pattern: str, group: int = 0) -> Column:
@@ -116,50 +128,60 @@ def window_span(candidate: Column) -> Column:
     return F.when((kind_limit < 0) | allowed, none).otherwise(scanned)
 
 
-def _rest(run: Column, cuts: Column) -> Column:
-    """Parts of WINDOW characters or more that are left of a run; cuts: spans by start that touch it."""
-    part = lambda a, b: F.struct(a.alias("start"), run["rank"].alias("rank"), b.alias("end"), run["kind"].alias("kind"))
-    empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    added = lambda acc, b: F.when(b - acc["at"] >= WINDOW, F.array_append(acc["out"], part(acc["at"], b))).otherwise(acc["out"])
-    step = lambda acc, c: F.struct(F.greatest(acc["at"], c["end"]).alias("at"), added(acc, c["start"]).alias("out"))
-    return F.aggregate(cuts, F.struct(run["start"].alias("at"), empty.alias("out")), step, lambda acc: added(acc, run["end"]))
+def _rest(runs: Column, cuts: Column) -> Column:
+    """Parts of WINDOW characters or more that are left of the runs, which neither overlap nor touch.
+
+    Between two neighbouring starts or ends of runs and cuts, sums of what has begun and not ended say whether a run
+    and no cut is there; such a stretch is a part.
+    """
+    edge = lambda at, by: F.struct(at.alias("at"), F.lit(by).cast("long").alias("by"))
+    edges = lambda spans, by: F.flatten(F.transform(spans, lambda x: F.array(edge(x["start"], by), edge(x["end"], -by))))
+    every = F.array_sort(F.concat(edges(runs, 1), edges(cuts, _CUT)))
 
+    def parts(every: Column) -> Column:
+        before = sums_before(F.transform(every, lambda x: x["by"]))
+        # Before an edge lies the stretch from the edge ahead of it.
+        stretch = F.transform(before, lambda sum, i: F.struct(F.get(every, i - F.lit(1))["at"].alias("start"), F.get(every, i)["at"].alias("end"), sum.alias("sum")))
+        found = F.filter(stretch, lambda x: (x["sum"] == 1) & (x["end"] - x["start"] >= WINDOW))
+        return F.transform(found, lambda x: _span(x["start"], x["end"], "entropy"))
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `base_spans` and `all_spans`, arrays of struct<start, rank, end, kind> by start, then kind."""
+    return let(every, parts)
+
+
+def scan(docs: DataFrame, text: str = "text", base: str = "base_spans", every: str = "all_spans") -> DataFrame:
+    """docs with `base_spans` and `all_spans`, arrays of struct<start, rank, end, kind> by start, then kind. Columns of these names in docs are replaced, all others are kept."""
+    docs = docs.drop(base, every)
+    has_assign, has_run, left, own = unused([*docs.columns, base, every], "assign", "run", "left", "own")
     t = F.coalesce(F.col(text), F.lit(""))
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
+    none = F.array().cast(f"array<{_SPAN}>")
     cut = lambda pattern: F.split(t, pattern, -1)
-    out = docs.withColumn("_assign", t.rlike(ASSIGN)).withColumn("_run", t.rlike(CANDIDATE))
+    out = docs.withColumn(has_assign, t.rlike(ASSIGN)).withColumn(has_run, t.rlike(CANDIDATE))
     assign = _spans("assign", cut(ASSIGN), _found(t, ASSIGN), lambda x: F.length(x["g"]) >= ASSIGN_MIN, _found(t, ASSIGN, 2))
     access = _spans("access", cut(ACCESS), _found(t, ACCESS))
     hexes = _spans("hex", cut(HEX), _found(t, HEX))
     runs = _spans("entropy", cut(CANDIDATE), _found(t, CANDIDATE))
     out = out.withColumn(
-        "base_spans",
-        F.array_sort(F.concat(F.when(F.col("_assign"), assign).otherwise(none), F.when(F.col("_run"), F.concat(access, hexes)).otherwise(none))),
+        base,
+        F.array_sort(F.concat(F.when(F.col(has_assign), assign).otherwise(none), F.when(F.col(has_run), F.concat(access, hexes)).otherwise(none))),
     )
-    runs = F.flatten(F.transform(runs, lambda r: _rest(r, F.filter("base_spans", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))))
-
-    def unharmed(r: Column) -> Column:
-        own = F.substring(t, r["start"] + 1, r["end"] - r["start"])
-        harmless = _spans("entropy", F.split(own, ALLOW, -1), _found(own, ALLOW))
-        shifted = F.transform(harmless, lambda h: F.struct((h["start"] + r["start"]).alias("start"), (h["end"] + r["start"]).alias("end")))
-        return F.when(own.rlike(ALLOW_WHOLE), none).otherwise(_rest(r, shifted))
+    out = out.withColumn(left, F.when(F.col(has_run), _rest(runs, F.col(base))).otherwise(none))
+    shifted = lambda r: lambda h: _span(r["start"] + h["start"], r["start"] + h["end"], "entropy")
 
-    runs = F.flatten(F.transform(runs, unharmed))
-    out = out.withColumn("_runs", F.when(F.col("_run"), runs).otherwise(none))
+    def unharmed(r: Column, part: Column) -> Column:
+        harmless = _spans("entropy", F.split(part, ALLOW, -1), _found(part, ALLOW))
+        return F.when(part.rlike(ALLOW_WHOLE), none).otherwise(_rest(F.array(r), F.transform(harmless, shifted(r))))
 
-    def judged(r: Column) -> Column:
-        w = window_span(F.substring(t, r["start"] + 1, r["end"] - r["start"]))
+    def judged(r: Column, part: Column) -> Column:
+        w = window_span(part)
         return F.struct(r["start"].alias("start"), r["rank"].alias("rank"), r["kind"].alias("kind"), w.alias("w"))
 
-    added = F.filter(F.transform(F.col("_runs"), judged), lambda r: r["w"]["lo"] >= 0)
-    added = F.transform(
-        added, lambda r: F.struct((r["start"] + r["w"]["lo"]).alias("start"), r["rank"].alias("rank"), (r["start"] + r["w"]["hi"]).alias("end"), r["kind"].alias("kind"))
-    )
-    out = out.withColumn("_added", F.when(F.size("_runs") > 0, added).otherwise(none))
-    return out.withColumn("all_spans", F.array_sort(F.concat("base_spans", "_added"))).drop("_assign", "_run", "_runs", "_added")
+    def added(paged: Column) -> Column:
+        on = lambda f: lambda r: let(cut_out(paged, r["start"], r["end"]), lambda part: f(r, part))
+        parts = F.filter(F.transform(F.flatten(F.transform(F.col(left), on(unharmed))), on(judged)), lambda r: r["w"]["lo"] >= 0)
+        return F.transform(parts, lambda r: _span(r["start"] + r["w"]["lo"], r["start"] + r["w"]["hi"], "entropy"))
+
+    out = out.withColumn(own, F.when(F.size(left) > 0, let(pages(t), added)).otherwise(none))
+    return out.withColumn(every, F.array_sort(F.concat(base, own))).drop(has_assign, has_run, left, own)
 
 
 def _joined(spans: str) -> Column:

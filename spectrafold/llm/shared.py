@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -52,6 +52,55 @@ def unused(columns: Iterable[str], *names: str) -> list[str]:
     return out
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once, also where body asks for it inside the lambda of an array function."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Elements of an array that are summed up one after the other.
+RUN = 64
+
+
+def sums_before(values: Column, levels: int = 2) -> Column:
+    """For each element of an array of longs, the sum of those before it.
+
+    aggregate copies its state at every step, so a list must not grow in it: runs of RUN elements are summed, then the
+    runs' sums in the same way, `levels` times, and what is left (one of 4096 elements) one after the other.
+    """
+
+    def plain(part: Column, begin: Column) -> Column:
+        start = F.struct(begin.cast("long").alias("at"), F.array().cast("array<long>").alias("out"))
+        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+        return F.aggregate(part, start, step, lambda acc: acc["out"])
+
+    if not levels:
+        return plain(values, F.lit(0))
+
+    def of(values: Column) -> Column:
+        run = lambda i: F.slice(values, i * RUN + 1, F.lit(RUN))
+        total = lambda i: F.aggregate(run(i), F.lit(0).cast("long"), lambda a, x: a + x)
+        sums = F.transform(F.sequence(F.lit(0), F.call_function("div", F.size(values), F.lit(RUN)).cast("int")), total)
+        return F.flatten(F.transform(sums_before(sums, levels - 1), lambda begin, i: plain(run(i), begin)))
+
+    return let(values, of)
+
+
+#: Characters of a page of a text.
+PAGE = 4096
+
+
+def pages(text: Column) -> Column:
+    """The text in parts of PAGE characters, for `cut_out`."""
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % PAGE), F.lit(0))
+
+
+def cut_out(paged: Column, start: Column, end: Column) -> Column:
+    """Characters start to end (exclusive, at least one) of a paged text: walks over the pages concerned, not over the text from its start."""
+    first = F.call_function("div", start, F.lit(PAGE)).cast("int")
+    last = F.call_function("div", end - F.lit(1), F.lit(PAGE)).cast("int")
+    return F.substring(F.array_join(F.slice(paged, first + 1, last - first + 1), ""), start - first * PAGE + 1, end - start)
+
+
 def schema_with(df: DataFrame, **kinds: str) -> StructType:
     """The schema of df with further columns behind its own."""
     out = StructType(list(df.schema.fields))
