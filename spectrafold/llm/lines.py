@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import keep, unused
+from .shared import keep, let, unused
 
 #: A chunk is looked up from this many lines on.
 LEAST_LINES = 2
@@ -64,7 +64,8 @@ def chunks(h: Column) -> Column:
     n = F.size(h)
     inner = F.filter(F.sequence(F.lit(0), n - F.lit(1)), lambda i: (i >= 1) & (i < n - F.lit(1)) & even(i) & ((i == 1) | ~even(i - F.lit(1))))
     ends = F.concat(F.transform(inner, lambda i: i + F.lit(1)), F.array(n))
-    return F.transform(ends, lambda e, k: F.struct(F.when(k == 0, F.lit(0)).otherwise(F.get(ends, k - F.lit(1))).alias("start"), e.alias("end")))
+    ranges = lambda ends: F.zip_with(F.concat(F.array(F.lit(0)), ends), ends, lambda a, e: F.struct(a.alias("start"), e.alias("end")))
+    return F.filter(let(ends, ranges), lambda c: c["end"].isNotNull())
 
 
 def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -131,6 +132,14 @@ def _grown(later: DataFrame) -> DataFrame:
     return runs.where(F.col("seed") | (F.col("words") >= RUN_WORDS)).select("_a", "_b", "start", "end")
 
 
+def _without(lines: Column, ranges: Column) -> Column:
+    """The lines outside of the ranges, which do not overlap: what lies between each range and the next, in order."""
+    begins = F.concat(F.array(F.lit(0)), F.transform(F.array_sort(ranges), lambda r: r["end"]))
+    ends = F.concat(F.transform(F.array_sort(ranges), lambda r: r["start"]), F.array(F.size(lines)))
+    between = F.zip_with(begins, ends, lambda a, e: F.struct(a.alias("start"), e.alias("end")))
+    return let(lines, lambda x: F.flatten(F.transform(between, lambda g: F.slice(x, g["start"] + 1, g["end"] - g["start"]))))
+
+
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", runs: bool = False, removed: str = "removed") -> DataFrame:
     """docs with later copies of chunks, or with `runs` of whole shared runs, cut out of the text, and a column `removed`, the cut ranges of lines (null where none)."""
     docs = docs.drop(removed)
@@ -138,8 +147,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", runs: bool =
     gone = repeats(docs.select(key, text), text, key, runs).groupBy("_a", "_b").agg(F.collect_set(F.struct("start", "end")).alias(removed))
     gone = keep(gone, "removed").withColumnsRenamed({"_a": a, "_b": b})
     whole = docs.withColumn(a, F.xxhash64(text)).withColumn(b, F.xxhash64(key)).join(gone.hint("merge"), [a, b], "left").drop(a, b)
-    left = F.filter(lines_of(F.col(text)), lambda _, i: ~F.exists(F.col(removed), lambda r: (i >= r["start"]) & (i < r["end"])))
-    return whole.withColumn(text, F.when(F.col(removed).isNull(), F.col(text)).otherwise(F.array_join(left, "\n")))
+    return whole.withColumn(text, F.when(F.col(removed).isNull(), F.col(text)).otherwise(F.array_join(_without(lines_of(F.col(text)), F.col(removed)), "\n")))
 
 
 def dedup_documents(docs: DataFrame, runs: bool = False) -> DataFrame:
