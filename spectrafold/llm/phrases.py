@@ -35,11 +35,12 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .keyfilter import KeyFilter
@@ -51,8 +52,14 @@ LEAST = 10
 #: A longer phrase with so many of 100 occurrences of a shorter one replaces it.
 COVER = 50
 TOP = 2000
-#: Words and ends of pieces of a block.
-BLOCK = 1 << 17
+#: Words and ends of pieces of a block: positions take two bytes. A longer piece is a block by itself, of four bytes each.
+BLOCK = 1 << 16
+#: Blocks that a task fills at once, one for each language.
+OPEN = 8
+#: Bits of a phrase's hash beyond those that number the words of the corpus. Hashes only prune: chance meetings cost time, no results.
+SPARE_BITS = 5
+#: Bytes of a batch of blocks on its way to Python.
+BATCH_BYTES = 4 << 20
 #: Rows that a pass hands on at once.
 ROWS = 1 << 16
 _END = b"\xff"
@@ -87,34 +94,33 @@ class _Lists:
         row = np.concatenate(self.parts)
         lengths = np.bincount(row, minlength=len(self.number))
         order = np.argsort(row, kind="stable")[lengths[0] :]
-        return list(self.number)[1:], lengths[1:].tolist(), order.astype("<u4").tobytes()
+        return list(self.number)[1:], lengths[1:].tolist(), order.astype("<u2" if self.size <= 1 << 16 else "<u4").tobytes()
 
 
 def postings(docs: DataFrame, text: str = "text", group: str = "lang", block: int = BLOCK) -> DataFrame:
-    """A row for each block: lang, words, lengths (of the words' position lists) and positions (these lists, little-endian unsigned 32-bit)."""
+    """A row for each block: lang, words, lengths (of the words' position lists) and positions (these lists, little-endian unsigned integers of 16 bits, or 32 in a longer block)."""
     rows = docs.select(F.coalesce(F.col(group).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     schema = pa.schema({"lang": pa.string(), "words": pa.list_(pa.string()), "lengths": pa.list_(pa.int32()), "positions": pa.binary()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_blocks: dict[str, _Lists] = {}
-        size = 0
 
-        def closed() -> Iterator[pa.RecordBatch]:
-            for lang, lists in open_blocks.items():
-                words, lengths, positions = lists.vertical()
+        def closed(*langs: str) -> Iterator[pa.RecordBatch]:
+            for lang in langs:
+                words, lengths, positions = open_blocks.pop(lang).vertical()
                 if words:
                     yield pa.RecordBatch.from_pylist([{"lang": lang, "words": words, "lengths": lengths, "positions": positions}], schema=schema)
 
         for batch in batches:
             for lang, own in zip(batch.column(0), batch.column(1), strict=True):
-                words = tokens(own.as_py())
-                for part in _at_ends(words, block):
-                    if size and size + len(part) > block:
-                        yield from closed()
-                        open_blocks, size = {}, 0
-                    open_blocks.setdefault(lang.as_py(), _Lists()).add(part)
-                    size += len(part)
-        yield from closed()
+                name = lang.as_py()
+                for part in _at_ends(tokens(own.as_py()), block):
+                    if name in open_blocks and open_blocks[name].size + len(part) > block:
+                        yield from closed(name)
+                    if sum(x.size for x in open_blocks.values()) > OPEN * block:
+                        yield from closed(*open_blocks)
+                    open_blocks.setdefault(name, _Lists()).add(part)
+        yield from closed(*open_blocks)
 
     return rows.mapInArrow(run, "lang string, words array<string>, lengths array<int>, positions binary")
 
@@ -136,9 +142,9 @@ def _at_ends(words: list[bytes], limit: int) -> Iterator[list[bytes]]:
 class _Block:
     """A block of texts laid out by position again: number of the word at each position, -1 at ends of pieces, and the words' hashes."""
 
-    def __init__(self, lang: str, words: list[bytes], lengths: np.ndarray, positions: bytes):
-        self.words = words
-        at = np.frombuffer(positions, "<u4")
+    def __init__(self, lang: str, words: list[bytes], lengths: np.ndarray, positions: bytes, bits: int):
+        self.words, self._mask = words, np.uint64((1 << bits) - 1)
+        at = np.frombuffer(positions, f"<u{len(positions) // int(lengths.sum())}").astype(np.int64)
         self.number = np.full(int(at.max()) + 2, -1, np.int64)
         self.number[at] = np.repeat(np.arange(len(words)), lengths)
         seed = xxhash.xxh64_intdigest(lang.encode(), _SEED)
@@ -148,14 +154,14 @@ class _Block:
         self.at = np.flatnonzero(self.number >= 0)
 
     def hash_of(self, at: np.ndarray, k: int) -> np.ndarray:
-        return shingle_hashes(self.hashes, k)[at] if k > 1 else self.hashes[at]
+        return shingle_hashes(self.hashes, k)[at] & self._mask if k > 1 else self.hashes[at]
 
     def extended(self, at: np.ndarray) -> np.ndarray:
         """Of the positions of phrases of k words, those where the next position is one of them too: phrases of k + 1 words."""
         return np.intersect1d(at, at - 1, assume_unique=True)
 
     def frequent(self, filters: list[KeyFilter]) -> list[np.ndarray]:
-        """For k = 1, 2, ..: positions of phrases of k words that may be frequent, by the filter of each level, and of the phrases of one more word that they make."""
+        """For k = 1, 2, ..: positions of phrases of k words that may be frequent, by the filter of each level, and of the phrases of one word more that they make."""
         levels, at = [], self.at
         for k, known in enumerate(filters, 1):
             at = at[known.has(self.hash_of(at, k))]
@@ -174,20 +180,20 @@ class _Block:
         return list(map(b" ".join, zip(*parts, strict=True))), many.tolist()
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, _Block]]:
+def _blocks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple[str, _Block]]:
     for batch in batches:
         lang, words, lengths, positions = (batch.column(k) for k in range(4))
         for i in range(batch.num_rows):
             own = words[i].values.cast(pa.binary()).to_pylist()
-            yield lang[i].as_py(), _Block(lang[i].as_py(), own, lengths[i].values.to_numpy(), positions[i].as_py())
+            yield lang[i].as_py(), _Block(lang[i].as_py(), own, lengths[i].values.to_numpy(), positions[i].as_py(), bits)
 
 
-def _hashed(lists: DataFrame, filters: list[KeyFilter]) -> DataFrame:
+def _hashed(lists: DataFrame, filters: list[KeyFilter], bits: int) -> DataFrame:
     """h, f: hash and frequency, in a block, of the phrases of one word more than there are filters."""
     shared = lists.sparkSession.sparkContext.broadcast(filters)  # bounded by keyfilter.MOST_BITS a level
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, block in _blocks(batches):
+        for _, block in _blocks(batches, bits):
             at = block.frequent(shared.value)[-1]
             h, f = np.unique(block.hash_of(at, len(shared.value) + 1), return_counts=True)
             for i in range(0, len(h), ROWS):
@@ -196,13 +202,13 @@ def _hashed(lists: DataFrame, filters: list[KeyFilter]) -> DataFrame:
     return lists.mapInArrow(run, "h long, f long")
 
 
-def _named(lists: DataFrame, filters: list[KeyFilter]) -> DataFrame:
+def _named(lists: DataFrame, filters: list[KeyFilter], bits: int) -> DataFrame:
     """lang, words, phrase, f: phrases of two words and more that may be frequent, with their frequency in a block."""
     shared = lists.sparkSession.sparkContext.broadcast(filters)  # bounded by keyfilter.MOST_BITS a level
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, block in _blocks(batches):
-            for k, at in enumerate(block.frequent(shared.value)[1:], 2):
+        for lang, block in _blocks(batches, bits):
+            for k, at in enumerate(block.frequent(shared.value)[1:-1], 2):
                 phrases, many = block.named(at, k)
                 for i in range(0, len(phrases), ROWS):
                     some = phrases[i : i + ROWS]
@@ -212,8 +218,24 @@ def _named(lists: DataFrame, filters: list[KeyFilter]) -> DataFrame:
     return lists.mapInArrow(run, "lang string, words int, phrase string, f long")
 
 
+def _words(lengths: str = "lengths") -> Column:
+    return F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of BATCH_BYTES for the passes that run meanwhile: a block is a large row."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def frequent(lists: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
-    """lang, words (their number), phrase, f: every phrase of up to `longest` words that occurs `least` times or more, with its exact frequency.
+    """lang, words (their number), phrase, f: every phrase of up to `longest` words that occurs `least` times or more, with its exact frequency, as a table.
 
     lists: what `postings` gives, from a table.
     """
@@ -222,12 +244,14 @@ def frequent(lists: DataFrame, longest: int = LONGEST, least: int = LEAST) -> Da
     singles = keep(singles.select("lang", F.lit(1).alias("words"), "phrase", "f"), "phrases-1")
     if longest < 2:
         return singles
+    bits = min(64, max(20, int(lists.agg(F.sum(_words())).first()[0] or 0).bit_length() + SPARE_BITS))
     filters = [KeyFilter.of(singles.select(F.xxhash64("lang", "phrase").alias("h")), "h")]
-    for k in range(2, longest):
-        many = _hashed(lists, filters).groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-        filters.append(KeyFilter.of(keep(many.select("h"), f"phrases-{k}"), "h"))
-    more = _named(lists, filters).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    return keep(singles.unionByName(more), "phrases")
+    with _small_batches(lists.sparkSession):
+        for k in range(2, longest + 1):
+            many = _hashed(lists, filters, bits).groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+            filters.append(KeyFilter.of(keep(many.select("h"), f"phrases-{k}"), "h"))
+        more = _named(lists, filters, bits).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+        return keep(singles.unionByName(more), "phrases")
 
 
 def _part(first: Column, many: Column) -> Column:
@@ -261,8 +285,7 @@ def collocations(docs: DataFrame, text: str = "text", group: str = "lang", longe
     """lang, rank, phrase, a, l, r, n, score: the first `top` of each language by score, frequency and phrase."""
     lists = keep(postings(docs, text, group), "postings")
     found = frequent(lists, longest, least)
-    total = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
-    totals = lists.groupBy("lang").agg(F.sum(total).alias("n"))
+    totals = lists.groupBy("lang").agg(F.sum(_words()).alias("n"))
     order = [F.col("lang"), F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     placed = numbered(uncovered(scored(found), found, cover), order, "place")
     # Ranges are in order of languages: a language's rank is counted from its first place.
