@@ -9,6 +9,7 @@ from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, LongType, StructType
 
 
 def salted_md5(value: Column, salt: str) -> Column:
@@ -82,6 +83,18 @@ def entity_of(path: Column) -> Column:
     return F.when(head.isin("picture", "spaceUser", "space"), head)
 
 
+def longs_as_text(value: Column | str, kind: DataType) -> Column:
+    """The value with every long in it, at any depth, as text, for readers whose numbers are doubles."""
+    value = F.col(value) if isinstance(value, str) else value
+    if isinstance(kind, LongType):
+        return value.cast("string")
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: longs_as_text(x, kind.elementType))
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*[longs_as_text(value[f.name], f.dataType).alias(f.name) for f in kind]))
+    return value
+
+
 def envelope(data: Column, code: int = 0, message: str = "ok") -> Column:
     """Response as JSON text; null data stays in it."""
     return F.to_json(F.struct(F.lit(code).alias("code"), data.alias("data"), F.lit(message).alias("message")), {"ignoreNullFields": "false"})

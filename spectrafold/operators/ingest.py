@@ -81,3 +81,13 @@ def named(found: DataFrame, prefix: str, count: int = 10) -> DataFrame:
         raise ValueError(f"at most {MOST} links of a page")
     n = F.row_number().over(Window.partitionBy("page_id").orderBy("place"))
     return found.withColumn("n", n).where(F.col("n") <= count).select("page_id", "n", F.concat(F.lit(prefix), "n").alias("name"), "link")
+
+
+def attempted(found: DataFrame, failed: Column, prefix: str, count: int = 10) -> DataFrame:
+    """Links in order until `count` of a page are uploaded: page_id, place, name, link, uploaded. What fails is passed over, and its name goes to the next."""
+    if count > MOST:
+        raise ValueError(f"at most {MOST} links of a page")
+    before = Window.partitionBy("page_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    tried = found.withColumn("uploaded", ~failed)
+    tried = tried.withColumn("done", F.coalesce(F.sum(F.col("uploaded").cast("int")).over(before), F.lit(0))).where(F.col("done") < count)
+    return tried.select("page_id", "place", F.concat(F.lit(prefix), F.col("done") + 1).alias("name"), "link", "uploaded")

@@ -42,3 +42,10 @@ def records(df: DataFrame, page: Page, key: str = "id") -> DataFrame:
 
 def total(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("total"))
+
+
+def one(df: DataFrame) -> DataFrame:
+    """The only row of df, or none; more than one is an error when the row is read. Partial aggregates: no task gets all rows."""
+    found = df.agg(F.count("*").alias("n"), F.first(F.struct("*")).alias("row"))
+    many = F.raise_error(F.lit("expected one row at most, found more")).cast("bigint")
+    return found.where(F.when(F.col("n") > 1, many).otherwise(F.col("n")) == 1).select("row.*")

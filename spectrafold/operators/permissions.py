@@ -38,6 +38,14 @@ def has(permissions: Column | str, wanted: list[str], every: bool = True) -> Col
     return F.size(F.array_except(lists, permissions)) == 0 if every else F.arrays_overlap(lists, permissions)
 
 
+def has_or_role(permissions: Column | str, wanted: list[str], own_roles: Column | str, roles: list[str], every: bool = True) -> Column:
+    """Gate: the permissions, or else one of the roles; an entry of several roles with commas asks for all of them."""
+    out = has(permissions, wanted, every)
+    for entry in roles:
+        out |= F.size(F.array_except(F.array(*[F.lit(r.strip()) for r in entry.split(",")]), own_roles)) == 0
+    return out
+
+
 def site_gate(role: str | None) -> Column:
     """Whether a user passes the gate of a role of the site: no role lets everyone in, `admin` administrators alone."""
     return F.lit(role is None) | (F.col("userRole") == role)

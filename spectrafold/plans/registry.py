@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectrafold.functions import scalars as fn
-from spectrafold.operators import enrich, ingest, mutate, paging, permissions, rules
+from spectrafold.operators import admission, enrich, ingest, mutate, paging, permissions, rules
 from spectrafold.operators.paging import Page
 from spectrafold.operators.predicates import Query, live, masked, menu_visible, public_visible, space_visible
 from spectrafold.plans.cache import cached
@@ -148,7 +148,7 @@ def lookup_by_ids(t: Tables) -> DataFrame:
 @query("g_space_user", "select id, spaceRole from g_space_user where spaceId = 2 and userId = (select min(userId) from g_space_user where spaceId = 2)")
 def lookup_unique_member(t: Tables) -> DataFrame:
     first = t.members.where(F.col("spaceId") == 2).agg(F.min("userId").alias("_u"))
-    return t.members.where(F.col("spaceId") == 2).join(first, F.col("userId") == F.col("_u"), "left_semi").limit(2).select("id", "spaceRole")
+    return paging.one(t.members.where(F.col("spaceId") == 2).join(first, F.col("userId") == F.col("_u"), "left_semi").select("id", "spaceRole"))
 
 
 @query("g_space_user", "select id, userId, spaceRole from g_space_user where spaceId = 4")
@@ -816,12 +816,119 @@ def perm_any_context(t: Tables) -> DataFrame:
 
 @query("", "select page_id, concat('in-', page_id, '.png') as link from pages")
 def html_scoped_images(t: Tables) -> DataFrame:
-    """img.mimg in the first .dgControl of a page, before and after which others stand."""
-    inside = F.concat(F.lit("<DIV class='x dgControl'><p><img class='mimg a' src=in-"), "page_id", F.lit(".png?w=1></p><img src=\"other.png\"></DIV>"))
+    """img.mimg in the first .dgControl, in which the page stands too; others stand before and after it."""
+    inside = F.concat(F.lit("<SECTION class='x dgControl'>"), "html", F.lit("<p><img class='mimg a' src=in-"), "page_id", F.lit(".png?w=1></p><img src=\"other.png\"></SECTION>"))
     pages = t.pages.select("page_id", F.concat(F.lit('<img class="mimg" src="before.png">'), inside, F.lit('<img class="mimg" src="after.png">')).alias("html"))
     return ingest.links(pages, "img", "src", "mimg", "dgControl").select("page_id", "link")
 
 
+@query("", f"with {_LINKS} select * from links")
+def html_scoped_links(t: Tables) -> DataFrame:
+    """Links of the pages, each set into the first of two .dgControl elements among others that do not count."""
+    outer = F.concat(F.lit("<a href=/before></a><SECTION class='x dgControl'>"), "html", F.lit("</SECTION><a href=/after></a><div class=dgControl><a href=/second></a></div>"))
+    return ingest.links(t.pages.select("page_id", outer.alias("html")), container="dgControl")
+
+
+_FAILS = "not regexp_matches(link, '^/[A-Za-z]+$')"
+
+
+@query(
+    "",
+    f"""with {_LINKS}, tried as (select page_id, place, link, {_FAILS} as failed, coalesce(sum(case when {_FAILS} then 0 else 1 end) over (partition by page_id order by place rows between unbounded preceding and 1 preceding), 0) as done
+    from links) select page_id, place, concat('page', done + 1) as name, link, not failed as uploaded from tried where done < 4""",
+)
+def ingest_attempts(t: Tables) -> DataFrame:
+    return ingest.attempted(ingest.links(t.pages), ~F.col("link").rlike("^/[A-Za-z]+$"), "page", 4)
+
+
+#: Uploads of one batch: a third go to one space, one in ten is asked for by another user than the owner.
+_BATCH = """asks as (select p.id as ask, case when p.id % 10 = 0 then p.userId else s.own end as asker, false as asker_admin, s.own as spaceId, case when p.id % 21 = 5 then p.id end as pictureId, p.picSize * 20 as picSize
+    from g_picture p cross join lateral (select case when p.id % 3 = 0 then 2 when p.id % 6 = 1 then null else p.id % 40 + 1 end as own) s), facts as (
+    select a.ask, a.spaceId, a.picSize, coalesce(a.spaceId, o.spaceId) as place, case when a.spaceId is not null and n.id is null then 40400 when a.spaceId is not null and s.userId <> a.asker then 40101 else 0 end as early,
+    case when a.pictureId is not null and o.id is null then 40400 when a.pictureId is not null and o.userId <> a.asker then 40101 when a.pictureId is not null and a.spaceId is not null and a.spaceId is distinct from o.spaceId then 40000 else 0 end as late
+    from asks a left join used n on n.id = a.spaceId left join g_space s on s.id = n.id left join (select * from g_picture where isDelete = 0) o on a.pictureId = o.id),
+    lined as (select f.*, n.totalCount as c0, n.totalSize as s0, n.maxCount, n.maxSize, row_number() over (partition by f.place order by f.ask) as i from facts f left join used n on n.id = f.place where f.place is not null),
+    walk(place, i, ask, c, s, code) as (
+    select place, 0::bigint, null::bigint, max(c0)::bigint, max(s0)::bigint, 0 from lined group by place
+    union all select l.place, l.i, l.ask, case when d.code = 0 then w.c + 1 else w.c end, (case when d.code = 0 then w.s + l.picSize else w.s end)::bigint, d.code from walk w join lined l on l.place = w.place and l.i = w.i + 1,
+    lateral (select case when l.early <> 0 then l.early when l.spaceId is not null and (w.c >= l.maxCount or w.s >= l.maxSize) then 50001 else l.late end as code) d)"""
+
+
+@query("", cat.with_tables("g_user", "g_space", "g_picture").replace("with ", "with recursive ", 1) + f", {_USED}, {_BATCH} select ask, code from walk where ask is not null union all select ask, late from facts where place is null")
+def upload_admission(t: Tables) -> DataFrame:
+    """Uploads of one batch in order; the checking SQL walks them one by one."""
+    i = F.col("id")
+    own = F.when(i % 3 == 0, F.lit(2).cast("bigint")).when(i % 6 == 1, F.lit(None).cast("bigint")).otherwise(i % 40 + 1)
+    asks = t.pictures.select(
+        i.alias("ask"),
+        F.when(i % 10 == 0, F.col("userId")).otherwise(own).alias("asker"),
+        F.lit(False).alias("asker_admin"),
+        own.alias("spaceId"),
+        F.when(i % 21 == 5, i).alias("pictureId"),
+        (F.col("picSize") * 20).alias("picSize"),
+    )
+    return admission.upload_admissions(asks, _used(t), t.pictures, "ask").select("ask", "code")
+
+
+@query(
+    "g_user",
+    """, asks as (select c_custkey as id, case when c_custkey % 5 = 0 then upper(c_name) else concat('New-', c_custkey % 40) end as account, case when c_custkey % 7 = 0 then 'p' else 'secret-word' end as password from customer),
+    sound as (select *, length(password) >= 2 and not exists (select 1 from g_user u where u.isDelete = 0 and lower(u.userAccount) = lower(a.account)) as good from asks a)
+    select id, case when good and not exists (select 1 from sound b where b.good and lower(b.account) = lower(s.account) and b.id < s.id) then 0 else 40000 end as code from sound s""",
+)
+def register_batch(t: Tables) -> DataFrame:
+    k = F.col("c_custkey")
+    word = F.when(k % 7 == 0, F.lit("p")).otherwise(F.lit("secret-word"))
+    account = F.when(k % 5 == 0, F.upper("c_name")).otherwise(F.concat(F.lit("New-"), (k % 40).cast("string")))
+    return admission.registrations(t.customer.select(k.alias("id"), account.alias("account"), word.alias("password"), word.alias("again")), t.users, "id").select("id", "code")
+
+
+@query(
+    "g_user g_space g_picture",
+    """, asks as (select p.id as ask, u.id as asker, u.userRole = 'admin' as asker_admin, case when p.id % 4 = 0 then 1 else 0 end as lv, (p.id % 2)::int as kind from g_picture p join (select * from g_user where isDelete = 0) u on u.id = p.userId),
+    sound as (select *, lv <> 0 and not asker_admin as barred, exists (select 1 from g_space s where s.isDelete = 0 and s.userId = a.asker and s.spaceType = a.kind) as has from asks a),
+    lined as (select *, row_number() over (partition by asker, kind, barred or has order by ask) as n from sound) select ask, case when barred then 40101 when has or n > 1 then 50001 else 0 end as code from lined""",
+)
+def new_space_batch(t: Tables) -> DataFrame:
+    i = F.col("id")
+    users = live(t.users).select(F.col("id").alias("asker"), (F.col("userRole") == "admin").alias("asker_admin"))
+    asks = t.pictures.select(i.alias("ask"), F.col("userId").alias("asker"), F.when(i % 4 == 0, F.lit(1)).alias("spaceLevel"), F.when(i % 2 == 1, F.lit(1)).alias("spaceType")).join(users, "asker")
+    return admission.new_spaces(asks, t.spaces, "ask").select("ask", "code")
+
+
+@query("g_space_user", "select id, spaceRole in ('editor', 'admin') or id % 5 = 0 as passed, spaceRole = 'admin' or id % 15 = 0 as passedBoth from g_space_user")
+def perm_gate_or_role(t: Tables) -> DataFrame:
+    """A permission, or else a role of the site: one of several, or all of a list."""
+    roles = F.filter(F.array(F.when(F.col("id") % 3 == 0, F.lit("auditor")), F.when(F.col("id") % 5 == 0, F.lit("staff"))), lambda r: r.isNotNull())
+    own = permissions.of_role("spaceRole")
+    return t.members.select(
+        "id",
+        permissions.has_or_role(own, ["picture:edit"], roles, ["manager", "staff"]).alias("passed"),
+        permissions.has_or_role(own, ["spaceUser:manage"], roles, ["auditor, staff"]).alias("passedBoth"),
+    )
+
+
+@query("g_space_user g_space", "select m.id, case m.spaceRole when 'viewer' then '浏览者' when 'editor' then '编辑者' when 'admin' then '管理员' end as role, case s.spaceType when 0 then '私有空间' when 1 then '团队空间' end as kind from g_space_user m join g_space s on s.id = m.spaceId")
+def fn_role_and_type_labels(t: Tables) -> DataFrame:
+    kinds = t.spaces.select(F.col("id").alias("spaceId"), "spaceType")
+    return t.members.join(kinds, "spaceId").select("id", fn.label(F.col("spaceRole"), cat.ROLES).alias("role"), fn.label(F.col("spaceType"), cat.SPACE_TYPES).alias("kind"))
+
+
+@query("", "select p_partkey as id, case when p_partkey % 5 = 4 then 40000 when p_partkey % 9 <> 0 and length(p_name) > 30 then 40000 when p_partkey % 3 = 2 then 40000 else 0 end as code from part")
+def validate_space_change(t: Tables) -> DataFrame:
+    """A change may leave name, level and type out; what is given is checked."""
+    i = F.col("p_partkey")
+    rows = t.part.select(i.alias("id"), F.when(i % 9 != 0, F.col("p_name")).alias("spaceName"), F.when(i % 5 != 3, (i % 5).cast("int")).alias("spaceLevel"), F.when(i % 3 != 0, (i % 3).cast("int")).alias("spaceType"))
+    return rows.select("id", rules.space_error(add=False).alias("code"))
+
+
+@query("g_picture", """select id, concat('{"code":0,"data":{"id":"', id, '","size":"', picSize, '","width":', picWidth, ',"owner":{"id":"', userId, '"}},"message":"ok"}') as body from g_picture where isDelete = 0""")
+def fn_envelope_longs(t: Tables) -> DataFrame:
+    data = F.struct("id", F.col("picSize").alias("size"), F.col("picWidth").alias("width"), F.struct(F.col("userId").alias("id")).alias("owner"))
+    rows = live(t.pictures).withColumn("data", data)
+    return rows.select("id", fn.envelope(fn.longs_as_text("data", rows.schema["data"].dataType)).alias("body"))
+
+
 @query("g_picture", f"select id, name from g_picture where {_LIVE_PUBLIC} order by createTime desc nulls last, id limit 12")
 def page_cached(t: Tables) -> DataFrame:
     """The first page of public pictures, asked for twice: the second time it comes from the cache."""
