@@ -203,7 +203,7 @@ def _hashed(lists: DataFrame, filters: list[KeyFilter], bits: int) -> DataFrame:
 
 
 def _named(lists: DataFrame, filters: list[KeyFilter], bits: int) -> DataFrame:
-    """lang, words, phrase, f: phrases of two words and more that may be frequent, with their frequency in a block."""
+    """lang, phrase, f: phrases of two words and more that may be frequent, with their frequency in a block."""
     shared = lists.sparkSession.sparkContext.broadcast(filters)  # bounded by keyfilter.MOST_BITS a level
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,10 +212,10 @@ def _named(lists: DataFrame, filters: list[KeyFilter], bits: int) -> DataFrame:
                 phrases, many = block.named(at, k)
                 for i in range(0, len(phrases), ROWS):
                     some = phrases[i : i + ROWS]
-                    columns = [pa.array([lang] * len(some), pa.string()), pa.array([k] * len(some), pa.int32()), pa.array(some, pa.string()), pa.array(many[i : i + ROWS], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "words", "phrase", "f"])
+                    columns = [pa.array([lang] * len(some), pa.string()), pa.array(some, pa.string()), pa.array(many[i : i + ROWS], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "f"])
 
-    return lists.mapInArrow(run, "lang string, words int, phrase string, f long")
+    return lists.mapInArrow(run, "lang string, phrase string, f long")
 
 
 def _words(lengths: str = "lengths") -> Column:
@@ -250,7 +250,8 @@ def frequent(lists: DataFrame, longest: int = LONGEST, least: int = LEAST) -> Da
         for k in range(2, longest + 1):
             many = _hashed(lists, filters, bits).groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
             filters.append(KeyFilter.of(keep(many.select("h"), f"phrases-{k}"), "h"))
-        more = _named(lists, filters, bits).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+        more = _named(lists, filters, bits).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+        more = more.withColumn("words", F.size(F.split("phrase", " ")))
         return keep(singles.unionByName(more), "phrases")
 
 
@@ -283,7 +284,7 @@ def uncovered(candidates: DataFrame, found: DataFrame, cover: int = COVER) -> Da
 
 def collocations(docs: DataFrame, text: str = "text", group: str = "lang", longest: int = LONGEST, least: int = LEAST, cover: int = COVER, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first `top` of each language by score, frequency and phrase."""
-    lists = keep(postings(docs, text, group), "postings")
+    lists = keep(postings(docs, text, group), "postings", compression="zstd")
     found = frequent(lists, longest, least)
     totals = lists.groupBy("lang").agg(F.sum(_words()).alias("n"))
     order = [F.col("lang"), F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
