@@ -829,6 +829,34 @@ def html_scoped_links(t: Tables) -> DataFrame:
     return ingest.links(t.pages.select("page_id", outer.alias("html")), container="dgControl")
 
 
+@query("g_picture", "select id, name from g_picture where isDelete = 0 order by createTime desc nulls last, id limit 20 offset 780")
+def page_deep(t: Tables) -> DataFrame:
+    return paging.deep(live(t.pictures), Page(40, 20, "createTime")).select("id", "name")
+
+
+@query("g_picture", f"select id, name, (select count(*) from g_picture where {_LIVE_PUBLIC}) as total from g_picture where {_LIVE_PUBLIC} order by createTime desc nulls last, id limit 12")
+def page_and_total_public(t: Tables) -> DataFrame:
+    """A page and the number of all its rows from one scan."""
+    return paging.page_and_total(live(t.pictures).where(public_visible()), Page(1, 12, "createTime")).select("id", "name", "total")
+
+
+@query(
+    "g_user g_space g_space_user g_picture",
+    f""", {_ASKS}, met as (select a.spaceId, a.asker, case when s.id is null then 40400 when s.spaceType = 0 then case when s.userId = a.asker or a.asker_admin then 0 else 40101 end when m.spaceRole is null then 40101 else 0 end as code from {_MET} where a.spaceId is not null),
+    ranked as (select spaceId, id, row_number() over (partition by spaceId order by createTime desc nulls last, id) as n from g_picture where isDelete = 0 and reviewStatus = 1 and spaceId is not null)
+    select met.spaceId, asker, code, p.id from met left join (select * from ranked where n <= 3) p on p.spaceId = met.spaceId and met.code = 0""",
+)
+def page_space_allowed(t: Tables) -> DataFrame:
+    """First pictures of the spaces that users ask for, for those who may view them, and an error code for others."""
+    asks = permissions.on_space(_asks(t).where("spaceId is not null"), t.spaces, t.members)
+    may = permissions.has("permissions", [permissions.VIEW])
+    there = live(t.spaces).select(F.col("id").alias("_live"))
+    told = asks.join(there, F.col("spaceId") == F.col("_live"), "left").withColumn("code", rules.first_error((F.col("_live").isNull(), rules.NOT_FOUND), (~may, rules.NO_AUTH)))
+    shown = live(t.pictures).where((F.col("reviewStatus") == cat.PASS) & F.col("spaceId").isNotNull())
+    first = paging.first_of_each(shown, "spaceId", Page(1, 3, "createTime")).select(F.col("spaceId").alias("_of"), "id")
+    return told.join(first, (F.col("spaceId") == F.col("_of")) & (F.col("code") == rules.OK), "left").select("spaceId", "asker", "code", "id")
+
+
 _FAILS = "not regexp_matches(link, '^/[A-Za-z]+$')"
 
 
