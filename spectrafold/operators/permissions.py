@@ -93,6 +93,31 @@ def admitted(asks: DataFrame, spaces: DataFrame, members: DataFrame) -> DataFram
     return met.withColumn("admitted", fits & has(_space_case(no_space), [EDIT])).drop("_space_id", "_type", "_owner", "_role")
 
 
+def handshakes(asks: DataFrame, users: DataFrame, pictures: DataFrame, spaces: DataFrame, members: DataFrame) -> DataFrame:
+    """asks (userId, pictureId and others) to join the room of a picture, with `refused`: the first of the reasons below, or null if let in.
+
+    picture_id: none given; login: no such live user; picture: no such live picture; space: its space is gone; team: its
+    space isn't of the team type; permission: the user may not edit. Asks have no column spaceId, asker or asker_admin.
+    """
+    user = live(users).select(F.col("id").alias("_user"), (F.col("userRole") == "admin").alias("asker_admin"))
+    picture = live(pictures).select(F.col("id").alias("_picture"), "spaceId")
+    own = asks.withColumn("asker", F.col("userId")).withColumn("_u", outer_key("userId", asks)).withColumn("_p", outer_key("pictureId", asks))
+    met = own.join(user, F.col("_u") == F.col("_user"), "left").join(picture, F.col("_p") == F.col("_picture"), "left")
+    met = with_space_and_role(met.withColumn("asker_admin", F.coalesce("asker_admin", F.lit(False))), spaces, members)
+    no_space = F.when(F.col("asker_admin"), _all()).otherwise(F.array(F.lit(VIEW)))
+    in_space = F.col("spaceId").isNotNull()
+    reasons = (
+        ("picture_id", F.col("pictureId").isNull()),
+        ("login", F.col("_user").isNull()),
+        ("picture", F.col("_picture").isNull()),
+        ("space", in_space & F.col("_space_id").isNull()),
+        ("team", in_space & ~F.coalesce(F.col("_type") == TEAM, F.lit(False))),
+        ("permission", ~has(_space_case(no_space), [EDIT])),
+    )
+    refused = F.coalesce(*[F.when(wrong, F.lit(name)) for name, wrong in reasons])
+    return met.withColumn("refused", refused).select(*asks.columns, "refused")
+
+
 def on_context(asks: DataFrame, pictures: DataFrame, spaces: DataFrame, members: DataFrame) -> DataFrame:
     """asks (asker, asker_admin, memberRole, spaceUserId, spaceId, pictureId, each null if absent) with `permissions` and `code`, an error or 0.
 

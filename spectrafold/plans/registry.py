@@ -14,7 +14,8 @@ from spectrafold.operators.predicates import Query, live, masked, menu_visible,
 from spectrafold.plans.cache import cached
 from spectrafold.sources import catalogue as cat
 from spectrafold.sources.folders import shared_folder
-from spectrafold.streaming import collab
+from spectrafold.streaming import batches, collab
+from spectrafold.streaming import rooms as room
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -27,7 +28,7 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        names = {"users": "g_user", "spaces": "g_space", "pictures": "g_picture", "members": "g_space_user", "messages": "g_ev", "log": "g_session"}
+        names = {"users": "g_user", "spaces": "g_space", "pictures": "g_picture", "members": "g_space_user", "messages": "g_ev", "log": "g_session", "rooms": "g_room"}
         return cat.table(self.spark, self.sf_dir, names.get(name, name))
 
 
@@ -698,6 +699,91 @@ _QUERIES["edit_lock_stream"] = edit_lock_stream
 _SQL["edit_lock_stream"] = _recursive("select * from done")
 
 
+#: Sessions and lock together: the walk of a picture's messages, and the last JOIN or DISCONNECT of each session before each event that goes out.
+_ROOM_WALK = """msgs as (select *, row_number() over (partition by pictureId order by moment) as n from g_room where type not in ('BOGUS', 'JOIN')),
+    walk(pictureId, moment, type, userId, n, holder, good) as (
+    select pictureId, moment, type, userId, n, case when type = 'ENTER_EDIT' then userId end, type = 'ENTER_EDIT' from msgs where n = 1
+    union all select m.pictureId, m.moment, m.type, m.userId, m.n,
+    case when m.type = 'ENTER_EDIT' and w.holder is null then m.userId when m.type in ('EXIT_EDIT', 'DISCONNECT') and w.holder = m.userId then null else w.holder end,
+    coalesce((m.type = 'ENTER_EDIT' and w.holder is null) or (m.type in ('EXIT_EDIT', 'DISCONNECT') and w.holder = m.userId) or (m.type = 'EDIT_ACTION' and w.holder = m.userId and m.editAction <> 'NOPE'), false)
+    from msgs m join walk w on m.pictureId = w.pictureId and m.n = w.n + 1),
+    went as (select r.pictureId, r.moment, r.userId, r.sessionId, r.type, r.editAction, coalesce(w.good and r.type in ('EXIT_EDIT', 'DISCONNECT'), false) as released
+    from g_room r left join walk w on w.pictureId = r.pictureId and w.moment = r.moment where r.type in ('JOIN', 'DISCONNECT') or w.good),
+    tabs as (select w.pictureId, w.moment, w.sessionId, w.type, s.sessionId as receiver, arg_max(s.type, s.moment) as last from went w
+    join g_room s on s.pictureId = w.pictureId and s.moment <= w.moment and s.type in ('JOIN', 'DISCONNECT') group by w.pictureId, w.moment, w.sessionId, w.type, s.sessionId),
+    inside as (select *, type <> 'EDIT_ACTION' or receiver <> sessionId as sent from tabs where last = 'JOIN')"""
+
+
+def _room_sql(sql: str) -> str:
+    return cat.with_tables("g_room").replace("with ", "with recursive ", 1) + f", {_ROOM_WALK} {sql}"
+
+
+_HAPPENED = """select w.pictureId, w.moment, w.userId, w.sessionId, w.type, w.editAction, w.released, coalesce(n.open, 0)::bigint as open, coalesce(n.receivers, 0)::bigint as receivers from went w
+    left join (select pictureId, moment, count(*) as open, count(*) filter (where sent) as receivers from inside group by pictureId, moment) n on n.pictureId = w.pictureId and n.moment = w.moment"""
+
+
+@query("", _room_sql(_HAPPENED))
+def room_events(t: Tables) -> DataFrame:
+    return room.batch(t.rooms)
+
+
+def room_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rooms as a stream over the events file."""
+    return room.run_here(cat.stream(spark, sf_dir, "g_room"), "1 hour")
+
+
+def room_fanout_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receivers of each event of a room, from the sessions that the stream keeps."""
+    return room.run_here(cat.stream(spark, sf_dir, "g_room"), "1 hour", fan=True)
+
+
+_QUERIES |= {"room_stream": room_stream, "room_fanout_stream": room_fanout_stream}
+_SQL |= {"room_stream": _room_sql(_HAPPENED), "room_fanout_stream": _room_sql("select pictureId, moment, sessionId, type, receiver from inside where sent")}
+
+
+#: Who asks to join: every JOIN; every third asks for the picture before the one of its room, to meet those of spaces.
+_HANDSHAKE_ASKS = "asks as (select moment, userId, case when moment % 7 = 0 then null when moment % 3 = 0 then pictureId * 2 + userId else pictureId end as pictureId from g_room where type = 'JOIN')"
+_HANDSHAKES = f""", {_HANDSHAKE_ASKS} select a.moment, a.userId, a.pictureId, case when a.pictureId is null then 'picture_id' when u.id is null then 'login' when p.id is null then 'picture'
+    when p.spaceId is not null and s.id is null then 'space' when p.spaceId is not null and s.spaceType <> 1 then 'team'
+    when case when p.spaceId is null then u.userRole = 'admin' else coalesce(m.spaceRole in ('editor', 'admin'), false) end then null else 'permission' end as refused
+    from asks a left join (select * from g_user where isDelete = 0) u on u.id = a.userId left join (select * from g_picture where isDelete = 0) p on p.id = a.pictureId
+    left join (select * from g_space where isDelete = 0) s on s.id = p.spaceId left join g_space_user m on m.spaceId = p.spaceId and m.userId = a.userId"""
+
+
+def _handshake_asks(rows: DataFrame) -> DataFrame:
+    return rows.where("type = 'JOIN'").selectExpr("moment", "userId", "case when moment % 7 = 0 then null when moment % 3 = 0 then pictureId * 2 + userId else pictureId end as pictureId")
+
+
+@query("g_room g_user g_picture g_space g_space_user", _HANDSHAKES)
+def handshake(t: Tables) -> DataFrame:
+    return permissions.handshakes(_handshake_asks(t.rooms), t.users, t.pictures, t.spaces, t.members)
+
+
+def handshake_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of a stream of asks; every micro-batch meets the tables as they are then."""
+
+    def told(asks: DataFrame) -> DataFrame:
+        t = Tables(spark, sf_dir)
+        return permissions.handshakes(asks, t.users, t.pictures, t.spaces, t.members)
+
+    return batches.run(_handshake_asks(cat.stream(spark, sf_dir, "g_room")), shared_folder(spark, "handshakes"), told)
+
+
+def usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage kept up from a stream of pictures that are added and, some of them, deleted again."""
+    pictures = cat.stream(spark, sf_dir, "g_picture")
+    changes = pictures.select("spaceId", "picSize", F.explode(F.when(F.col("isDelete") == 1, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("added"))
+    return batches.keep_usage(changes, shared_folder(spark, "usage"))
+
+
+_QUERIES |= {"handshake_stream": handshake_stream, "usage_stream": usage_stream}
+_SQL |= {
+    "handshake_stream": cat.with_tables("g_room", "g_user", "g_picture", "g_space", "g_space_user") + _HANDSHAKES,
+    "usage_stream": cat.with_tables("g_picture") + """ select spaceId as id, sum(case when isDelete = 0 then picSize else 0 end)::bigint as totalSize, count(*) filter (where isDelete = 0) as totalCount
+    from g_picture where spaceId is not null group by spaceId""",
+}
+
+
 @query("g_space", "select id, userId, spaceName, spaceLevel, spaceType from g_space where isDelete = 0")
 def view_space_back(t: Tables) -> DataFrame:
     return enrich.space_row(enrich.with_user(enrich.space_view(live(t.spaces)), t.users)).select("id", "userId", "spaceName", "spaceLevel", "spaceType")

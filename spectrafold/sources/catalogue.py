@@ -62,6 +62,15 @@ DERIVED: dict[str, tuple[str, str]] = {
         """select event_id * 4 + case event_type when 'signup' then 0 else 2 end as moment, user_id + 1 as userId, cast({k} as bigint) + 1 as pictureId,
         case event_type when 'signup' then 'JOIN' else 'LEAVE' end as type from events where event_type in ('signup', 'purchase')""",
     ),
+    # Rooms: two sessions a user; who signs up joins, then asks for the lock; a purchase ends editing, every other one by closing the session.
+    "g_room": (
+        "events",
+        """select cast(ts as timestamp) as at, event_id * 4 + step as moment, cast({k} as bigint) + 1 as pictureId, user_id + 1 as userId, (user_id + 1) * 2 + cast(floor(event_id / 8) as bigint) % 2 as sessionId,
+        case when event_type = 'signup' then case step when 0 then 'JOIN' else 'ENTER_EDIT' end when event_type = 'purchase' then case when event_id % 4 < 2 then 'DISCONNECT' else 'EXIT_EDIT' end
+        when event_type = 'error' then 'BOGUS' else 'EDIT_ACTION' end as type,
+        case when event_type in ('click', 'view') then case event_id % 5 when 0 then 'ZOOM_IN' when 1 then 'ZOOM_OUT' when 2 then 'ROTATE_LEFT' when 3 then 'ROTATE_RIGHT' else 'NOPE' end end as editAction
+        from (select *, 1 as step from events union all select *, 0 as step from events where event_type = 'signup') x""",
+    ),
     "g_ev": (
         "events",
         """select event_id as seq, ts, user_id + 1 as userId, cast({k} as bigint) + 1 as pictureId,

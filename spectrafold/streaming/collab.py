@@ -12,9 +12,10 @@ remembers one holder. The lock is sequential, so one picture is one task's work.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -90,34 +91,41 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run_stream(messages: DataFrame, path: str) -> DataFrame:
-    """Run the stream to the end of what its source has now; accepted messages go below path, which all executors share."""
-    spark = messages.sparkSession
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The state store that keyed state needs, for the streams started inside."""
     before = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, _ROCKSDB)
     try:
-        rows = messages.select("pictureId", "seq", "userId", "type", "editAction").where(F.col("type").isin(*TYPES, "DISCONNECT") & F.col("pictureId").isNotNull())
-        writer = accepted_stream(rows).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
-        writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        yield
     finally:
         if before is None:
             spark.conf.unset(_PROVIDER)
         else:
             spark.conf.set(_PROVIDER, before)
+
+
+def run_stream(messages: DataFrame, path: str) -> DataFrame:
+    """Run the stream to the end of what its source has now; accepted messages go below path, which all executors share."""
+    spark = messages.sparkSession
+    with rocksdb(spark):
+        rows = messages.select("pictureId", "seq", "userId", "type", "editAction").where(F.col("type").isin(*TYPES, "DISCONNECT") & F.col("pictureId").isNotNull())
+        writer = accepted_stream(rows).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+        writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(ACCEPTED).parquet(f"{path}/out")
 
 
-def _changes(log: DataFrame) -> DataFrame:
-    """log (moment, pictureId, userId, type JOIN or LEAVE) with `change`: 1 where a session opens, -1 where an open one ends, else 0. A session is a user in a picture."""
-    own = Window.partitionBy("pictureId", "userId").orderBy("moment")
+def changes(log: DataFrame, session: str = "userId") -> DataFrame:
+    """log (moment, pictureId, userId, type JOIN or LEAVE) with `change`: 1 where a session opens, -1 where an open one ends, else 0. `session` tells the sessions of a picture apart."""
+    own = Window.partitionBy("pictureId", session).orderBy("moment")
     before = F.coalesce(F.lag("type").over(own), F.lit("LEAVE"))
-    return log.select("moment", "pictureId", "userId", "type", F.when(F.col("type") == before, 0).when(F.col("type") == "JOIN", 1).otherwise(-1).alias("change"))
+    return log.select("moment", "pictureId", *dict.fromkeys(["userId", session]), "type", F.when(F.col("type") == before, 0).when(F.col("type") == "JOIN", 1).otherwise(-1).alias("change"))
 
 
 def sessions(log: DataFrame) -> DataFrame:
     """moment, pictureId and the number of open sessions after each JOIN or LEAVE: joining twice or leaving unknown changes nothing."""
     order = Window.partitionBy("pictureId").orderBy("moment").rowsBetween(Window.unboundedPreceding, 0)
-    return _changes(log).select("pictureId", "moment", F.sum("change").over(order).cast("bigint").alias("open"))
+    return changes(log).select("pictureId", "moment", F.sum("change").over(order).cast("bigint").alias("open"))
 
 
 def _sent(done: DataFrame) -> DataFrame:
@@ -127,7 +135,7 @@ def _sent(done: DataFrame) -> DataFrame:
 def fan_out(done: DataFrame, log: DataFrame) -> DataFrame:
     """Receivers of each accepted message: the sessions open at that moment, without the sender's own for an EDIT_ACTION. A row for each message and receiver, as they are sent."""
     own = Window.partitionBy("pictureId", "userId").orderBy("moment")
-    moved = _changes(log).where("change <> 0").withColumn("until", F.lead("moment").over(own)).where("change = 1")
+    moved = changes(log).where("change <> 0").withColumn("until", F.lead("moment").over(own)).where("change = 1")
     opened = moved.select(F.col("pictureId").alias("_p"), F.col("userId").alias("receiver"), F.col("moment").alias("_since"), "until")
     met = _sent(done).join(opened, (F.col("pictureId") == F.col("_p")) & (F.col("_since") < F.col("moment")) & (F.col("until").isNull() | (F.col("moment") < F.col("until"))))
     return met.where((F.col("type") != "EDIT_ACTION") | (F.col("receiver") != F.col("userId"))).select("pictureId", "seq", "userId", "type", "receiver")
@@ -135,7 +143,7 @@ def fan_out(done: DataFrame, log: DataFrame) -> DataFrame:
 
 def receivers(done: DataFrame, log: DataFrame) -> DataFrame:
     """pictureId, seq, type and the number of receivers of each accepted message, from running sums: no pair of message and receiver is made."""
-    moves = _changes(log).select("pictureId", "userId", "moment", F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("kind"), "change")
+    moves = changes(log).select("pictureId", "userId", "moment", F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("kind"), "change")
     every = moves.unionByName(_sent(done).select("pictureId", "userId", "moment", "seq", F.col("type").alias("kind"), F.lit(0).alias("change")))
     room = Window.partitionBy("pictureId").orderBy("moment").rowsBetween(Window.unboundedPreceding, 0)
     own = Window.partitionBy("pictureId", "userId").orderBy("moment").rowsBetween(Window.unboundedPreceding, 0)
