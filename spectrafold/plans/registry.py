@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectrafold.functions import scalars as fn
-from spectrafold.operators import admission, enrich, ingest, mutate, paging, permissions, rules
+from spectrafold.operators import admission, enrich, ids, ingest, mutate, paging, permissions, rules, touched
 from spectrafold.operators.paging import Page
 from spectrafold.operators.predicates import Query, live, masked, menu_visible, public_visible, space_visible
 from spectrafold.plans.cache import cached
@@ -997,17 +997,63 @@ def register_batch(t: Tables) -> DataFrame:
     return admission.registrations(t.customer.select(k.alias("id"), account.alias("account"), word.alias("password"), word.alias("again")), t.users, "id").select("id", "code")
 
 
-@query(
-    "g_user g_space g_picture",
-    """, asks as (select p.id as ask, u.id as asker, u.userRole = 'admin' as asker_admin, case when p.id % 4 = 0 then 1 else 0 end as lv, (p.id % 2)::int as kind from g_picture p join (select * from g_user where isDelete = 0) u on u.id = p.userId),
+_NEW_SPACES = """, asks as (select p.id as ask, u.id as asker, u.userRole = 'admin' as asker_admin, case when p.id % 4 = 0 then 1 else 0 end as lv, (p.id % 2)::int as kind from g_picture p join (select * from g_user where isDelete = 0) u on u.id = p.userId),
     sound as (select *, lv <> 0 and not asker_admin as barred, exists (select 1 from g_space s where s.isDelete = 0 and s.userId = a.asker and s.spaceType = a.kind) as has from asks a),
-    lined as (select *, row_number() over (partition by asker, kind, barred or has order by ask) as n from sound) select ask, case when barred then 40101 when has or n > 1 then 50001 else 0 end as code from lined""",
-)
-def new_space_batch(t: Tables) -> DataFrame:
+    lined as (select *, row_number() over (partition by asker, kind, barred or has order by ask) as n from sound),
+    told as (select *, case when barred then 40101 when has or n > 1 then 50001 else 0 end as code from lined)"""
+
+
+def _new_spaces(t: Tables) -> DataFrame:
     i = F.col("id")
     users = live(t.users).select(F.col("id").alias("asker"), (F.col("userRole") == "admin").alias("asker_admin"))
     asks = t.pictures.select(i.alias("ask"), F.col("userId").alias("asker"), F.when(i % 4 == 0, F.lit(1)).alias("spaceLevel"), F.when(i % 2 == 1, F.lit(1)).alias("spaceType")).join(users, "asker")
-    return admission.new_spaces(asks, t.spaces, "ask").select("ask", "code")
+    return admission.new_spaces(asks, t.spaces, "ask")
+
+
+@query("g_user g_space g_picture", f"{_NEW_SPACES} select ask, code from told")
+def new_space_batch(t: Tables) -> DataFrame:
+    return _new_spaces(t).select("ask", "code")
+
+
+#: The moment of the batch, in milliseconds.
+_NOW = 1_767_225_600_000
+_CREATED = f", created as (select *, {ids.first_id(_NOW)} + row_number() over (order by ask) - 1 as id from told where code = 0)"
+
+
+def _created(t: Tables) -> DataFrame:
+    return ids.assigned(_new_spaces(t).where(F.col("code") == rules.OK), "ask", _NOW)
+
+
+@query("g_user g_space g_picture", f"{_NEW_SPACES}{_CREATED} select id, asker as userId, lv as spaceLevel, kind as spaceType from created union all select id, userId, spaceLevel, spaceType from g_space")
+def create_spaces(t: Tables) -> DataFrame:
+    """The table of spaces after a batch of asks, new ones with ids of their own."""
+    made = _created(t).select("id", F.col("asker").alias("userId"), F.coalesce("spaceLevel", F.lit(0)).alias("spaceLevel"), F.coalesce("spaceType", F.lit(0)).alias("spaceType"))
+    return mutate.insert(t.spaces.select("id", "userId", "spaceLevel", "spaceType"), made)
+
+
+@query("g_user g_space g_picture", f"{_NEW_SPACES}{_CREATED} select id as spaceId, asker as userId, 'admin' as spaceRole from created where kind = 1")
+def create_space_admins(t: Tables) -> DataFrame:
+    """The memberships that come with the new team spaces."""
+    return admission.team_admins(_created(t), F.col("id"))
+
+
+@query(
+    "g_picture",
+    """select id, case when id % 500 = 2 then concat('patched ', id) when id % 900 = 5 then 'again' else name end as name, case when id % 1000 = 2 then 'new' else category end as category, case when id % 700 = 3 then 1 else isDelete end as isDelete
+    from g_picture where id % 800 <> 4 union all select id + 10000000, 'added', null, 0 from g_picture where id % 900 = 5""",
+)
+def change_folders(t: Tables) -> DataFrame:
+    """A patch, an upsert and deletions of both kinds, one after the other, each of which rewrites the folders of its keys only."""
+    base = t.pictures.select("id", "name", "category", "isDelete")
+    path, folders = shared_folder(t.spark, "pictures"), 64
+    touched.lay_out(base, path, "id", folders)
+    touched.patch(path, base.schema, base.where("id % 500 = 2").select("id", F.concat(F.lit("patched "), "id").alias("name"), F.when(F.col("id") % 1000 == 2, F.lit("new")).alias("category")), folders)
+    again = base.where("id % 900 = 5")
+    added = again.select((F.col("id") + 10000000).alias("id"), F.lit("added").alias("name"), F.lit(None).cast("string").alias("category"), F.lit(0).alias("isDelete"))
+    touched.upsert(path, base.schema, again.withColumn("name", F.lit("again")).unionByName(added), folders)
+    touched.soft_delete(path, base.schema, base.where("id % 700 = 3").select("id"), folders)
+    touched.hard_delete(path, base.schema, base.where("id % 800 = 4").select("id"), folders)
+    return touched.read(t.spark, path, base.schema)
 
 
 @query("g_space_user", "select id, spaceRole in ('editor', 'admin') or id % 5 = 0 as passed, spaceRole = 'admin' or id % 15 = 0 as passedBoth from g_space_user")
