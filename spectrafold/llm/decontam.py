@@ -242,13 +242,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text") -> Data
 
         return none_found(F.col(text).cast("binary"))
 
-    indexes = list(_blocks(items))
-    if len(indexes) == 1:
-        return docs.where(clean(indexes[0]))
+    # One index at a time on the driver: what stays of it is the broadcast.
+    tests = [clean(index) for index in _blocks(items)]
+    if len(tests) == 1:
+        return docs.where(tests[0])
     # A task holds one block of items: each block names the texts that hold one of its items.
     (name,) = unused(docs.columns, "name")
     texts = docs.select(F.md5(F.col(text).cast("binary")).alias(name), F.col(text))
-    found = reduce(DataFrame.unionAll, [texts.where(~clean(index)).select(name) for index in indexes]).distinct()
+    found = reduce(DataFrame.unionAll, [texts.where(~test).select(name) for test in tests]).distinct()
     return docs.withColumn(name, F.md5(F.col(text).cast("binary"))).join(found, name, "left_anti").select(*docs.columns)
 
 
