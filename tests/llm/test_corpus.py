@@ -432,3 +432,27 @@ def test_next_rows_across_many_ranges(spark):
     assert len(got) == len(rows) and {(r["doc_id"], r["text"]): r["next_text"] for r in got} == follow
     with pytest.raises(TypeError):
         minhash.with_next(spark.createDataFrame([("a", "b")], "doc_id string, text string"), "doc_id", ["text"], 3)
+
+
+def test_next_rows_of_one_frequent_id(spark):
+    rnd = random.Random(8)
+    often = [(7, f"{rnd.choice(['', 'The ', 'é, ', 'x'])}{rnd.randrange(10**6)} {k}") for k in range(300)] + [(7, None), (7, "")]
+    rows = often + [(None, f"n{k}") for k in range(200)] + [(k * 3 - 500, f"text {k}") for k in range(400)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = minhash.with_next(df, "doc_id", ["text"], 23).collect()
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, (r[1] or "").encode()))
+    follow = {r: order[(k + 1) % len(order)][1] for k, r in enumerate(order)}
+    assert len(got) == len(rows) and {(r["doc_id"], r["text"]): r["next_text"] for r in got} == follow
+    place, bounds = minhash._ordered(df, "doc_id", ["text"], 23)
+    most = df.groupBy(minhash._range_of(place, bounds).alias("r")).count().agg(F.max("count")).first()[0]
+    assert most < 120  # of 302 and 200 rows of one id
+    same = spark.createDataFrame([(7, "same")] * 50 + [(None, "same")] * 50, DOCS)
+    assert [r["next_text"] for r in minhash.with_next(same, "doc_id", ["text"], 9).collect()] == ["same"] * 100
+
+
+def test_fingerprints_keep_columns_of_any_name(spark):
+    own = {"h": 1, "p": 2, "s": 3, "m": 4, "slots": 5, "filled": 6, "range": 7, "place": 8, "to": 9, "lent": 10, "_h": 11, "next_text": 12}
+    df = spark.createDataFrame([(k, f"a b c d e f {k}", *own.values()) for k in range(9)], ", ".join([DOCS, *[f"{n} int" for n in own]]))
+    for r in minhash.with_next(minhash.with_fingerprint(df, "text", "print"), "doc_id", ["text"], 3).collect():
+        assert {n: r[n] for n in own if n != "next_text"} == {n: v for n, v in own.items() if n != "next_text"}
+        assert r["next_text"] == f"a b c d e f {(r['doc_id'] - 1) % 9}" and len(r["print"]) == minhash.BINS
