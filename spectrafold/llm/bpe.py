@@ -8,6 +8,11 @@ order, at all its positions, and only the two neighbours of a merged position
 are looked up again. A merge that a later one makes possible at a lower rank is
 taken at once, leftmost first within a match, as the rank rules say.
 
+Matches do not wait for each other: the index is one sorted array of ranks and
+positions, and a pass over it takes the first position of every match at once.
+Matches of more than LONG bytes would need too many passes; their index is a
+heap of ranks with a heap of positions for each, taken one by one.
+
 Scale: a map over the scan, no shuffle. A worker holds the ranks (a fixed
 table), a bounded cache and one block; only a text that is longer than a block
 takes more memory, in proportion to itself. The matches of a block do not
@@ -33,6 +38,10 @@ from .pieces import Pieces
 from .shared import parts, schema_with
 
 _BITS = 20
+#: Bits of a position in an entry of the index, below those of the rank.
+_PLACE = 40
+#: Merges of matches of more bytes are taken one by one.
+LONG = 64
 
 
 def default_ranks() -> str:
@@ -62,6 +71,8 @@ class Ranks:
                 left, right = self.ids.get(token[:cut]), self.ids.get(token[cut:])
                 if left is not None and right is not None:
                     self.merge[left << _BITS | right] = rank
+        self.pairs = np.array(sorted(self.merge), np.int64)
+        self.merged = np.array([self.merge[p] for p in self.pairs.tolist()], np.int64)
         self.first = np.full((256, 256), -1, np.int64)
         for a in range(256):
             for b in range(256):
@@ -70,9 +81,78 @@ class Ranks:
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
+    def of_pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of the merge of each pair of tokens, -1 where there is none."""
+        if not len(self.pairs):
+            return np.full(len(left), -1, np.int64)
+        wanted = left << _BITS | right
+        at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == wanted, self.merged[at], -1)
+
 
 def replay(ranks: Ranks, words: list[bytes]) -> list[bytes]:
     """Ids of each word, as little-endian unsigned 32-bit integers, by replaying the merges over all words together."""
+    short = [len(w) <= LONG for w in words]
+    together = iter(_replay_short(ranks, [w for w, s in zip(words, short, strict=True) if s]))
+    rest = iter(_replay_long(ranks, [w for w, s in zip(words, short, strict=True) if not s]))
+    return [next(together) if s else next(rest) for s in short]
+
+
+def _bytes_of(token: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Ids of the words that end at these places, of an array of tokens in which those that were merged away are negative."""
+    alive = token >= 0
+    counts = np.concatenate(([0], np.cumsum(alive)))[np.concatenate(([0], ends))] * 4
+    flat = token[alive].astype("<u4").tobytes()
+    return [flat[a:b] for a, b in zip(counts[:-1].tolist(), counts[1:].tolist(), strict=True)]
+
+
+def _replay_short(ranks: Ranks, words: list[bytes]) -> list[bytes]:
+    """The same for words of a few merges each: every pass applies the next merge of each word."""
+    if not words:
+        return []
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes)
+    raw = np.frombuffer(b"".join(words), np.uint8)
+    token = ranks.byte[raw]
+    n = len(token)
+    word = np.repeat(np.arange(len(words)), sizes)
+    inner = word[1:] == word[:-1]
+    following, before = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    following[:-1][inner] = np.flatnonzero(inner) + 1
+    before[1:][inner] = np.flatnonzero(inner)
+    # Rank of the pair that begins at a position, -1 if it is none that merges.
+    rank = np.full(n, -1, np.int64)
+    rank[:-1][inner] = ranks.first[raw[:-1], raw[1:]][inner]
+    at = np.flatnonzero(rank >= 0)
+    # The inverted index: rank of a pair and position, in this order.
+    index = np.sort(rank[at] << _PLACE | at)
+    first = np.zeros(len(words), np.int64)
+    while len(index):
+        at = index & ((1 << _PLACE) - 1)
+        own = word[at]
+        # Read from its end, so that the first entry of a word is what remains.
+        first[own[::-1]] = at[::-1]
+        at = at[first[own] == at]
+        lowest, nxt, prior = rank[at], following[at], before[at]
+        after = following[nxt]
+        token[at], token[nxt], rank[nxt] = lowest, -1, -1
+        following[at] = after
+        more = after >= 0
+        before[after[more]] = at[more]
+        rank[at] = -1
+        rank[at[more]] = ranks.of_pairs(lowest[more], token[after[more]])
+        more = prior >= 0
+        prior = prior[more]
+        rank[prior] = ranks.of_pairs(token[prior], lowest[more])
+        touched = np.concatenate((at, prior))
+        touched = touched[rank[touched] >= 0]
+        index = index[rank[index & ((1 << _PLACE) - 1)] == index >> _PLACE]
+        index = np.sort(np.concatenate((index, rank[touched] << _PLACE | touched)))
+    return _bytes_of(token, ends)
+
+
+def _replay_long(ranks: Ranks, words: list[bytes]) -> list[bytes]:
+    """The same for words of any length: merges are taken one by one, in rank order over all words."""
     if not words:
         return []
     sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -126,11 +206,7 @@ def replay(ranks: Ranks, words: list[bytes]) -> list[bytes]:
                 else:
                     index[touched] = [prior]
                     heappush(queue, touched)
-    ids = np.array(token, np.int64)
-    alive = ids >= 0
-    counts = np.concatenate(([0], np.cumsum(alive)))[np.concatenate(([0], ends))] * 4
-    flat = ids[alive].astype("<u4").tobytes()
-    return [flat[a:b] for a, b in zip(counts[:-1].tolist(), counts[1:].tolist(), strict=True)]
+    return _bytes_of(np.array(token, np.int64), ends)
 
 
 class Encoder:

@@ -100,6 +100,46 @@ def test_bpe_as_tiktoken(tiktoken_encoding):
         assert own.decode(ids) == text.encode()
 
 
+def _merged_one_by_one(ids: dict[bytes, int], word: bytes) -> list[int]:
+    parts = [bytes([b]) for b in word]
+    while True:
+        ranks = [(ids[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ids]
+        if not ranks:
+            return [ids[p] for p in parts]
+        k = min(ranks)[1]
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+
+@pytest.mark.parametrize("long", [0, 5, 64])
+def test_bpe_merges_of_ranks_in_any_order(tmp_path, monkeypatch, long):
+    monkeypatch.setattr(bpe, "LONG", long, raising=False)
+    rnd = random.Random(long)
+    for _ in range(20):
+        tokens = {"".join(rnd.choices("abc", k=rnd.randrange(2, 7))).encode() for _ in range(rnd.randrange(60))}
+        tokens = [*(bytes([b]) for b in range(256)), *sorted(tokens)]
+        rnd.shuffle(tokens)
+        file = tmp_path / "ranks"
+        file.write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for i, t in enumerate(tokens)))
+        ranks = bpe.Ranks(str(file))
+        words = ["".join(rnd.choices("aaabbcé", k=rnd.randrange(100 if rnd.random() < 0.1 else 12))).encode() for _ in range(150)]
+        want = [_merged_one_by_one(ranks.ids, w) for w in words]
+        assert [np.frombuffer(x, "<u4").tolist() for x in bpe.replay(ranks, words)] == want
+        assert ranks.decode(b"".join(bpe.replay(ranks, words))) == b"".join(words)
+    assert bpe.replay(ranks, []) == [] and bpe.replay(ranks, [b"", b""]) == [b"", b""]
+
+
+def test_bpe_takes_merges_of_new_words_together(tiktoken_encoding, monkeypatch):
+    taken, pop = [], bpe.heappop
+    monkeypatch.setattr(bpe, "heappop", lambda heap: taken.append(1) or pop(heap))
+    rnd = random.Random(3)
+    made_up = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyzäß", k=rnd.randrange(6, 20))) for _ in range(5000)]
+    long = "".join(rnd.choices("abcdeé", k=3000))
+    own = bpe.Encoder(bpe.default_ranks(), bpe.default_pattern())
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode([" ".join(made_up)])] == [tiktoken_encoding.encode_ordinary(" ".join(made_up))]
+    assert len(taken) < len(made_up)
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode([long, f"{long} {made_up[0]}x"])] == [tiktoken_encoding.encode_ordinary(t) for t in (long, f"{long} {made_up[0]}x")]
+
+
 def test_bpe_query(docs, empty, tiktoken_encoding):
     want = sorted((i if i is not None else -1, len(x := tiktoken_encoding.encode_ordinary(t or "")), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in ODD)
     got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.round_trip(docs).collect())
