@@ -214,10 +214,9 @@ class Encoder:
 
     def __init__(self, ranks_path: str, pattern: str):
         self.ranks = Ranks(ranks_path)
-        self._pieces = Pieces(pattern, self._new)
+        self._pieces = Pieces(pattern, self._new, np.dtype("<u4"))
 
-    def _new(self, matches: list[str]) -> list[bytes]:
-        words = [m.encode() for m in matches]
+    def _new(self, words: list[bytes]) -> list[bytes]:
         # A match that is a token itself is that token, whatever the merges would make of it.
         known = [self.ranks.ids.get(w) for w in words]
         rest = iter(replay(self.ranks, [w for w, k in zip(words, known, strict=True) if k is None]))

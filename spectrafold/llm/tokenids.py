@@ -28,6 +28,7 @@ are dropped.
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 import zlib
@@ -64,6 +65,10 @@ def default_tokenizer() -> str:
 CACHE = 300_000
 
 
+#: A byte that no UTF-8 text holds.
+_BETWEEN = 0xFF
+
+
 def byte_alphabet() -> dict[int, str]:
     """The characters that stand for bytes in byte-level vocabularies: printable Latin-1 ones for themselves, the others from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -89,24 +94,36 @@ class Tokens:
         self._whole = added and self._tokenizer.normalizer is not None
         self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
         self._code = np.dtype(f"<u{self.width}")
-        self._pieces = Pieces(pattern, self._new, CACHE)
+        self._pieces = Pieces(pattern, self._new, self._code, CACHE)
         # The model alone, for matches that are cut already: its input is the bytes in their alphabet.
         self._model = Tokenizer(self._tokenizer.model) if _is_byte_level(json.loads(self._tokenizer.to_str())) else None
-        self._alphabet = byte_alphabet()
+        if self._model is None:
+            return
+        # Spark's workers share the cores already.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        alphabet = byte_alphabet() | {_BETWEEN: " "}
+        self._written = np.array([ord(alphabet[b]) for b in range(256)], "<u2")
+        vocab = self._model.get_vocab()
+        self._size = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, n in vocab.items():
+            self._size[n] = len(token)
 
     def _whole_text(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, self._code).tobytes()
 
-    def _new(self, matches: list[str]) -> list[bytes]:
+    def _new(self, matches: list[bytes]) -> list[bytes]:
         if self._model is None:
-            return [self._whole_text(m) for m in matches]
+            return [self._whole_text(m.decode()) for m in matches]
         out: list[bytes] = []
         for at in range(0, len(matches), 4096):
-            words = [m.encode().decode("latin-1").translate(self._alphabet) for m in matches[at : at + 4096]]
-            found = self._model.encode(words, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, self._code).tobytes()
-            edges = (self.width * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words) + 1))).tolist()
-            out.extend(ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True))
+            raw = bytes([_BETWEEN]).join(matches[at : at + 4096])
+            words = self._written[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-16-le").split(" ")
+            # The fast form gives ids alone; tokens are told apart by their bytes.
+            ids = np.array(self._model.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, self._code)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+            edges = [0, *(self.width * np.searchsorted(np.cumsum(self._size[ids]), ends, side="right")).tolist()]
+            flat = ids.tobytes()
+            out.extend(flat[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True))
         return out
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
@@ -120,8 +137,10 @@ class Tokens:
 
 
 def _is_byte_level(parts: dict) -> bool:
-    """Whether a tokenizer's file only cuts a text, writes its bytes in the alphabet and applies a model to each match."""
-    cut = parts.get("pre_tokenizer") or {}
+    """Whether a tokenizer's file only cuts a text, writes its bytes in the alphabet and applies a model to each match, whose tokens together are those bytes."""
+    cut, model = parts.get("pre_tokenizer") or {}, parts.get("model") or {}
+    if model.get("type") != "BPE" or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or not model["vocab"].keys() >= set(byte_alphabet().values()):
+        return False
     return parts.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
 
 

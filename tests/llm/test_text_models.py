@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -315,3 +316,85 @@ def test_entropy_spans_as_plain_windows(spark):
         assert [(s["start"], s["end"]) for s in got[k]["all_spans"] if s["kind"] == "entropy"] == sorted(want), text
         seen += len(want)
     assert seen > 50
+
+
+def _strings(pattern, texts):
+    raw, start, end, many = pieces.Pieces(pattern, lambda new: new, np.dtype("u1"))._cut(texts)
+    matches = iter([raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    return [[next(matches) for _ in range(n)] for n in many.tolist()]
+
+
+def test_words_are_cut_by_runs_as_by_the_pattern():
+    import regex
+
+    assert bpe.default_pattern() == pieces.WORDS
+    find, rnd = regex.compile(pieces.WORDS).findall, random.Random(11)
+    parts = [*"'strevmldSTx19.-! \n\t\x1c\x85\xa0", "  ", "'re", "'ve", "'ll", " '", "''", "é", "漢", "🙂", "’", " ", "́", "²", "Ⅷ", "ß", "'ré"]
+    for size in (0, 1, 2, 40):
+        texts = ["".join(rnd.choices(parts, k=rnd.randrange(14))) for _ in range(size * 250)] + [""] * (size % 3)
+        assert _strings(pieces.WORDS, texts) == [find(t) for t in texts]
+    ascii = ["".join(rnd.choices([p for p in parts if p.isascii()], k=rnd.randrange(14))) for _ in range(3000)]
+    assert _strings(pieces.WORDS, ascii) == [find(t) for t in ascii]
+    assert _strings(pieces.WORDS, ["", ""]) == [[], []] and _strings(pieces.WORDS, []) == []
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    assert _strings(pieces.WORDS, ["".join(every)]) == [find("".join(every))]
+    # A pattern that does not match everything, and one without narrow forms.
+    for pattern in (r"\p{L}+", r"\w+|\p{N}"):
+        assert _strings(pattern, texts) == [regex.findall(pattern, t) for t in texts]
+
+
+@pytest.mark.parametrize("same_hash", [False, True])
+def test_matches_are_kept_and_told_apart(monkeypatch, same_hash):
+    if same_hash:
+        monkeypatch.setattr(pieces.wordhash, "mix", lambda x: x & np.uint64(1))
+    monkeypatch.setattr(pieces, "MATCHES", 50)
+    monkeypatch.setattr(pieces.wordhash.blocks, "__defaults__", (400,))
+    rnd, asked = random.Random(12), []
+    own = pieces.Pieces(pieces.WORDS, lambda new: asked.extend(new) or new, np.dtype("u1"), 100)
+    words = ["a", "a\0", "\0", "a\0\0", *["".join(rnd.choices("abé\0", k=k)) for k in range(2, 40) for _ in range(8)]]
+    for _ in range(30):
+        texts = [None if rnd.random() < 0.1 else " ".join(rnd.choices(words, k=rnd.randrange(30))) for _ in range(20)]
+        assert list(own.encode(texts)) == [(t or "").encode() for t in texts]
+    if not same_hash:
+        asked.clear()
+        list(own.encode(["one two"]))
+        assert sorted(asked) == [b" two", b"one"]
+        assert list(own.encode(["one two two", "one"])) == [b"one two two", b"one"] and len(asked) == 2
+        long = "x" * 24
+        asked.clear()
+        assert list(own.encode([long, f"{long} {long}", long])) * 2 == [*own.encode([long]), f"{long} {long}".encode(), long.encode()] * 2
+        assert sorted(asked) == [f" {long}".encode(), long.encode()]
+
+
+@pytest.mark.parametrize("kind", ["whole", "missing bytes", "prefix", "suffix"])
+def test_token_ids_of_other_byte_vocabularies(tmp_path, kind):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    rnd = random.Random(13)
+    letters = list(tokenids.byte_alphabet().values())
+    vocab = letters[: 100 if kind == "missing bytes" else 256]
+    more = {"prefix": {"continuing_subword_prefix": "##"}, "suffix": {"end_of_word_suffix": "@@"}}.get(kind, {})
+    vocab = [*vocab, *[f"##{c}" for c in letters if kind == "prefix"], *[f"{c}@@" for c in letters if kind == "suffix"]]
+    merges = [] if more else [("a", "b"), ("ab", "c"), ("d", "d")]
+    vocab = {t: n for n, t in enumerate([*vocab, *["".join(m) for m in merges]])}
+    own = Tokenizer(models.BPE(vocab, merges, **more))
+    own.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    own.save(f"{tmp_path}/own.json")
+    texts = ["", *["".join(rnd.choices("abcdd 'sé漢ÿ\n", k=rnd.randrange(30))) for _ in range(300)]]
+    got = tokenids.Tokens(f"{tmp_path}/own.json", bpe.default_pattern())
+    assert [np.frombuffer(x, f"<u{got.width}").tolist() for x in got.encode(texts)] == [own.encode(t).ids for t in texts]
+
+
+def test_known_matches_cost_the_same_however_many_are_kept():
+    def seconds(kept):
+        own = tokenids.Tokens(tokenids.default_tokenizer(), bpe.default_pattern())
+        list(own.encode([" ".join(f"{k:x}" for k in range(kept))]))
+        best = 1e9
+        for _ in range(5):
+            begin = time.process_time()
+            for _ in range(20):
+                list(own.encode(["1f 2e 3d"]))
+            best = min(best, time.process_time() - begin)
+        return best
+
+    assert seconds(200_000) < 10 * seconds(1000)
