@@ -99,6 +99,11 @@ class Model:
         return self.languages[language], score, bool(score < self.radius[language, _length(n)])
 
 
+def _mean(vectors: np.ndarray, chosen: np.ndarray, width: int = 512) -> np.ndarray:
+    """Mean of the chosen rows, some columns at a time: a cluster may have nearly all rows, and is not copied whole."""
+    return np.concatenate([vectors[:, at : at + width][chosen].mean(0) for at in range(0, vectors.shape[1], width)])
+
+
 def _cluster(vectors: np.ndarray) -> np.ndarray:
     """Spherical k-means from farthest-first seeds."""
     seeds = [int(np.argmax(vectors @ vectors.mean(0)))]
@@ -109,7 +114,7 @@ def _cluster(vectors: np.ndarray) -> np.ndarray:
     centres = vectors[seeds]
     for _ in range(ROUNDS):
         own = np.argmax(vectors @ centres.T, axis=1)
-        rows = [vectors[own == k].mean(0) for k in range(len(centres)) if (own == k).any()]
+        rows = [_mean(vectors, own == k) for k in range(len(centres)) if (own == k).any()]
         centres = np.stack(rows)
         norm = np.linalg.norm(centres, axis=1, keepdims=True)
         centres = centres / np.where(norm > 0, norm, 1)

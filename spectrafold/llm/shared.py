@@ -109,6 +109,22 @@ def schema_with(df: DataFrame, **kinds: str) -> StructType:
     return out
 
 
+#: Bytes of texts that travel to a Python worker in one Arrow batch, where the session says nothing of it; one longer text makes a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session hold about BATCH_BYTES at most, unless it has a bound of its own.
+
+    Spark's default is 10,000 rows or 64 MB, which the JVM (in buffers that grow by doubling) and the worker hold for
+    each task, and of which workers, living from task to task, keep much. The setting stays, since Spark reads it when
+    a table is written, not when it is described.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 #: Rows of an Arrow batch that a task turns into Python values at once.
 PART_ROWS = 1024
 

@@ -380,6 +380,46 @@ def test_pipeline(spark, corpus, tmp_path):
     assert {900, 901, 902}.isdisjoint(r["doc_id"] for r in out)
 
 
+def test_pipeline_bounds_batches_by_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    rows = spark.range(0, 300, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab cd "), 10_000).alias("text"), F.lit("en").alias("lang"))
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.nbytes], pa.int64())})
+
+    def largest():
+        return max(r["n"] for r in rows.mapInArrow(sizes, "n long").collect())
+
+    try:
+        assert largest() > 16_000_000
+        corpus_pipeline.language_id(spark, rows, "")
+        assert largest() < 6_000_000
+        spark.conf.set(name, "1000000")
+        corpus_pipeline.byte_level_bpe(spark, rows, "")
+        assert spark.conf.get(name) == "1000000"
+    finally:
+        spark.conf.unset(name)
+
+
+def test_means_of_clusters_copy_few_columns():
+    import tracemalloc
+
+    from spectrafold.llm import langid
+
+    vectors = np.random.default_rng(5).random((1000, 1 << langid.BITS), np.float32)
+    tracemalloc.start()
+    centres = langid._cluster(vectors)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < vectors.nbytes / 4
+    chosen = np.argmax(vectors @ centres.T, axis=1) == 0
+    assert (langid._mean(vectors, chosen) == vectors[chosen].mean(0)).all()
+
+
 def plain_fingerprint(text):
     """One-permutation MinHash, bin by bin."""
     import xxhash
