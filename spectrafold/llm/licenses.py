@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .keyfilter import KeyFilter
-from .shared import keep, parts, schema_with, unused
+from .shared import bound_batches, keep, parts, schema_with, unused
 from .wordhash import Words, blocks, shingle_hashes
 
 PHRASE_K, TEXT_K = 2, 4
@@ -208,10 +208,14 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + TEXTS, key: s
     """The columns `carry` of docs (all, if none are named) with `n_words` and `spans`: array<struct<label, base, start, end, share>> in words, by start.
 
     Carried columns meet the candidates by key: do not carry the text where it isn't asked for.
+    Arrow batches of the session are bounded (see `bound_batches`).
     """
+    bound_batches(docs.sparkSession)
     carry = [c for c in (docs.columns if carry is None else carry) if c not in (n_words, spans)]
     docs = docs.drop(n_words, spans)
-    found = keep(candidates(votes(docs, templates, key, text), templates), "license-candidates")
+    of_key = candidates(votes(docs, templates, key, text), templates).groupBy("id", "a", "b").agg(F.collect_list(F.struct("template", "low", "high")).alias("asked"))
+    # Few narrow rows: a file for each core, not for each partition of the shuffle.
+    found = keep(of_key.repartition(docs.sparkSession.sparkContext.defaultParallelism), "license-candidates")
     known = docs.sparkSession.sparkContext.broadcast(KeyFilter.of(found.select("a"), "a"))  # bounded by keyfilter.MOST_BITS
     i, a, b, whole, asked = unused([*docs.columns, n_words, spans], "i", "a", "b", "whole", "asked")
     named = docs.select(*[F.col(f"`{c}`") for c in carry], *[c.alias(n) for c, n in zip(_keys(key, text), (i, a, b), strict=True)], F.col(text).alias(whole))
@@ -226,9 +230,8 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + TEXTS, key: s
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], left, many], names=[*batch.schema.names, n_words])
 
     rows = named.mapInArrow(counted, schema_with(named, **{n_words: "long"}))
-    of_key = found.groupBy("id", "a", "b").agg(F.collect_list(F.struct("template", "low", "high")).alias("asked")).alias("found")
     same = F.col(f"rows.{i}").eqNullSafe(F.col("found.id")) & (F.col(f"rows.{a}") == F.col("found.a")) & (F.col(f"rows.{b}") == F.col("found.b"))
-    met = rows.alias("rows").join(of_key, same, "left").select("rows.*", F.col("found.asked").alias(asked))
+    met = rows.alias("rows").join(found.alias("found"), same, "left").select("rows.*", F.col("found.asked").alias(asked))
 
     @F.arrow_udf(f"array<{_SPAN}>")
     def checked(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:

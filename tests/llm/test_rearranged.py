@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spectrafold.llm import hilbert, infill, licenses, lines, phrases, secrets
 from spectrafold.llm.keyfilter import KeyFilter
-from spectrafold.llm.shared import keep, numbered, sums_before
+from spectrafold.llm.shared import BATCH_BYTES, keep, numbered, sums_before
 
 UNIT = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -185,6 +185,25 @@ def test_long_texts_are_hashed_in_parts(spark):
     assert (r["n_base"], r["first_word"], r["last_word"]) == (2, licenses.PART_WORDS - 1, 2 * licenses.PART_WORDS)
 
 
+def test_license_scan_bounds_batches_and_files(spark, docs, monkeypatch):
+    name, files = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    monkeypatch.setattr(licenses, "keep", lambda df, name: files.append(kept := keep(df, name)) or kept)
+    before, partitions = spark.conf.get(name), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.unset(name)
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        many = docs.crossJoin(spark.range(5)).select((F.col("doc_id") * 1000 + F.col("id")).alias("doc_id"), "text")
+        got = licenses.scan_documents(many)
+        assert spark.conf.get(name) == str(BATCH_BYTES)
+        assert got.where("n_base > 0").count() > 40
+        assert len(files[0].inputFiles()) <= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set(name, before)
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_sums_before(spark):
     for n in (0, 1, 63, 64, 65, 5000):
         got = spark.range(1).select(sums_before(F.transform(F.slice(F.sequence(F.lit(1), F.lit(n + 1)), 1, F.lit(n)), lambda x: x.cast("long"))).alias("s")).first()["s"]
