@@ -10,17 +10,23 @@ Frequent phrases grow level by level. The occurrences of a phrase of k + 1 words
 are those positions of a frequent phrase of k words whose next position is one of
 a frequent phrase of k words too: position lists are merge-joined with the lists
 of what follows. The length of a list is the phrase's frequency in the block; the
-sum over all blocks is its exact frequency. Between levels, Spark sums the
-lengths of hashed phrases over all blocks, and blocks learn from a bit array of
-bounded size what may be frequent. Hashes only prune: the last pass names phrases
-by their words, and what it lets through is counted and tested by these.
+sum over all blocks is its exact frequency. Between levels, lengths of hashed
+phrases are summed over all blocks, and blocks learn from a bit array of bounded
+size what may be frequent. Hashes only prune: the last pass names phrases by
+their words, and what it lets through is counted and tested by these.
+
+Hashed phrases travel packed: their range is cut into parts, a task sums what
+some blocks have and hands on a row for each part, and Spark groups by part.
 
 A phrase is cut in two parts in every way; score = floor(10^6 a^2 / (l r)), the
 lowest counts. A phrase is dropped if a longer frequent one that holds it
 accounts for half of it or more.
 
 Scale: texts are read once; later levels read the packed lists. Shuffled are a
-row for each block and distinct word, or phrase of frequent parts. Joins of
+row for each block and distinct word, 5 bytes as a rule for each hashed phrase of
+frequent parts that some blocks have, and a row for each phrase that may be
+frequent and task. The number of parts follows the corpus: none has more than
+about PART of its phrases. Joins of
 phrases to their parts meet hot words: the parts' side has one row a key, so
 skewed keys can be split. Ranks come from a range partitioning over all phrases
 and the sizes of its ranges; no task holds a language. Arithmetic is in decimals
@@ -33,12 +39,13 @@ columns are dropped. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +69,10 @@ SPARE_BITS = 5
 BATCH_BYTES = 4 << 20
 #: Rows that a pass hands on at once.
 ROWS = 1 << 16
+#: Hashes of occurrences that a task gathers before it sums them.
+GATHERED = 1 << 21
+#: Occurrences in the corpus for each part of the range of hashes.
+PART = 1 << 20
 _END = b"\xff"
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes.maketrans(bytes(range(ord("A"), ord("Z") + 1)) + _ENDS, bytes(range(ord("a"), ord("z") + 1)) + _END * len(_ENDS))
@@ -79,37 +90,40 @@ class _Lists:
     """Position lists of a block that is being made."""
 
     def __init__(self) -> None:
-        self.number: defaultdict[bytes, int] = defaultdict()
-        self.number.default_factory = self.number.__len__
-        self.number[_END]
-        self.parts: list[np.ndarray] = []
+        self.parts: list[pa.Array] = []
         self.size = 0
 
     def add(self, words: list[bytes]) -> None:
-        self.parts.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
+        self.parts.append(pa.array(words, pa.binary()))
         self.size += len(words)
 
-    def vertical(self) -> tuple[list[bytes], list[int], bytes]:
+    def vertical(self) -> tuple[pa.Array, np.ndarray, bytes]:
         """Words, the length of each one's list, and the lists one after the other."""
-        row = np.concatenate(self.parts)
-        lengths = np.bincount(row, minlength=len(self.number))
-        order = np.argsort(row, kind="stable")[lengths[0] :]
-        return list(self.number)[1:], lengths[1:].tolist(), order.astype("<u2" if self.size <= 1 << 16 else "<u4").tobytes()
+        own = pa.concat_arrays(self.parts).dictionary_encode()
+        words, row = own.dictionary, own.indices.to_numpy()
+        lengths = np.bincount(row, minlength=len(words))
+        # Numbers of two bytes are sorted by their digits.
+        order = np.argsort(row.astype(np.uint16) if len(words) <= 1 << 16 else row, kind="stable")
+        end = words.index(_END).as_py()
+        first = int(lengths[:end].sum())
+        order = np.concatenate((order[:first], order[first + lengths[end] :]))
+        words = pa.concat_arrays([words[:end], words[end + 1 :]])
+        return words.cast(pa.string()), np.delete(lengths, end), order.astype("<u2" if self.size <= 1 << 16 else "<u4").tobytes()
 
 
 def postings(docs: DataFrame, text: str = "text", group: str = "lang", block: int = BLOCK) -> DataFrame:
     """A row for each block: lang, words, lengths (of the words' position lists) and positions (these lists, little-endian unsigned integers of 16 bits, or 32 in a longer block)."""
     rows = docs.select(F.coalesce(F.col(group).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    schema = pa.schema({"lang": pa.string(), "words": pa.list_(pa.string()), "lengths": pa.list_(pa.int32()), "positions": pa.binary()})
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_blocks: dict[str, _Lists] = {}
 
         def closed(*langs: str) -> Iterator[pa.RecordBatch]:
             for lang in langs:
                 words, lengths, positions = open_blocks.pop(lang).vertical()
-                if words:
-                    yield pa.RecordBatch.from_pylist([{"lang": lang, "words": words, "lengths": lengths, "positions": positions}], schema=schema)
+                if len(words):
+                    whole = pa.array([0, len(words)], pa.int32())
+                    lists = [pa.ListArray.from_arrays(whole, x) for x in (words, pa.array(lengths, pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang]), *lists, pa.array([positions], pa.binary())], names=["lang", "words", "lengths", "positions"])
 
         for batch in batches:
             for lang, own in zip(batch.column(0), batch.column(1), strict=True):
@@ -142,13 +156,13 @@ def _at_ends(words: list[bytes], limit: int) -> Iterator[list[bytes]]:
 class _Block:
     """A block of texts laid out by position again: number of the word at each position, -1 at ends of pieces, and the words' hashes."""
 
-    def __init__(self, lang: str, words: list[bytes], lengths: np.ndarray, positions: bytes, bits: int):
+    def __init__(self, lang: str, words: pa.Array, lengths: np.ndarray, positions: bytes, bits: int):
         self.words, self._mask = words, np.uint64((1 << bits) - 1)
         at = np.frombuffer(positions, f"<u{len(positions) // int(lengths.sum())}").astype(np.int64)
         self.number = np.full(int(at.max()) + 2, -1, np.int64)
         self.number[at] = np.repeat(np.arange(len(words)), lengths)
         seed = xxhash.xxh64_intdigest(lang.encode(), _SEED)
-        own = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+        own = np.fromiter(map(xxhash.xxh64_intdigest, words.cast(pa.binary()).to_pylist(), repeat(seed)), np.uint64, len(words))
         self.hashes = np.where(self.number >= 0, own[self.number], np.uint64(0))
         #: Positions of all words in order.
         self.at = np.flatnonzero(self.number >= 0)
@@ -169,37 +183,67 @@ class _Block:
             at = self.extended(at)
         return [*levels, at]
 
-    def named(self, at: np.ndarray, k: int) -> tuple[list[bytes], list[int]]:
+    def named(self, at: np.ndarray, k: int) -> tuple[pa.Array, np.ndarray]:
         """The distinct phrases of k words at these positions, and how many there are of each."""
         # Numbered level by level, so that numbers of two levels always fit 64 bits.
         code = self.number[at]
         for j in range(1, k):
             code = np.unique(code, return_inverse=True)[1] * np.int64(len(self.words)) + self.number[at + j]
         _, first, many = np.unique(code, return_index=True, return_counts=True)
-        parts = [[self.words[n] for n in self.number[at[first] + j].tolist()] for j in range(k)]
-        return list(map(b" ".join, zip(*parts, strict=True))), many.tolist()
+        parts = [self.words.take(pa.array(self.number[at[first] + j])) for j in range(k)]
+        return pc.binary_join_element_wise(*parts, " "), many
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple[str, _Block]]:
     for batch in batches:
         lang, words, lengths, positions = (batch.column(k) for k in range(4))
         for i in range(batch.num_rows):
-            own = words[i].values.cast(pa.binary()).to_pylist()
-            yield lang[i].as_py(), _Block(lang[i].as_py(), own, lengths[i].values.to_numpy(), positions[i].as_py(), bits)
+            yield lang[i].as_py(), _Block(lang[i].as_py(), words[i].values, lengths[i].values.to_numpy(), positions[i].as_py(), bits)
+
+
+def _packed(hashes: list[np.ndarray], bits: int, shift: int, least: int) -> pa.RecordBatch:
+    """part, h, f: for each part of the range of hashes, those that are there, less the part's first, and how often, as far as `least` matters; little-endian."""
+    h, f = np.unique(np.concatenate(hashes), return_counts=True)
+    part = h >> np.uint64(shift)
+    edge = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(h)])) if len(h) else np.zeros(1, np.int64)
+    low = (h & np.uint64((1 << shift) - 1)).astype(_width(shift))
+    many = np.minimum(f, least).astype(_width(least.bit_length()))
+    columns = [pa.array(part[edge[:-1]].view(np.int64)), *(pa.array([x[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary()) for x in (low, many))]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "h", "f"])
+
 
+def _width(bits: int) -> str:
+    return next(kind for kind, most in (("u1", 8), ("<u4", 32), ("<u8", 64)) if bits <= most)
 
-def _hashed(lists: DataFrame, filters: list[KeyFilter], bits: int) -> DataFrame:
-    """h, f: hash and frequency, in a block, of the phrases of one word more than there are filters."""
+
+def _hashed(lists: DataFrame, filters: list[KeyFilter], bits: int, parts: int, least: int) -> DataFrame:
+    """h: hashes of phrases of one word more than there are filters, of `bits` bits, that occur `least` times or more.
+
+    parts: in how many parts the range of hashes is summed; a power of two.
+    """
     shared = lists.sparkSession.sparkContext.broadcast(filters)  # bounded by keyfilter.MOST_BITS a level
+    shift = bits - (parts - 1).bit_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes: list[np.ndarray] = []
         for _, block in _blocks(batches, bits):
-            at = block.frequent(shared.value)[-1]
-            h, f = np.unique(block.hash_of(at, len(shared.value) + 1), return_counts=True)
-            for i in range(0, len(h), ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array(h[i : i + ROWS].view(np.int64)), pa.array(f[i : i + ROWS].astype(np.int64))], names=["h", "f"])
+            hashes.append(block.hash_of(block.frequent(shared.value)[-1], len(shared.value) + 1))
+            if sum(map(len, hashes)) >= GATHERED:
+                yield _packed(hashes, bits, shift, least)
+                hashes = []
+        if hashes:
+            yield _packed(hashes, bits, shift, least)
+
+    def summed(rows: pa.Table) -> pa.Table:
+        column = lambda name, kind: np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
+        h, f = column("h", _width(shift)), column("f", _width(least.bit_length()))
+        order = np.argsort(h)
+        h = h[order]
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        often = h[first[np.add.reduceat(f[order], first, dtype=np.int64) >= least]].astype(np.uint64)
+        return pa.table({"h": (often | np.uint64(rows.column("part")[0].as_py() << shift)).view(np.int64)})
 
-    return lists.mapInArrow(run, "h long, f long")
+    return lists.mapInArrow(run, "part long, h binary, f binary").groupBy("part").applyInArrow(summed, "h long")
 
 
 def _named(lists: DataFrame, filters: list[KeyFilter], bits: int) -> DataFrame:
@@ -212,7 +256,7 @@ def _named(lists: DataFrame, filters: list[KeyFilter], bits: int) -> DataFrame:
                 phrases, many = block.named(at, k)
                 for i in range(0, len(phrases), ROWS):
                     some = phrases[i : i + ROWS]
-                    columns = [pa.array([lang] * len(some), pa.string()), pa.array(some, pa.string()), pa.array(many[i : i + ROWS], pa.int64())]
+                    columns = [pa.repeat(pa.scalar(lang), len(some)), some, pa.array(many[i : i + ROWS], pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "f"])
 
     return lists.mapInArrow(run, "lang string, phrase string, f long")
@@ -244,12 +288,13 @@ def frequent(lists: DataFrame, longest: int = LONGEST, least: int = LEAST) -> Da
     singles = keep(singles.select("lang", F.lit(1).alias("words"), "phrase", "f"), "phrases-1")
     if longest < 2:
         return singles
-    bits = min(64, max(20, int(lists.agg(F.sum(_words())).first()[0] or 0).bit_length() + SPARE_BITS))
+    total = int(lists.agg(F.sum(_words())).first()[0] or 0)
+    bits = min(64, max(20, total.bit_length() + SPARE_BITS))
+    parts = 1 << (total // PART).bit_length()
     filters = [KeyFilter.of(singles.select(F.xxhash64("lang", "phrase").alias("h")), "h")]
     with _small_batches(lists.sparkSession):
         for k in range(2, longest + 1):
-            many = _hashed(lists, filters, bits).groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-            filters.append(KeyFilter.of(keep(many.select("h"), f"phrases-{k}"), "h"))
+            filters.append(KeyFilter.of(keep(_hashed(lists, filters, bits, parts, least), f"phrases-{k}"), "h"))
         more = _named(lists, filters, bits).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
         more = more.withColumn("words", F.size(F.split("phrase", " ")))
         return keep(singles.unionByName(more), "phrases")

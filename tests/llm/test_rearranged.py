@@ -6,6 +6,7 @@ import re
 import time
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +126,31 @@ def test_blocks_end_with_pieces(spark, docs, rows):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, small.collect()))
 
 
+@pytest.mark.parametrize("least", [10, 300])
+def test_hashed_phrases_travel_packed(least):
+    rnd = np.random.default_rng(3)
+    hashes = [rnd.choice(rnd.integers(0, 1 << 33, 5000, dtype=np.uint64), 20_000) for _ in range(3)]
+    hashes.append(np.full(1000, hashes[0][0]))
+    rows = phrases._packed(hashes, 33, 25, least)
+    assert rows.num_rows <= 256 and rows.nbytes < (6 if least < 256 else 9) * len(np.unique(np.concatenate(hashes)))
+    got = {}
+    for r in rows.to_pylist():
+        low, many = np.frombuffer(r["h"], "<u4").tolist(), np.frombuffer(r["f"], "u1" if least < 256 else "<u4").tolist()
+        got |= {(r["part"] << 25) + h: f for h, f in zip(low, many, strict=True)}
+    assert got == {h: min(f, least) for h, f in Counter(np.concatenate(hashes).tolist()).items()}
+    assert phrases._packed([hashes[0][:0]], 33, 25, least).num_rows == 0
+
+
+def test_collocations_in_many_parts(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(phrases, "PART", 64)
+    monkeypatch.setattr(phrases, "GATHERED", 100)
+    assert sorted(map(tuple, phrases.collocations_of_documents(docs).collect())) == sorted(plain_collocations(rows))
+    made = [(i, "a b c " * 30 + "d", "xy") for i in range(20)]
+    some = spark.createDataFrame(made, "doc_id bigint, text string, lang string").repartition(3)
+    got = phrases.collocations(some, longest=4, least=300)
+    assert sorted(map(tuple, got.collect())) == sorted(plain_collocations(made, 4, 300))
+
+
 def test_key_filter_loses_no_key(spark):
     keys = keep(spark.range(5000).select(F.xxhash64("id").alias("h")), "keys")
     own = keys.toArrow().column("h").to_numpy().view("uint64")
