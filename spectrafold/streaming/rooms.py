@@ -7,8 +7,12 @@ The other types are those of `collab.step`. JOIN, DISCONNECT and accepted messag
 an EDIT_ACTION to all but the one it comes from.
 
 Events that come later than the watermark allows are left out by Spark, as are those without time, picture, user or session.
-The state of a picture is its holder, its open sessions and the events of one watermark delay; one picture is one task's work,
-as its lock demands. Two equal (at, moment) of a picture act in the order of session and type.
+The state of a picture is its holder, its open sessions and the events of one watermark delay, many events to a value in Arrow's
+stream format, since each value of a state goes to and from Python by itself; one picture is one task's work, as its lock
+demands. Two equal (at, moment) of a picture act in the order of session and type.
+
+Receivers leave that task as stays: for some events of a picture in their order, each session and the events from `since` to
+before `until` that it is open at. Pairs of event and receiver come from them in Spark, where they are read.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from collections.abc import Iterable, Iterator
 from datetime import datetime
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -25,12 +31,16 @@ from spectrafold.sources.folders import shared_folder
 from spectrafold.streaming.collab import TYPES, accepted, changes, rocksdb, step
 
 EVENT = "at timestamp, moment bigint, pictureId bigint, userId bigint, sessionId bigint, type string, editAction string"
-HELD = "us bigint, moment bigint, sessionId bigint, type string, userId bigint, editAction string"
+HELD = pa.schema([("us", pa.int64()), ("moment", pa.int64()), ("sessionId", pa.int64()), ("type", pa.string()), ("userId", pa.int64()), ("editAction", pa.string())])
+OPEN = "sessionId array<bigint>, userId array<bigint>"
 HAPPENED = "pictureId bigint, moment bigint, userId bigint, sessionId bigint, type string, editAction string, released boolean, open bigint, receivers bigint"
 SENT = "pictureId bigint, moment bigint, sessionId bigint, type string, receiver bigint"
+STAYS = "pictureId bigint, moment array<bigint>, sessionId array<bigint>, type array<string>, receiver array<bigint>, since array<int>, until array<int>"
 KINDS = (*TYPES, "JOIN", "DISCONNECT")
-#: Rows of a frame that a task hands back.
+#: Rows of a frame that a task hands back, and events of a row of HELD.
 FRAME = 10_000
+#: Events, and stays, of a row of STAYS: Spark keeps all pairs of such a row in memory at once.
+TOGETHER = 256
 #: The picture of the row that ends a stream. Ids are positive.
 _END = -1
 #: Its time; pandas knows none much later.
@@ -53,36 +63,49 @@ class Room:
             self.sessions.pop(session, None)
         return good or kind == "DISCONNECT", good and kind in ("EXIT_EDIT", "DISCONNECT")
 
-    def receivers(self, session: int, kind: str) -> Iterable[int]:
-        return (s for s in self.sessions if kind != "EDIT_ACTION" or s != session)
-
     def sent_to(self, session: int, kind: str) -> int:
         return len(self.sessions) - (kind == "EDIT_ACTION" and session in self.sessions)
 
 
-def _frames(rows: Iterable[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+def _frames(rows: Iterable[tuple], columns: list[str], most: int = FRAME) -> Iterator[pd.DataFrame]:
     part: list[tuple] = []
     for row in rows:
         part.append(row)
-        if len(part) == FRAME:
+        if len(part) == most:
             yield pd.DataFrame(part, columns=columns)
             part = []
     if part:
         yield pd.DataFrame(part, columns=columns)
 
 
+def _packed(events: pa.Table) -> list[tuple]:
+    """Values of the state for HELD events."""
+    out = []
+    for part in events.combine_chunks().to_batches(max_chunksize=FRAME):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, HELD) as writer:
+            writer.write_batch(part)
+        out.append((sink.getvalue().to_pybytes(),))
+    return out
+
+
+def _values(events: pa.Table) -> Iterator[tuple]:
+    """moment, sessionId, type, userId, editAction of HELD events."""
+    return zip(*(events[c].to_numpy().tolist() for c in HELD.names[1:]), strict=True)
+
+
 class Rooms(StatefulProcessor):
-    """Keyed by picture. fan: a row for each event and receiver (SENT), else one for each event (HAPPENED)."""
+    """Keyed by picture. fan: receivers of the events (STAYS), else a row for each event (HAPPENED)."""
 
     def __init__(self, fan: bool):
         self._fan = fan
-        self._columns = [c.split()[0] for c in (SENT if fan else HAPPENED).split(", ")]
+        self._columns = [c.split()[0] for c in (STAYS if fan else HAPPENED).split(", ")]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._holder = handle.getValueState("holder", "userId bigint")
-        self._sessions = handle.getMapState("sessions", "sessionId bigint", "userId bigint")
-        self._held = handle.getListState("held", HELD)
+        self._sessions = handle.getValueState("sessions", OPEN)
+        self._held = handle.getListState("held", "events binary")
         self._next = handle.getValueState("next", "ms bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -90,9 +113,7 @@ class Rooms(StatefulProcessor):
             least = None
             for frame in rows:
                 us = frame["at"].astype("datetime64[us]").astype("int64")
-                actions = frame["editAction"].astype(object).where(frame["editAction"].notna(), None)
-                held = list(zip(us.tolist(), frame["moment"].tolist(), frame["sessionId"].tolist(), frame["type"].tolist(), frame["userId"].tolist(), actions.tolist(), strict=True))
-                self._held.appendList(held)
+                self._held.appendList(_packed(pa.Table.from_pandas(frame.assign(us=us)[HELD.names], HELD, preserve_index=False)))
                 low = int(us.min())
                 least = low if least is None else min(least, low)
             if least is not None:
@@ -112,35 +133,60 @@ class Rooms(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        due, later = [], []
-        for event in self._held.get():
-            (due if event[0] <= now else later).append(tuple(event))
+        held = pa.concat_tables([HELD.empty_table(), *(pa.ipc.open_stream(bytes(h[0])).read_all() for h in self._held.get())])
+        is_due = pc.less_equal(held["us"], now)
+        due, later = held.filter(is_due).sort_by([(c, "ascending") for c in HELD.names[:4]]), held.filter(pc.invert(is_due))
         self._next.clear()
-        if later:
-            self._held.put(later)
-            self._wake(min(e[0] for e in later))
+        if later.num_rows:
+            self._held.put(_packed(later))
+            self._wake(pc.min(later["us"]).as_py())
         else:
             self._held.clear()
-        due.sort(key=lambda e: e[:4])
-        before = {s[0]: u[0] for s, u in self._sessions.iterator()}
+        before = dict(zip(*self._sessions.get(), strict=True)) if self._sessions.exists() else {}
         room = Room(int(self._holder.get()[0]) if self._holder.exists() else None, dict(before))
-        yield from _frames(self._out(int(key[0]), room, due), self._columns)
+        if self._fan:
+            yield from _frames(self._stays(int(key[0]), room, due), self._columns, FRAME // 100)
+        else:
+            yield from _frames(self._out(int(key[0]), room, due), self._columns)
         self._keep(room, before)
 
-    def _out(self, picture: int, room: Room, due: list[tuple]) -> Iterator[tuple]:
-        for _, moment, session, kind, user, action in due:
+    def _out(self, picture: int, room: Room, due: pa.Table) -> Iterator[tuple]:
+        for moment, session, kind, user, action in _values(due):
             out, freed = room.act(session, kind, user, action)
-            if out and self._fan:
-                yield from ((picture, moment, session, kind, r) for r in room.receivers(session, kind))
-            elif out:
+            if out:
                 yield picture, moment, user, session, kind, action, freed, len(room.sessions), room.sent_to(session, kind)
 
+    def _stays(self, picture: int, room: Room, due: pa.Table) -> Iterator[tuple]:
+        """Rows of STAYS. A session that opens is open at its JOIN, one that closes isn't at its DISCONNECT."""
+        events, over, since = [], [], dict.fromkeys(room.sessions, 0)
+        for moment, session, kind, user, action in _values(due):
+            out, _ = room.act(session, kind, user, action)
+            if not out:
+                continue
+            if kind == "JOIN":
+                since.setdefault(session, len(events))
+            elif kind == "DISCONNECT" and since.get(session, len(events)) < len(events):
+                over.append((session, since[session], len(events)))
+            if kind == "DISCONNECT":
+                since.pop(session, None)
+            events.append((moment, session, kind))
+            if len(events) == TOGETHER:
+                yield from self._rows(picture, events, over, since)
+                events, over, since = [], [], dict.fromkeys(room.sessions, 0)
+        yield from self._rows(picture, events, over, since)
+
+    def _rows(self, picture: int, events: list[tuple], over: list[tuple], since: dict[int, int]) -> Iterator[tuple]:
+        stays = over + [(s, at, len(events)) for s, at in since.items()]
+        if events:
+            columns = tuple(map(list, zip(*events, strict=True)))
+            for i in range(0, len(stays), TOGETHER):
+                yield picture, *columns, *map(list, zip(*stays[i : i + TOGETHER], strict=True))
+
     def _keep(self, room: Room, before: dict[int, int]) -> None:
-        for session in before.keys() - room.sessions.keys():
-            self._sessions.removeKey((session,))
-        for session, user in room.sessions.items():
-            if before.get(session) != user:
-                self._sessions.updateValue((session,), (user,))
+        if not room.sessions:
+            self._sessions.clear()
+        elif room.sessions != before:
+            self._sessions.update((list(room.sessions), list(room.sessions.values())))
         if room.holder is None:
             self._holder.clear()
         else:
@@ -150,10 +196,26 @@ class Rooms(StatefulProcessor):
         pass
 
 
+def _moved(events: DataFrame, delay: str, fan: bool) -> DataFrame:
+    rows = events.select(*[c.split()[0] for c in EVENT.split(", ")]).withWatermark("at", delay)
+    return rows.groupBy("pictureId").transformWithStateInPandas(Rooms(fan), STAYS if fan else HAPPENED, "append", "EventTime")
+
+
 def happened(events: DataFrame, delay: str, fan: bool = False) -> DataFrame:
     """The streaming form; events that come up to `delay` after later ones still act in their order. Needs the RocksDB state store."""
-    rows = events.select(*[c.split()[0] for c in EVENT.split(", ")]).withWatermark("at", delay)
-    return rows.groupBy("pictureId").transformWithStateInPandas(Rooms(fan), SENT if fan else HAPPENED, "append", "EventTime")
+    rows = _moved(events, delay, fan)
+    return pairs(_together(rows)) if fan else rows
+
+
+def _together(stays: DataFrame) -> DataFrame:
+    return stays.select("pictureId", F.arrays_zip("moment", "sessionId", "type").alias("events"), F.arrays_zip("receiver", "since", "until").alias("stays"))
+
+
+def pairs(together: DataFrame) -> DataFrame:
+    """SENT: each stay with its events, but for an EDIT_ACTION of its own session."""
+    each = together.select("pictureId", "events", F.inline("stays"))
+    met = each.select("pictureId", "receiver", F.inline(F.slice("events", F.col("since") + 1, F.col("until") - F.col("since"))))
+    return met.where("type <> 'EDIT_ACTION' or receiver <> sessionId").select("pictureId", "moment", "sessionId", "type", "receiver")
 
 
 def run(events: DataFrame, path: str, delay: str, fan: bool = False) -> DataFrame:
@@ -168,7 +230,7 @@ def run(events: DataFrame, path: str, delay: str, fan: bool = False) -> DataFram
     every = known.select(*[c.split()[0] for c in EVENT.split(", ")]).unionByName(spark.readStream.schema(EVENT).parquet(ending))
 
     def to_the_end() -> None:
-        writer = happened(every, delay, fan).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+        writer = _moved(every, delay, fan).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
         writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
     with rocksdb(spark):
@@ -176,7 +238,10 @@ def run(events: DataFrame, path: str, delay: str, fan: bool = False) -> DataFram
         last = (_LAST, 0, _END, 0, 0, "END", None)
         spark.createDataFrame([last], EVENT).coalesce(1).write.mode("append").parquet(ending)
         to_the_end()
-    return spark.read.schema(SENT if fan else HAPPENED).parquet(f"{path}/out")
+    if not fan:
+        return spark.read.schema(HAPPENED).parquet(f"{path}/out")
+    # A row of few bytes has many pairs: they are dealt out by number.
+    return pairs(_together(spark.read.schema(STAYS).parquet(f"{path}/out")).repartition(4 * spark.sparkContext.defaultParallelism))
 
 
 def run_here(events: DataFrame, delay: str, fan: bool = False) -> DataFrame:

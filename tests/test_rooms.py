@@ -2,8 +2,10 @@
 
 import os
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from spectrafold.operators import permissions
@@ -99,6 +101,93 @@ def test_batch_form(spark, events):
     assert rooms.batch(spark.createDataFrame([], rooms.EVENT)).count() == 0
 
 
+class Kept:
+    """A state of any kind in memory, which counts the values that go to it."""
+
+    def __init__(self):
+        self.value, self.list, self.map, self.put_in = None, [], {}, 0
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value if self.value is not None else iter(self.list)
+
+    def update(self, value):
+        self.value = value
+        self.put_in += 1
+
+    def appendList(self, values):
+        self.list += values
+        self.put_in += len(values)
+
+    def clear(self):
+        self.value, self.list = None, []
+
+    def iterator(self):
+        return iter(self.map.items())
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+        self.put_in += 1
+
+
+class Handle:
+    def __init__(self):
+        self.states, self.timers = {}, set()
+
+    def getValueState(self, name, schema):
+        return self.states.setdefault(name, Kept())
+
+    def getListState(self, name, schema):
+        return self.states.setdefault(name, Kept())
+
+    def getMapState(self, name, key, value):
+        return self.states.setdefault(name, Kept())
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.discard(ms)
+
+    def getCurrentWatermarkInMs(self):
+        return 4_000_000_000_000
+
+
+def test_many_events_are_few_values(spark):
+    """What a task exchanges with the state store grows neither with each event nor each session, what it hands back not with each pair."""
+    log = [(START + timedelta(seconds=i), i, 1, i % 500, i % 500, "JOIN" if i < 1500 else "DISCONNECT", None) for i in range(2000)]
+    work, handle = rooms.Rooms(True), Handle()
+    work.init(handle)
+    frame = pd.DataFrame(log, columns=["at", "moment", "pictureId", "userId", "sessionId", "type", "editAction"])
+    assert list(work.handleInputRows((1,), iter([frame]), None)) == []
+    out = pd.concat(work.handleExpiredTimer((1,), handle, None))
+    assert sum(s.put_in for s in handle.states.values()) < 10
+    _, sent = plain(log)
+    assert len(sent) > 700_000 and len(out) < 100
+    stays = spark.createDataFrame([tuple(r) for r in out.itertuples(index=False)], rooms.STAYS)
+    assert {tuple(r) for r in rooms.pairs(rooms._together(stays)).collect()} == set(sent)
+
+
+def test_more_sessions_and_events_than_go_together(spark, tmp_path):
+    """Stays begin and end in any row, at its first event too; sessions join twice, leave unknown and come again. The streaming form gives the same pairs."""
+    rnd, n = random.Random(5), rooms.TOGETHER
+    kinds = ["JOIN"] * 4 + ["DISCONNECT", "ENTER_EDIT", "EXIT_EDIT", "EDIT_ACTION"]
+    log = [(START + timedelta(seconds=i), i, 1, u := rnd.randrange(n * 2), u, "JOIN" if i < n * 2 else rnd.choice(kinds), "ZOOM_IN") for i in range(n * 6)]
+    log += [(e[0] + timedelta(seconds=n * 6), e[1] + n * 6, 1, 7, 7 + i % 2, k, "ZOOM_IN") for i, (e, k) in enumerate(zip(log[: n * 2], ["JOIN", "ENTER_EDIT", "EDIT_ACTION", "DISCONNECT"] * n, strict=False))]
+    _, want = plain(log)
+    assert max(Counter(r[1] for r in want).values()) > n and any(r[3] == "EDIT_ACTION" for r in want)
+    later = (START + timedelta(days=9), n * 9, 2, 1, 1, "JOIN", None)
+    spark.createDataFrame([*log, later], rooms.EVENT).repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rooms.EVENT).parquet(str(tmp_path / "in"))
+    assert rows(rooms.run(stream, f"file://{tmp_path}/run", "1 hour", fan=True)) == sorted([*want, (2, n * 9, 1, "JOIN", 1)])
+    with collab.rocksdb(spark):
+        writer = rooms.happened(stream, "1 hour", fan=True).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    assert rows(spark.read.schema(rooms.SENT).parquet(f"{tmp_path}/out")) == want
+
+
 def test_no_events(spark, tmp_path):
     spark.createDataFrame([], rooms.EVENT).write.parquet(str(tmp_path / "in"))
     assert rooms.run(spark.readStream.schema(rooms.EVENT).parquet(str(tmp_path / "in")), f"file://{tmp_path}/run", "1 hour").count() == 0
